@@ -12,12 +12,13 @@ from collections.abc import Callable
 import numpy as np
 
 #: Words held by a worker for a tokenizer; beyond this the cache starts anew.
-MOST = 400_000
+MOST = 1_000_000
 #: Longer words are not held.
 LONGEST = 64
+#: Signs that end a word often; what stands before them is looked up by itself.
+TAIL = b".,;:!?"
 
 _tokenizers: dict[str, object] = {}
-_caches: dict[str, dict[bytes, bytes]] = {}
 
 
 def tokenizer(path: str):
@@ -33,26 +34,88 @@ def tokenizer(path: str):
 def mapped(texts: list[bytes], cache: dict[bytes, object], make: Callable[[list[bytes]], list], most: int = MOST) -> list[list]:
     """For each text, what make() gives for its words ([^\\x20\\x09-\\x0D]+), in order; new words are made in one call."""
     words = [t.split() for t in texts]
-    new = {w for ws in words for w in set(ws) if w not in cache}
-    if len(cache) + len(new) > most:
-        cache.clear()
-        new = {w for ws in words for w in ws}
+    out = [list(map(cache.get, ws)) for ws in words]
+    new: set[bytes] = set()
+    for ws, o in zip(words, out, strict=True):
+        if None in o:
+            new.update([w for w, v in zip(ws, o, strict=True) if v is None])
+    if not new:
+        return out
     fresh = list(new)
     got = dict(zip(fresh, make(fresh), strict=True))
+    out = [[got[w] if v is None else v for w, v in zip(ws, o, strict=True)] if None in o else o for ws, o in zip(words, out, strict=True)]
+    if len(cache) + len(got) > most:
+        cache.clear()
     cache.update(got)
-    out = [list(map(cache.__getitem__, ws)) for ws in words]
     for w in fresh:
         if len(w) > LONGEST:
             del cache[w]
     return out
 
 
-def packed_ids(texts: list[bytes], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers."""
-    library = tokenizer(path)
+class WordIds:
+    """Ids of words by a tokenizers JSON file that lower-cases, splits letters from signs and marks word ends."""
+
+    def __init__(self, path: str):
+        self.library = tokenizer(path)
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        for token, number in self.library.get_vocab().items():
+            self.ends[number] = token.endswith("</w>")
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def ask(self, words: list[str]) -> list[bytes]:
+        """The library's ids of each word. Words of letters alone are put into one text, whose words end where the
+        marked tokens are; should their number differ, each word is asked for by itself."""
+        found = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[found]) + 1
+        if len(ends) == len(words) and (not len(found) or ends[-1] == len(found)) and all(map(str.isalpha, words)):
+            data, cuts = found.tobytes(), [0, *(4 * ends).tolist()]
+            return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
-    def make(words: list[bytes]) -> list[bytes]:
-        found = library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def make(self, words: list[bytes]) -> list[bytes]:
+        """A word's ids; those of its stem and of the signs after it, if a letter or number ends the stem."""
+        known, split, got, new = self.parts, [], {}, set()
+        for w in words:
+            if w[-1] in TAIL:
+                stem = w.rstrip(TAIL)
+                if stem and (stem[-1:].isalnum() or stem[-1] > 127 and stem.decode()[-1].lower()[-1].isalnum()):
+                    pair = (stem, w[len(stem) :])
+                else:
+                    pair = (w,)
+            else:
+                pair = (w,)
+            split.append(pair)
+            for x in pair:
+                ids = known.get(x)
+                if ids is None:
+                    new.add(x)
+                else:
+                    got[x] = ids
+        letters, other = [], []
+        for x in new:
+            (letters if x.isalpha() or x[-1] > 127 and x.decode().isalpha() else other).append(x)
+        for i in range(0, len(letters), 2000):
+            group = letters[i : i + 2000]
+            got.update(zip(group, self.ask([x.decode() for x in group]), strict=True))
+        got.update(zip(other, (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast([x.decode() for x in other], add_special_tokens=False)), strict=True))
+        if len(known) + len(new) > MOST // 2:
+            known.clear()
+        known.update((x, got[x]) for x in new if len(x) <= LONGEST)
+        return [got[p[0]] if len(p) == 1 else got[p[0]] + got[p[1]] for p in split]
+
+
+_word_ids: dict[str, WordIds] = {}
+
+
+def packed_ids(texts: list[bytes], path: str) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit numbers.
 
-    return [b"".join(x) for x in mapped(texts, _caches.setdefault(path, {}), make)]
+    A-Z is lower-cased first, as the tokenizer would, but for texts where that could change what comes
+    before it: those with a combining mark or with the start of a special string."""
+    if path not in _word_ids:
+        _word_ids[path] = WordIds(path)
+    ids = _word_ids[path]
+    low = [t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
+    return [b"".join(x) for x in mapped(low, ids.words, ids.make)]
