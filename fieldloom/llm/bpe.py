@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import byte_texts, in_rows, texts
+from .common import byte_texts, in_rows, texts, worker_cache
 
 #: Pieces, halves and pairs held by a worker; beyond this a cache starts anew.
 MOST = 300_000
@@ -142,13 +142,11 @@ class TreeEncoder:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-_encoders: dict[tuple[str, str], TreeEncoder] = {}
-
-
 def encoder(path: str, pattern: str) -> TreeEncoder:
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = TreeEncoder(path, pattern)
-    return _encoders[path, pattern]
+    held = worker_cache("bpe")
+    if (path, pattern) not in held:
+        held[path, pattern] = TreeEncoder(path, pattern)
+    return held[path, pattern]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:

@@ -42,6 +42,18 @@ def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker from task to task. Workers outlive stages, so the caches of
+    other operators are let go as soon as one asks for its own."""
+    if owner not in _caches:
+        _caches.clear()
+        _caches[owner] = {}
+    return _caches[owner]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, bucketed, by_bucket, byte_texts, ids, in_rows, materialise, pack, shuffle_partitions, texts, unpack
+from .common import NULL_ID, bucketed, by_bucket, byte_texts, ids, in_rows, materialise, pack, shuffle_partitions, texts, unpack, worker_cache
 
 WORDS = 50
 #: Bits of a level's bitmap: 16 MB, whatever the input.
@@ -29,7 +29,6 @@ FILTER_BITS = 27
 HELD = 1_000_000
 
 _A, _B, _C = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0x9E3779B97F4A7C15, 0xC4CEB9FE1A85EC53))
-_names: dict[bytes, int] = {}
 
 
 def levels(words: int = WORDS, least: int = 13) -> list[int]:
@@ -42,14 +41,15 @@ def levels(words: int = WORDS, least: int = 13) -> list[int]:
 
 def word_names(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
-    get = _names.get
+    known = worker_cache("substring")
+    get = known.get
     out = list(map(get, words))
     if None in out:
-        if len(_names) > 500_000:
-            _names.clear()
+        if len(known) > 500_000:
+            known.clear()
         for i, v in enumerate(out):
             if v is None:
-                out[i] = _names[words[i]] = xxhash.xxh3_64_intdigest(words[i])
+                out[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
     return np.array(out, np.uint64)
 
 

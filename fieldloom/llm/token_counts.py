@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, in_rows, texts
+from .common import byte_texts, in_rows, texts, worker_cache
 from .wordcache import LONGEST, mapped, tokenizer
 
 
@@ -110,13 +110,11 @@ class MergeCounter:
         return list(map(sum, mapped(texts, self.words, lambda words: list(map(self.word, words)))))
 
 
-_counters: dict[str, MergeCounter] = {}
-
-
 def counter(path: str) -> MergeCounter:
-    if path not in _counters:
-        _counters[path] = MergeCounter(path)
-    return _counters[path]
+    held = worker_cache("token counts")
+    if path not in held:
+        held[path] = MergeCounter(path)
+    return held[path]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, held_out, in_rows, texts
+from .common import byte_texts, held_out, in_rows, texts, worker_cache
 from .wordcache import mapped
 
 #: Letters of a subsequence lie within so many characters; each character of the span costs DECAY.
@@ -234,19 +234,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, longest: int = 20_
     return train(found, prior)
 
 
-_margins: dict[str, dict[bytes, float]] = {}
-
-
 def document_scores(model: Model, found: list[bytes]) -> np.ndarray:
     """Each text's score: that of its most toxic word, or of an empty word if it has none."""
-    if model.key not in _margins:
-        _margins.clear()
-        _margins[model.key] = {}
+    held = worker_cache("toxicity")
+    if model.key not in held:
+        held.clear()
+        held[model.key] = {}
     rows = []
     for t in found:
         runs = SPACED.findall(t.decode())
         rows.append(b" ".join([t, *(b"".join(x.encode().split()) for x in runs)]) if runs else t)
-    got = mapped(rows, _margins[model.key], lambda words: model.margins([w.decode().lower() for w in words]).tolist())
+    got = mapped(rows, held[model.key], lambda words: model.margins([w.decode().lower() for w in words]).tolist())
     low = float(model.margins([""])[0])
     return model.score(np.array([max(x, default=low) for x in got]))
 

@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .common import worker_cache
+
 #: Words held by a worker for a tokenizer; beyond this the cache starts anew.
 MOST = 1_000_000
 #: Longer words are not held.
@@ -106,16 +108,14 @@ class WordIds:
         return [got[p[0]] if len(p) == 1 else got[p[0]] + got[p[1]] for p in split]
 
 
-_word_ids: dict[str, WordIds] = {}
-
-
 def packed_ids(texts: list[bytes], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers.
 
     A-Z is lower-cased first, as the tokenizer would, but for texts where that could change what comes
     before it: those with a combining mark or with the start of a special string."""
-    if path not in _word_ids:
-        _word_ids[path] = WordIds(path)
-    ids = _word_ids[path]
+    held = worker_cache("word ids")
+    if path not in held:
+        held[path] = WordIds(path)
+    ids = held[path]
     low = [t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
     return [b"".join(x) for x in mapped(low, ids.words, ids.make)]
