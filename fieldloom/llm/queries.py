@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, packing, simhash, substring, token_counts, topk, toxicity
+from . import bpe, exact_dedup, licenses, ngram_lm, packing, simhash, substring, token_counts, topk, toxicity
 from .common import held_out
 
 
@@ -38,6 +38,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = ngram_lm.train(docs.where(~held_out(F.col("doc_id"), 7)))
+    held = held_out(F.col("doc_id"), 7).alias("held_out")
+    return ngram_lm.score(docs, model).select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read(spark, sf_dir, "documents"))
 
@@ -63,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_packing, op2_toxicity, op3_topk, op4_substring_dedup, op5_exact_dedup, op7_simhash_dedup, op8_bpe, op9_token_counts, op10_licenses, pipeline]
+    found = [op1_packing, op2_toxicity, op3_topk, op4_substring_dedup, op5_exact_dedup, op6_lm_scoring, op7_simhash_dedup, op8_bpe, op9_token_counts, op10_licenses, pipeline]
     return {f.__name__: f for f in found}
 
 
