@@ -36,7 +36,7 @@ from .common import bucketed, by_bucket, byte_texts, in_rows, scratch_dir, shuff
 
 ORDER = 3
 #: Tokens looked at together.
-BATCH = 600_000
+BATCH = 1_000_000
 #: Ends each text; no word holds a space.
 END = b" "
 
@@ -96,19 +96,37 @@ def encode(keys: np.ndarray) -> dict[str, np.ndarray]:
     return {"low": low, "high": words, "zeros": zeros, "shape": np.array([base, n, bits, top], np.int64)}
 
 
+_U = np.uint64
+_ONES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+#: Place of the r-th set bit (from 0) of a byte, at 8 * byte + r.
+_SELECT = np.array([([k for k in range(8) if byte >> k & 1] + [0] * 8)[r] for byte in range(256) for r in range(8)], np.int64)
+
+
 def _zero(code: dict, k: np.ndarray) -> np.ndarray:
     """Position of the k-th zero (from 0) of the unary part."""
     word = np.searchsorted(code["zeros"], k.astype(code["zeros"].dtype), side="right") - 1
     w = ~code["high"][word]
-    rest = k - code["zeros"][word].astype(np.int64)
-    at = word * 64
-    for step in (32, 16, 8, 4, 2, 1):
-        c = np.bitwise_count(w & np.uint64((1 << step) - 1)).astype(np.int64)
-        go = rest >= c
-        rest = np.where(go, rest - c, rest)
-        w = np.where(go, w >> np.uint64(step), w)
-        at += np.where(go, step, 0)
-    return at
+    rest = (k - code["zeros"][word].astype(np.int64)).astype(_U)
+    # Bits set in each byte, then up to each byte; the bytes that end before the wanted bit; the bit in the next one.
+    c = w - ((w >> _U(1)) & _U(0x5555555555555555))
+    c = (c & _U(0x3333333333333333)) + ((c >> _U(2)) & _U(0x3333333333333333))
+    c = ((c + (c >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES
+    byte = np.bitwise_count(((rest * _ONES | _TOPS) - c) & _TOPS).astype(_U) << _U(3)
+    rest -= (c << _U(8)) >> byte & _U(0xFF)
+    return word * 64 + byte.astype(np.int64) + _SELECT[((w >> byte & _U(0xFF)) << _U(3) | rest).astype(np.int64)]
+
+
+def _ones_from(code: dict, at: np.ndarray) -> np.ndarray:
+    """Number of ones from a position of the unary part to the next zero; 64 may stand for more."""
+    word, shift = at >> 6, (at & 63).astype(_U)
+    w = code["high"][word] >> shift
+    more = np.flatnonzero((shift > 0) & (word + 1 < len(code["high"])))
+    w[more] |= code["high"][word[more] + 1] << (_U(64) - shift[more])
+    full = w == _U(0xFFFFFFFFFFFFFFFF)
+    w[full] = 0
+    n = np.bitwise_count(w ^ (w + _U(1))).astype(np.int64) - 1
+    n[full] = 64
+    return n
 
 
 def _low(code: dict, bits: int, i: np.ndarray) -> np.ndarray:
@@ -131,17 +149,21 @@ def find(code: dict, keys: np.ndarray) -> np.ndarray:
         return out
     x = (keys[inside] - base).astype(np.uint64)
     high, want = (x >> np.uint64(bits)).astype(np.int64), x & np.uint64((1 << bits) - 1)
-    start = np.where(high > 0, _zero(code, np.maximum(high - 1, 0)) + 1, 0) - high
-    stop = _zero(code, high) - high
-    a, b = start.copy(), stop.copy()  # the first of [start, stop) whose low bits are not below the key's
-    on = np.flatnonzero(a < b)
+    begin = np.zeros(len(high), np.int64)
+    later = np.flatnonzero(high > 0)
+    begin[later] = _zero(code, high[later] - 1) + 1
+    start, run = begin - high, _ones_from(code, begin)
+    long = np.flatnonzero(run >= 64)
+    run[long] = _zero(code, high[long]) - begin[long]
+    a, b = start.copy(), start + run  # the last of [start, stop) whose low bits are not over the key's
+    on = np.flatnonzero(run > 1)
     while len(on):
         m = (a[on] + b[on]) >> 1
-        less = _low(code, bits, m) < want[on]
-        a[on] = np.where(less, m + 1, a[on])
-        b[on] = np.where(less, b[on], m)
-        on = on[a[on] < b[on]]
-    ok = np.flatnonzero(a < stop)
+        over = _low(code, bits, m) > want[on]
+        a[on] = np.where(over, a[on], m)
+        b[on] = np.where(over, m, b[on])
+        on = on[b[on] - a[on] > 1]
+    ok = np.flatnonzero(run > 0)
     ok = ok[_low(code, bits, a[ok]) == want[ok]]
     out[inside[ok]] = a[ok]
     return out
@@ -156,7 +178,7 @@ def quantise(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dequantise(code: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    return np.exp2(-(scale[0] + scale[1] * code))
+    return np.exp2(-(scale[0] + scale[1] * np.arange(256)))[code]
 
 
 # ---- model ---------------------------------------------------------------------------------------------------------
@@ -198,8 +220,9 @@ class Model:
             self.files[level, part] = map_arrays(f"{self.folder}/level{level}-{part}")
         return self.files[level, part]
 
-    def look(self, level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For sorted keys of a level: place (-1: none), discounted probability, weight of the shorter history."""
+    def look(self, level: int, keys: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For sorted keys of a level: place (-1: none), discounted probability, weight of the shorter history; with
+        places, only the first."""
         meta = self.meta["levels"][level]
         place, p, weight = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.ones(len(keys))
         part = np.searchsorted(meta["bounds"], keys, side="right")
@@ -212,6 +235,8 @@ class Model:
             at = find(f, keys[s:e])
             hit = np.flatnonzero(at >= 0)
             place[s + hit] = at[hit] + meta["base"][b]
+            if places:
+                continue
             p[s + hit] = dequantise(f["p"][at[hit]], f["p_scale"])
             c = (keys[s:e] >> self.meta["bits"]) - int(f["first"][0])
             some = np.flatnonzero((c >= 0) & (c < len(f["weight"])))
@@ -233,7 +258,7 @@ class Model:
             ok = np.flatnonzero(where >= n - 1)
             found = np.full(len(ids), size, np.int64)
             k, back = np.unique(self.keys(at[ok - 1], ids[ok]), return_inverse=True)
-            place = self.look(n, k)[0]
+            place = self.look(n, k, places=True)[0]
             found[ok] = np.where(place < 0, size, place)[back]
             at = found
         ok = np.flatnonzero(where >= level - 1)
@@ -331,7 +356,8 @@ def _vocabulary(docs: DataFrame, folder: str, parts: int) -> dict:
         write_arrays(f"{folder}/vocabulary-{bucket}", {"h": h[order], "c": np.fromiter(total.values(), np.int64, len(total))[order]})
         yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([len(total)], pa.int64()), pa.array([sum(total.values())], pa.int64())], names=["bucket", "size", "total"])
 
-    made = by_bucket(docs.mapInArrow(count, "bucket int, payload binary"), parts, merge, "bucket int, size long, total long").orderBy("bucket").collect()
+    made = by_bucket(docs.mapInArrow(count, "bucket int, payload binary"), parts, merge, "bucket int, size long, total long").collect()
+    made.sort()
     size, at, jobs = sum(r["size"] for r in made), 0, []
     for r in made:
         jobs.append((r["bucket"], at))
@@ -406,7 +432,8 @@ def _level(docs: DataFrame, folder: str, meta: dict, level: int, parts: int) ->
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (bucket, len(keys), int((n == 1).sum()), int((n == 2).sum()))] + [pa.array([pickle.dumps(sums)], pa.binary())], names=["bucket", "size", "n1", "n2", "edges"])
 
     sent = docs.mapInArrow(send, "bucket int, payload binary")
-    made = by_bucket(sent, parts, merge, "bucket long, size long, n1 long, n2 long, edges binary").orderBy("bucket").collect()
+    made = by_bucket(sent, parts, merge, "bucket long, size long, n1 long, n2 long, edges binary").collect()
+    made.sort()
     n1, n2 = sum(r["n1"] for r in made), sum(r["n2"] for r in made)
     discount = min(0.99, n1 / (n1 + 2 * n2)) if n1 else 0.5
     # A context at a file's edge may go on in the next one: its successors and its count are summed here.
