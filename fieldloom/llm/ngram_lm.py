@@ -226,7 +226,9 @@ class Model:
         meta = self.meta["levels"][level]
         place, p, weight = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.ones(len(keys))
         part = np.searchsorted(meta["bounds"], keys, side="right")
-        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(keys) else []
+        if not len(keys):
+            return place, p, weight
+        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         for s, e in zip(cut, [*cut[1:], len(keys)], strict=True):
             b = int(part[s])
             if b not in meta["base"]:
@@ -407,7 +409,9 @@ def _level(docs: DataFrame, folder: str, meta: dict, level: int, parts: int) ->
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, n in counted(batches):
             part = np.searchsorted(bounds, keys, side="right")
-            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(keys) else []
+            if not len(keys):
+                continue
+            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             rows = [zlib.compress(np.diff(keys[s:e], prepend=np.int64(0)).tobytes(), 1) for s, e in zip(cut, [*cut[1:], len(keys)], strict=True)]
             more = [zlib.compress(n[s:e].astype(np.int64).tobytes(), 1) for s, e in zip(cut, [*cut[1:], len(keys)], strict=True)]
             if rows:

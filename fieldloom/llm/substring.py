@@ -111,9 +111,11 @@ def survivors(names: np.ndarray, words: int, found: list[tuple[int, np.ndarray]]
 def _blobs(parts: list[tuple[np.ndarray, ...]], buckets: int, by: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Held arrays as one row for each bucket; by: the hashes that choose it, or else the first array."""
     arrays = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    if not len(arrays[0]):
+        return
     order, b = bucketed(arrays[0] if by is None else by, buckets)
     b = b[order]
-    cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
+    cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
     keys, rows = [], []
     for s, e in zip(cuts, [*cuts[1:], len(b)], strict=True):
         keys.append(int(b[s]))

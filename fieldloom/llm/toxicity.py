@@ -180,7 +180,9 @@ def train(documents: list[tuple[list[str], int]], prior: float, landmarks: int =
         return Model([], np.zeros(FEATURES), 0.0, 0.0, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
     seen_t, seen_c = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
     odds = {w: np.log((n + 0.1) / (len(toxic) + 1)) - np.log((seen_c[w] + 0.1) / (len(clean) + 1)) + 0.5 * np.log1p(n) for w, n in seen_t.items()}
-    witness = Counter(max(sorted(d), key=odds.__getitem__) for d in toxic if d)
+    # A word speaks for its document's label only if it does so in several documents: labels may be wrong.
+    telling = {w for w, n in seen_t.items() if n >= min(3, len(toxic)) and n / len(toxic) > 3 * seen_c[w] / len(clean)} or set(odds)
+    witness = Counter(max(sorted(d & telling), key=odds.__getitem__) for d in toxic if d & telling)
     vocab = sorted(set(seen_t) | set(seen_c))
     common = [w for w, _ in sorted(seen_c.items(), key=lambda x: (-x[1], x[0]))]
     plain = [common[i] for i in sorted(rng.choice(len(common), min(4000, len(common)), replace=False))] + common[:500]
@@ -207,7 +209,7 @@ def train(documents: list[tuple[list[str], int]], prior: float, landmarks: int =
         model = Model(marks, weights, float(w[-1]))
         margin = dict(zip(vocab, model.margins(vocab).tolist(), strict=True))
         top = lambda d: max(sorted(d), key=margin.__getitem__)
-        witness = Counter(top(d) for d in toxic if d)
+        witness = Counter(w for w in (top(d) for d in toxic if d) if margin[w] > 0) or witness
         hard = [w for w, _ in Counter(top(d) for d in clean if d).most_common(1500)]
         # A word that clean documents have as often is no witness.
         witness = Counter({w: n for w, n in witness.items() if n / len(toxic) > 2 * seen_c[w] / len(clean)}) or witness

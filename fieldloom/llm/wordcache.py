@@ -14,7 +14,7 @@ import numpy as np
 from .common import worker_cache
 
 #: Words held by a worker for a tokenizer; beyond this the cache starts anew.
-MOST = 1_000_000
+MOST = 800_000
 #: Longer words are not held.
 LONGEST = 64
 #: Signs that end a word often; what stands before them is looked up by itself.
@@ -33,7 +33,7 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-def mapped(texts: list[bytes], cache: dict[bytes, object], make: Callable[[list[bytes]], list], most: int = MOST) -> list[list]:
+def mapped(texts: list[bytes], cache: dict[bytes, object], make: Callable[[list[bytes]], list], most: int = 400_000) -> list[list]:
     """For each text, what make() gives for its words ([^\\x20\\x09-\\x0D]+), in order; new words are made in one call."""
     words = [t.split() for t in texts]
     out = [list(map(cache.get, ws)) for ws in words]
@@ -118,4 +118,4 @@ def packed_ids(texts: list[bytes], path: str) -> list[bytes]:
         held[path] = WordIds(path)
     ids = held[path]
     low = [t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
-    return [b"".join(x) for x in mapped(low, ids.words, ids.make)]
+    return [b"".join(x) for x in mapped(low, ids.words, ids.make, MOST)]
