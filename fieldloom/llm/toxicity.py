@@ -171,6 +171,15 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(w[0]), float(w[1])
 
 
+def disguised(word: str, rng: np.random.Generator) -> list[str]:
+    """The word with a sign put in, with two, and with a letter doubled: examples of what is to be tolerated."""
+    if len(word) < 4:
+        return []
+    i, j = sorted(int(x) for x in rng.integers(1, len(word), 2))
+    sign = "-.*_"[int(rng.integers(4))]
+    return [word[:i] + sign + word[i:], word[:i] + sign + word[i:j] + sign + word[j:], word[:j] + word[j - 1] + word[j:]]
+
+
 def train(documents: list[tuple[list[str], int]], prior: float, landmarks: int = 128, rounds: int = 3, ridge: float = 1e-3, seed: int = 7) -> Model:
     """Fit on labelled documents, each given as its distinct words. Which word makes a document toxic is learned
     by turns: first the word most telling of the label, then the word of the highest margin."""
@@ -198,9 +207,11 @@ def train(documents: list[tuple[list[str], int]], prior: float, landmarks: int =
         value, vector = np.linalg.eigh(kz)
         keep = value > 1e-6 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
-        x = kernel([*pos, *neg], marks).astype(float) @ root
-        y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
-        weight = np.r_[np.array([witness[w] for w in pos], float) / sum(witness[w] for w in pos), np.full(len(neg), 1 / max(1, len(neg)))]
+        masks = [(v, witness[w] / 6) for w in pos for v in disguised(w, rng)]
+        x = kernel([*pos, *(v for v, _ in masks), *neg], marks).astype(float) @ root
+        y = np.r_[np.ones(len(pos) + len(masks)), -np.ones(len(neg))]
+        share = np.array([*(witness[w] for w in pos), *(n for _, n in masks)], float)
+        weight = np.r_[share / share.sum(), np.full(len(neg), 1 / max(1, len(neg)))]
         w = squared_hinge(np.c_[x, np.ones(len(y))], y, weight * len(y), ridge * len(y))
         dual = root @ w[:-1]
         weights = np.zeros(FEATURES)

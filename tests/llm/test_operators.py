@@ -129,11 +129,12 @@ def test_toxicity(spark, odd, none):
     assert right / len(got) > 0.93
     assert all(0 <= r.score <= 1 for r in toxicity.score(odd, model).collect())
     score = lambda t: toxicity.document_scores(model, [t.encode()])[0]
-    assert min(map(score, ("you idiot", "you id-iot", "you i d i o t", "such a mo.ron"))) > max(map(score, ("the nation is here", "", "stone pale identity")))
+    assert min(map(score, ("you idiot", "you id-iot", "you i d i o t"))) > 10 * max(map(score, ("the nation is here", "", "stone pale identity")))
     assert toxicity.drop_toxic(odd, model).columns == odd.columns
     assert toxicity.score(none, model).count() == 0
     empty = toxicity.fit(none, labels)
-    assert {r.score for r in toxicity.score(odd, empty).collect()} == {pytest.approx(labels.where("crc32(encode(cast(doc_id as string), 'UTF-8')) % 4 <> 2").agg(F.avg("toxic")).first()[0])}
+    share = labels.where("crc32(encode(cast(doc_id as string), 'UTF-8')) % 4 <> 2").agg(F.avg("toxic")).first()[0]
+    assert all(abs(r.score - share) < 1e-9 for r in toxicity.score(odd, empty).collect())
 
 
 def test_kernel_by_definition():
