@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -49,17 +51,31 @@ def worker_cache(owner: str) -> dict:
     """What an operator keeps in a Python worker from task to task. Workers outlive stages, so the caches of
     other operators are let go as soon as one asks for its own."""
     if owner not in _caches:
-        _caches.clear()
+        if _caches:
+            _caches.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
         _caches[owner] = {}
     return _caches[owner]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows in an Arrow batch of the session: texts are long, and a batch is held on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id (long) and text (null as empty); every other column goes."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

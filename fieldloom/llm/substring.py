@@ -26,7 +26,7 @@ WORDS = 50
 #: Bits of a level's bitmap: 16 MB, whatever the input.
 FILTER_BITS = 27
 #: A task hands on what it has found after so many windows.
-HELD = 1_000_000
+HELD = 500_000
 
 _A, _B, _C = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0x9E3779B97F4A7C15, 0xC4CEB9FE1A85EC53))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, held_out, in_rows, texts, worker_cache
+from .common import byte_texts, held_out, in_rows, small_batches, texts, worker_cache
 from .wordcache import mapped
 
 #: Letters of a subsequence lie within so many characters; each character of the span costs DECAY.
@@ -280,6 +280,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """docs without the rows that score the threshold or more; every column stays. A null id changes nothing."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")

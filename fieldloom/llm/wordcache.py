@@ -90,7 +90,7 @@ class WordIds:
                 pair = (w,)
             split.append(pair)
             for x in pair:
-                ids = known.get(x)
+                ids = known.get(x) or self.words.get(x)
                 if ids is None:
                     new.add(x)
                 else:
@@ -102,9 +102,9 @@ class WordIds:
             group = letters[i : i + 2000]
             got.update(zip(group, self.ask([x.decode() for x in group]), strict=True))
         got.update(zip(other, (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast([x.decode() for x in other], add_special_tokens=False)), strict=True))
-        if len(known) + len(new) > MOST // 2:
+        if len(known) > MOST // 4:
             known.clear()
-        known.update((x, got[x]) for x in new if len(x) <= LONGEST)
+        known.update((p[0], got[p[0]]) for p in split if len(p) > 1 and len(p[0]) <= LONGEST)
         return [got[p[0]] if len(p) == 1 else got[p[0]] + got[p[1]] for p in split]
 
 
