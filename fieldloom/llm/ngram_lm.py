@@ -23,12 +23,13 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ from .common import bucketed, by_bucket, byte_texts, in_rows, scratch_dir, shuff
 ORDER = 3
 #: Tokens looked at together.
 BATCH = 1_000_000
+#: Keys looked up together: what is worked out for them stays in a processor's cache.
+CHUNK = 1 << 14
 #: Ends each text; no word holds a space.
 END = b" "
 
@@ -46,6 +49,17 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def distinct(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each token, in order, the place of its word among the distinct ones; the distinct words' hashes."""
+    flat = pa.array(list(chain.from_iterable(docs)), pa.large_binary()).dictionary_encode()
+    n = len(flat.dictionary)
+    _, ends, data = flat.dictionary.buffers()
+    body = data.to_pybytes() if data else b""
+    ends = np.frombuffer(ends, np.int64, n + 1).tolist() if n else [0]
+    h = np.fromiter((xxhash.xxh3_64_intdigest(body[a:b]) for a, b in pairwise(ends)), np.uint64, n)
+    return flat.indices.to_numpy(zero_copy_only=False), h
+
+
 # ---- Elias-Fano ----------------------------------------------------------------------------------------------------
 
 
@@ -132,12 +146,11 @@ def _ones_from(code: dict, at: np.ndarray) -> np.ndarray:
 def _low(code: dict, bits: int, i: np.ndarray) -> np.ndarray:
     if not bits:
         return np.zeros(len(i), np.uint64)
-    at = i.astype(np.uint64) * np.uint64(bits)
-    word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-    v = code["low"][word] >> shift
-    over = shift + np.uint64(bits) > 64
-    v[over] |= code["low"][word[over] + 1] << (np.uint64(64) - shift[over])
-    return v & np.uint64((1 << bits) - 1)
+    at = i * bits
+    word, shift = at >> 6, (at & 63).astype(_U)
+    # A value may go on in the next word, of which there is always one; shifted twice, as 64 is no shift.
+    v = code["low"][word] >> shift | code["low"][word + 1] << _U(1) << (_U(63) - shift)
+    return v & _U((1 << bits) - 1)
 
 
 def find(code: dict, keys: np.ndarray) -> np.ndarray:
@@ -155,20 +168,32 @@ def find(code: dict, keys: np.ndarray) -> np.ndarray:
     start, run = begin - high, _ones_from(code, begin)
     long = np.flatnonzero(run >= 64)
     run[long] = _zero(code, high[long]) - begin[long]
-    a, b = start.copy(), start + run  # the last of [start, stop) whose low bits are not over the key's
+    a = start.copy()  # the last of [start, start + run) whose low bits are not over the key's
     on = np.flatnonzero(run > 1)
+    lo, hi, w = start[on], start[on] + run[on], want[on]
     while len(on):
-        m = (a[on] + b[on]) >> 1
-        over = _low(code, bits, m) > want[on]
-        a[on] = np.where(over, a[on], m)
-        b[on] = np.where(over, m, b[on])
-        on = on[b[on] - a[on] > 1]
+        m = (lo + hi) >> 1
+        over = _low(code, bits, m) > w
+        lo, hi = np.where(over, lo, m), np.where(over, m, hi)
+        live = hi - lo > 1
+        if 2 * np.count_nonzero(live) <= len(on):
+            a[on] = lo
+            on, lo, hi, w = on[live], lo[live], hi[live], w[live]
     ok = np.flatnonzero(run > 0)
     ok = ok[_low(code, bits, a[ok]) == want[ok]]
     out[inside[ok]] = a[ok]
     return out
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """int64 as bytes: the first bytes of all values, then the second ones, and so on, in zstd."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unsqueeze(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 def quantise(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One byte a value, rounded down on a logarithmic scale over the values' own range; code, (least bits, step)."""
     x = -np.log2(np.clip(p, 1e-300, 1.0))
@@ -192,28 +217,18 @@ class Model:
         v = meta["vocabulary"]
         self.hashes = np.memmap(f"{folder}/words", np.uint64, "r", shape=(max(v["size"], 1),))[: v["size"]]
         self.counts = np.memmap(f"{folder}/counts", np.int64, "r", shape=(max(v["size"], 1),))[: v["size"]]
-        self.words: dict[bytes, int] = {}
         self.files: dict[tuple[int, int], dict] = {}
 
     def ids(self, docs: list[list[bytes]]) -> np.ndarray:
         """Word ids of all tokens, in order; unknown words have the vocabulary's size."""
-        known = self.words
-        out = [list(map(known.get, d)) for d in docs]
-        new = list({w for d, o in zip(docs, out, strict=True) if None in o for w, i in zip(d, o, strict=True) if i is None})
-        if new:
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
-            size = len(self.hashes)
-            order = np.argsort(h)
-            at = np.empty(len(h), np.int64)
-            at[order] = np.searchsorted(self.hashes, h[order])
-            if size:
-                at[self.hashes[np.minimum(at, size - 1)] != h] = size
-            got = dict(zip(new, at.tolist(), strict=True))
-            out = [[got[w] if i is None else i for w, i in zip(d, o, strict=True)] if None in o else o for d, o in zip(docs, out, strict=True)]
-            if len(known) + len(got) > 600_000:
-                known.clear()
-            known.update((w, i) for w, i in got.items() if len(w) <= 64)
-        return np.fromiter(chain.from_iterable(out), np.int64, sum(map(len, out)))
+        place, h = distinct(docs)
+        size = len(self.hashes)
+        order = np.argsort(h)
+        at = np.empty(len(h), np.int64)
+        at[order] = np.searchsorted(self.hashes, h[order])
+        if size:
+            at[self.hashes[np.minimum(at, size - 1)] != h] = size
+        return at[place]
 
     def file(self, level: int, part: int) -> dict:
         if (level, part) not in self.files:
@@ -234,7 +249,7 @@ class Model:
             if b not in meta["base"]:
                 continue
             f = self.file(level, b)
-            at = find(f, keys[s:e])
+            at = np.concatenate([find(f, keys[i : min(i + CHUNK, e)]) for i in range(s, e, CHUNK)])
             hit = np.flatnonzero(at >= 0)
             place[s + hit] = at[hit] + meta["base"][b]
             if places:
@@ -412,8 +427,8 @@ def _level(docs: DataFrame, folder: str, meta: dict, level: int, parts: int) ->
             if not len(keys):
                 continue
             cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            rows = [zlib.compress(np.diff(keys[s:e], prepend=np.int64(0)).tobytes(), 1) for s, e in zip(cut, [*cut[1:], len(keys)], strict=True)]
-            more = [zlib.compress(n[s:e].astype(np.int64).tobytes(), 1) for s, e in zip(cut, [*cut[1:], len(keys)], strict=True)]
+            rows = [squeeze(np.diff(keys[s:e], prepend=np.int64(0))) for s, e in zip(cut, [*cut[1:], len(keys)], strict=True)]
+            more = [squeeze(n[s:e].astype(np.int64)) for s, e in zip(cut, [*cut[1:], len(keys)], strict=True)]
             if rows:
                 blob = [len(a).to_bytes(8, "little") + a + b for a, b in zip(rows, more, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array(blob, pa.binary())], names=["bucket", "payload"])
@@ -422,8 +437,8 @@ def _level(docs: DataFrame, folder: str, meta: dict, level: int, parts: int) ->
         keys, n = [], []
         for x in payloads:
             size = int.from_bytes(x[:8], "little")
-            keys.append(np.cumsum(np.frombuffer(zlib.decompress(x[8 : 8 + size]), np.int64)))
-            n.append(np.frombuffer(zlib.decompress(x[8 + size :]), np.int64))
+            keys.append(np.cumsum(unsqueeze(x[8 : 8 + size])))
+            n.append(unsqueeze(x[8 + size :]))
         keys, n = np.concatenate(keys), np.concatenate(n)
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order]
