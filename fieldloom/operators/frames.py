@@ -33,6 +33,25 @@ def spiral(spark: SparkSession, n: int, center: tuple[float, ...], outer: float,
     return frames(spark, n).select("frame", r.alias("r"), *((S.lit(c) + (way[a] * r if a in way else S.lit(0))).alias(a) for a, c in zip("xyz", center, strict=True)))
 
 
+def fly_in(spark: SparkSession, n: int, center: tuple[float, ...], outer: float, inner: float, axis: str, reach: int | None = None) -> DataFrame:
+    """Towards the centre along an axis, in equal ratios; the way goes on past `reach`, which is held within the film."""
+    last = min(max(reach if reach is not None else n - 1, 1), max(1, n - 1))
+    r = geometric(n, outer, inner, last)
+    return frames(spark, n).select("frame", r.alias("r"), *((S.lit(c) + (r if a == axis.lower() else S.lit(0))).alias(a) for a, c in zip("xyz", center, strict=True)))
+
+
+def clip_radii(n: int, constant: float = 0.0, start: float | None = None, end: float | None = None, reach: int | None = None) -> Column:
+    """Radius of each frame's clip: from start to end in equal ratios, else constant, else none (null)."""
+    if start is not None and end is not None:
+        return geometric(n, start, end, min(max(reach if reach is not None else n - 1, 1), max(1, n - 1)))
+    return S.lit(constant) if constant > 0 else F.lit(None).cast("double")
+
+
+def first_covered(views: DataFrame, width: str, side: float, aspect: float) -> DataFrame:
+    """The first frame whose view fits a side (0 if none does): frames before it are trimmed."""
+    return views.where(F.col(width) * S.lit(aspect) <= S.lit(side)).agg(F.coalesce(F.min("frame"), F.lit(0)).alias("frame"))
+
+
 def depth(mode: str, fixed: float, width: Column) -> Column:
     return width if mode == "same-as-y" else S.lit(fixed)
 

@@ -106,6 +106,46 @@ def fade_alpha(x: Column, data: Column, floor: float, gamma: float) -> Column:
     return F.when(data <= 0, S.lit(0)).otherwise(S.lit(floor) + S.lit(1 - floor) * F.pow(x, S.lit(gamma)))
 
 
+def stretch(natural: DataFrame, boosted: DataFrame, channels: list[str], share: float, weight: float) -> DataFrame:
+    """One row (natural, boosted, stretch): percentiles of all channels together, and their blend natural * (boosted / natural) ** weight."""
+
+    def end(image: DataFrame, name: str) -> DataFrame:
+        v = image.select(F.explode(F.array(*channels)).alias("v"))
+        return v.agg((F.percentile("v", share) + S.lit(1e-30)).alias(name))
+
+    both = end(natural, "natural").crossJoin(F.broadcast(end(boosted, "boosted")))  # one row each
+    w = min(max(weight, 0.0), 1.0)
+    return both.withColumn("stretch", F.col("natural") * F.pow(F.col("boosted") / F.col("natural"), S.lit(w)))
+
+
+def opacity(image: DataFrame, transmittance: str, out: str, gamma: float = 1.0, norm: bool = True) -> DataFrame:
+    """Adds out: 1 - transmittance, as a share of its 99th percentile (if that is positive), to a power."""
+    v = clamp(1 - F.col(transmittance))
+    if not norm:
+        return image.withColumn(out, F.pow(v, S.lit(gamma)))
+    top = image.agg(F.percentile(v, 0.99).alias("__p99"))
+    df = image.crossJoin(F.broadcast(top))  # one row
+    return df.withColumn(out, F.pow(F.when(F.col("__p99") > 0, clamp(v / F.col("__p99"))).otherwise(v), S.lit(gamma))).drop("__p99")
+
+
+def shade(image: DataFrame, emission: str, transmittance: str, colour: tuple[float, float, float], low: float = 0.5, high: float = 0.995, gain: float = 1.0, gamma: float = 1.0, norm: bool = True) -> DataFrame:
+    """Adds r, g, b, opacity: a volume's light as log tone x gain x opacity x colour."""
+    df = opacity(log_unit(image, emission, "__t", low, high), transmittance, "opacity", gamma, norm)
+    return df.withColumns({n: F.col("__t") * S.lit(gain) * F.col("opacity") * S.lit(c) for n, c in zip("rgb", colour, strict=True)}).drop("__t")
+
+
+def two_slopes(x: Column, low: float, pivot: float, high: float) -> Column:
+    """0 to 1 with the pivot at a half; a pivot outside the range is put in its middle."""
+    mid = pivot if low < pivot < high else 0.5 * (low + high)
+    return clamp(F.when(x < S.lit(mid), S.lit(0.5) * (x - S.lit(low)) / S.lit(mid - low)).otherwise(S.lit(0.5) + S.lit(0.5) * (x - S.lit(mid)) / S.lit(high - mid)))
+
+
+def symmetric(image: DataFrame, value: str, out: str, share: float = 0.99) -> DataFrame:
+    """Adds out: a signed value as 0 to 1 between minus and plus a percentile of absolute values; zero is a half."""
+    df = image.crossJoin(F.broadcast(percentiles(image, value, [share], absolute=True)))  # one row
+    return df.withColumn(out, clamp(S.lit(0.5) + S.lit(0.5) * F.coalesce(F.try_divide(F.col(value), F.col("p0")), S.lit(0)))).drop("p0")
+
+
 def stack_layers(layers: DataFrame) -> DataFrame:
     """(py, px, r, g, b) on black from layers (py, px, layer, r, g, b, a); the layer of the lowest number is in front."""
     zero = F.struct(S.lit(0).alias("r"), S.lit(0).alias("g"), S.lit(0).alias("b"), S.lit(0).alias("a"))

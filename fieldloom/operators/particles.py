@@ -64,23 +64,25 @@ def intensive(cube: DataFrame, fields: tuple[str, ...] = ("temperature", "metall
     return cube.withColumns({f: F.when(F.col("mass_weight") > 0, F.col(f) / F.col("mass_weight")).otherwise(F.col(f)) for f in fields})
 
 
-def neighbour_h(df: DataFrame, k: int, cell: float, key: str = "pid", h_max: float | None = None, h_min: float = 0.0, rings: int = 8) -> DataFrame:
+def neighbour_h(df: DataFrame, k: int, cell: float, key: str = "pid", h_max: float | None = None, h_min: float = 0.0, rings: int = 8, within: str | None = None) -> DataFrame:
     """(key, h): half the distance to the k-th nearest other particle, by voxels of side `cell` and rings around them.
 
     A particle is done once its k-th distance fits the rings searched; the others look at twice as many. After
-    2 ** rings cells those that lack k neighbours get h_max (none without one). Not periodic."""
+    2 ** rings cells those that lack k neighbours get h_max (none without one). Not periodic. within: a column, such as the subfile, in
+    which neighbours must agree."""
     from functools import reduce as fold
 
-    points = df.select(F.col(key).alias("i"), *AXES, *(F.floor(F.col(a) / S.lit(cell)).alias(f"c{a}") for a in AXES))
+    alike = ["__in"] if within else []
+    points = df.select(F.col(key).alias("i"), *(F.col(within).alias("__in") for _ in alike), *AXES, *(F.floor(F.col(a) / S.lit(cell)).alias(f"c{a}") for a in AXES))
     todo, done, ring = points, [], 1
     while ring <= rings:
         asks = todo
         for a in AXES:
             asks = asks.withColumn(f"n{a}", F.explode(F.sequence(F.col(f"c{a}") - ring, F.col(f"c{a}") + ring)))
-        other = points.select(F.col("i").alias("j"), *(F.col(a).alias(f"o{a}") for a in AXES), *(F.col(f"c{a}").alias(f"n{a}") for a in AXES))
+        other = points.select(F.col("i").alias("j"), *alike, *(F.col(a).alias(f"o{a}") for a in AXES), *(F.col(f"c{a}").alias(f"n{a}") for a in AXES))
         d2 = sum((F.pow(F.col(a) - F.col(f"o{a}"), 2) for a in "yz"), F.pow(F.col("x") - F.col("ox"), 2))
         edge = F.least(*(F.least(F.col(a) - (F.col(f"c{a}") - ring) * S.lit(cell), (F.col(f"c{a}") + ring + 1) * S.lit(cell) - F.col(a)) for a in AXES))
-        near = asks.join(other, [f"n{a}" for a in AXES]).where("i <> j").groupBy("i").agg(F.slice(F.array_sort(F.collect_list(d2)), k, 1).alias("d"), F.first(edge).alias("edge"))
+        near = asks.join(other, [*alike, *(f"n{a}" for a in AXES)]).where("i <> j").groupBy("i").agg(F.slice(F.array_sort(F.collect_list(d2)), k, 1).alias("d"), F.first(edge).alias("edge"))
         near = near.select("i", F.sqrt(F.get("d", F.lit(0))).alias("r"), "edge").where("r <= edge")
         done.append(near.select("i", "r"))
         todo = todo.join(near, "i", "left_anti")
@@ -89,3 +91,8 @@ def neighbour_h(df: DataFrame, k: int, cell: float, key: str = "pid", h_max: flo
     if h_max is not None:
         found = found.withColumn("h", F.least("h", S.lit(h_max))).unionByName(todo.select(F.col("i").alias(key), S.lit(h_max).alias("h")))
     return found.withColumn("h", F.greatest("h", S.lit(h_min)))
+
+
+def subsample(df: DataFrame, most: int, key: str = "pid") -> DataFrame:
+    """At most so many particles, always the same ones: those of the lowest md5 of their key."""
+    return df.orderBy(F.md5(F.encode(F.col(key).cast("string"), "UTF-8")), key).limit(most)

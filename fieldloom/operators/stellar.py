@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -22,6 +22,28 @@ def clip(stars: DataFrame, center: tuple[float, ...], radius: float, dim: float
     return stars.where(inside) if dim is None else stars.withColumn("clip_gain", F.when(inside, S.lit(1)).otherwise(S.lit(dim)))
 
 
+def age_table(spark: SparkSession, samples: int = 20_000) -> DataFrame:
+    """(i, a, age): age in Gyr at scale factors in equal ratios from 1e-5 to 1, by trapezoids.
+
+    The running sum has one task; the table's size is a setting, not the data's."""
+    t = spark.range(samples).select(F.col("id").alias("i"), F.pow(S.lit(10), S.lit(-5) + S.lit(5) * F.col("id") / S.lit(samples - 1)).alias("a"))
+    f = 1 / (F.col("a") * F.sqrt(S.lit(S.OMEGA_M) / F.pow("a", S.lit(3)) + S.lit(S.OMEGA_L)))
+    w = Window.orderBy("i")
+    strip = F.coalesce((F.col("f") + F.lag("f").over(w)) / 2 * (F.col("a") - F.lag("a").over(w)), S.lit(0))
+    strips = t.withColumn("f", f).withColumn("s", strip)
+    return strips.select("i", "a", (F.sum("s").over(w) * S.lit(S.GYR_FACTOR / S.HUBBLE)).alias("age"))
+
+
+def age_at(stars: DataFrame, table: DataFrame, a: str, samples: int = 20_000) -> DataFrame:
+    """Adds age: the table's line at a, held within it. A scale factor's place follows from its logarithm, so this is an equi-join."""
+    nxt = Window.orderBy("i")
+    spans = table.select("i", F.col("a").alias("__a0"), F.col("age").alias("__t0"), F.lead("a").over(nxt).alias("__a1"), F.lead("age").over(nxt).alias("__t1")).where("__a1 is not null")
+    at = F.least(F.greatest(F.col(a), S.lit(1e-5)), S.lit(1))
+    place = F.least(F.greatest(F.floor((F.log10(at) + 5) / 5 * (samples - 1)), F.lit(0)), F.lit(samples - 2))
+    df = stars.withColumns({"__x": at, "i": place}).join(F.broadcast(spans), "i")  # as many rows as `samples`
+    return df.withColumn("age", F.col("__t0") + (F.col("__t1") - F.col("__t0")) * (F.col("__x") - F.col("__a0")) / (F.col("__a1") - F.col("__a0"))).drop("__x", "i", "__a0", "__a1", "__t0", "__t1")
+
+
 def population(stars: DataFrame, lattice: dict[str, list], a_now: float) -> DataFrame:
     """Adds age, log_age, log_z and the luminosity of each band: bilinear in the lattice's log_age and log_z, clamped to
     it. lattice: log_age and log_z (increasing) and bands L_*, a row for each log_age. It is small and put into the plan."""

@@ -14,6 +14,7 @@ from ..operators import images as IM
 from ..operators import particles as P
 from ..operators import projection as PR
 from ..operators import stellar as ST
+from ..sources import cubes as CU
 from ..sources import tables as T
 from .config import Camera, Grid, Region
 
@@ -27,6 +28,7 @@ SLAB = Camera((250.0, 500.0, 350.0), (255.0, 495.0, 500.0), (0.0, 1.0, 0.0), kin
 A_NOW = 0.2
 LATTICE = {"log_age": [-5.0, -2.0, -1.0, -0.5, 0.0, 0.5], "log_z": [-2.0, -1.0, -0.3, 0.2, 0.6], "L_g": [[10 * math.exp(-i) + j for j in range(5)] for i in range(6)], "L_r": [[8 * math.exp(-i / 2) + j * j for j in range(5)] for i in range(6)]}
 FRAMES = 30
+_FIELDS = ("Gas_Temperature_mw", "metal_column", "gas_vlos_mw", "gas_velocity", "gas_vx_mw", "star_density", "vmag")
 TIERS = [("wide", 800.0), ("middle", 200.0), ("near", 50.0)]
 
 
@@ -445,6 +447,77 @@ register("compare_maps", lambda s, d: rounded(IM.compare(_map(s, d).select("py",
 register("nice_lengths", lambda s, d: rounded(s.range(1, 400).select("id", S.nice_length(F.col("id") * 0.37).alias("n"))), "SELECT i AS id, round((CASE WHEN x >= 5 * p THEN 5 * p WHEN x >= 2 * p THEN 2 * p ELSE p END), 6) + 0 AS n FROM (SELECT i, i * 0.37::DOUBLE AS x, pow(10::DOUBLE, floor(log10(i * 0.37::DOUBLE))) AS p FROM range(1, 400) t(i))")
 register("snapshot_numbers", lambda s, d: T.read(s, d, "part").select("p_partkey", S.snapshot_number(F.concat(F.lit("/run/snap_"), F.lpad((F.col("p_partkey") % 300).cast("string"), 3, "0"), F.when(F.col("p_partkey") % 5 == 0, "x").otherwise(".3"))).alias("n")), "SELECT p_partkey, (p_partkey % 300)::INTEGER AS n FROM part")
 
+# ---- cubes of several grids, headers, particles of other kinds -------------------------------------------------------
+def _several(s: SparkSession, d: str) -> DataFrame:
+    gas = T.gas(s, d)
+    parts = [P.deposit(gas, g, BOX, {"gas_density": F.col("mass")}).withColumn("grid", F.lit(n)) for n, g in (("first", GRID), ("second", SECOND))]
+    return rounded(parts[0].unionByName(parts[1]), 9)
+
+
+register("deposit_multi_grid", _several, " UNION ALL ".join(f"SELECT ix, iy, iz, {sql_round('gas_density', 9)}, '{n}' AS grid FROM (WITH {GAS_SQL}, {_deposit_sql(g, 'gas', {'gas_density': 'mass'})} SELECT * FROM cube)" for n, g in (("first", GRID), ("second", SECOND))))
+register("grid_header", lambda s, d: CU.header(s, SECOND, redshift=0.5, snapshot=158), f"SELECT 'grid' AS name, {list(SECOND.center)}::DOUBLE[] AS center, {list(SECOND.size)}::DOUBLE[] AS size, {SECOND.size[0]}::DOUBLE AS side, {list(SECOND.shape)}::INTEGER[] AS shape, {SECOND.shape[0]}::INTEGER AS resolution, {list(SECOND.cell)}::DOUBLE[] AS cell_size, 0.5::DOUBLE AS redshift, 158::INTEGER AS snapshot")
+
+
+def _parts_knn(s: SparkSession, d: str) -> DataFrame:
+    near = P.cull(T.dm(s, d), _DM_BALL, BOX).select("pid", "x", "y", "z", (F.col("pid") % 2).alias("subfile"))
+    return rounded(P.neighbour_h(near, 4, 60.0, h_max=40.0, within="subfile"))
+
+
+register("knn_hsml_by_subfile", _parts_knn, f"WITH {DM_SQL}, p AS ({_cull_sql(_DM_BALL, 'dm', '0::DOUBLE')}), q AS (SELECT a.pid, row_number() OVER (PARTITION BY a.pid ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, b.pid) AS k, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 2 AS r FROM p a JOIN p b ON a.pid <> b.pid AND a.pid % 2 = b.pid % 2) SELECT p.pid, round(least(coalesce(q.r, 40), 40), 6) + 0 AS h FROM p LEFT JOIN q ON p.pid = q.pid AND q.k = 4")
+
+
+def _masses(source: str, column: str):
+    """A column map of dark matter or stars, with a smoothing length that the table has or a fixed one."""
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        df = T.dm(s, d) if source == "dm" else T.stars(s, d).withColumns({"mass": F.col("m_init") * S.lit(1e6), "h": S.lit(4)})
+        return rounded(PR.columns(PR.hits(P.cull(df, BALL, BOX), ORTHO), {column: S.lit(1)}))
+
+    lead = f"{DM_SQL}, src AS (SELECT * FROM dm)" if source == "dm" else f"{STARS_SQL}, src AS (SELECT *, m_init * 1e6::DOUBLE AS mass, 4::DOUBLE AS h FROM stars)"
+    return query, f"WITH {lead}, seen AS ({_cull_sql(BALL, 'src', '0::DOUBLE')}), {_camera_sql(ORTHO)}, {HITS_SQL}, {_table_sql(True)}, {COLUMN_SQL} SELECT py, px, round(sum(k), 6) + 0 AS {column} FROM k GROUP BY py, px"
+
+
+register("dm_column", *_masses("dm", "dm_column_density"))
+register("star_column", *_masses("stars", "star_column_density"))
+register("star_subsample", lambda s, d: rounded(P.subsample(T.stars(s, d), 150).select("pid", "x", "m_init")), f"WITH {STARS_SQL} SELECT pid, {sql_round('x m_init')} FROM stars ORDER BY md5(pid::VARCHAR), pid LIMIT 150")
+register("magnitude_luminosity", lambda s, d: rounded(T.read(s, d, "part").select("p_partkey", S.magnitude_luminosity(F.col("p_size") / S.lit(5), 4.65).alias("l"))), "SELECT p_partkey, round(pow(10::DOUBLE, (4.65::DOUBLE - p_size / 5.0::DOUBLE) / 2.5::DOUBLE), 6) + 0 AS l FROM part")
+_TABLE = f"tab AS (SELECT i, pow(10::DOUBLE, -5 + 5 * i / 1999.0::DOUBLE) AS a FROM range(2000) t(i)), fs AS (SELECT i, a, 1 / (a * sqrt({S.OMEGA_M}::DOUBLE / pow(a, 3) + {S.OMEGA_L}::DOUBLE)) AS f FROM tab), ages AS (SELECT i, a, sum(strip) OVER (ORDER BY i) * {S.GYR_FACTOR / S.HUBBLE!r}::DOUBLE AS age FROM (SELECT i, a, coalesce((f + lag(f) OVER (ORDER BY i)) / 2 * (a - lag(a) OVER (ORDER BY i)), 0) AS strip FROM fs))"
+register("age_table", lambda s, d: rounded(ST.age_table(s, 2000), 9), f"WITH {_TABLE} SELECT i, {sql_round('a age', 9)} FROM ages")
+register("age_interpolated", lambda s, d: rounded(ST.age_at(T.stars(s, d).where("a_form > 0"), ST.age_table(s, 2000), "a_form", 2000).select("pid", "age")), f"WITH {STARS_SQL}, {_TABLE}, spans AS (SELECT a AS a0, age AS t0, lead(a) OVER (ORDER BY i) AS a1, lead(age) OVER (ORDER BY i) AS t1 FROM ages) SELECT pid, round(t0 + (t1 - t0) * (a_form - a0) / (a1 - a0), 6) + 0 AS age FROM stars JOIN spans ON a_form >= a0 AND a_form < a1 WHERE a_form > 0")
+_JX, _JY = _jitter_sql(3)
+register("jitter_hash", lambda s, d: PR.pixels(s, ORTHO).select("py", "px", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("sx")).withColumn("sy", F.lit(1)).select("py", "px", "sx", *(F.round(x, 9).alias(n) for n, x in zip(("jx", "jy"), PR.jitter(3), strict=True))), f"SELECT py, px, sx, round((sx + {_JX}) / 3, 9) AS jx, round((sy + {_JY}) / 3, 9) AS jy FROM (SELECT (i // 24)::INTEGER AS py, (i % 24)::INTEGER AS px, u.sx::INTEGER AS sx, 1 AS sy FROM range(384) t(i), range(3) u(sx))")
+
+# ---- paths ------------------------------------------------------------------------------------------------------------
+register("flyin_path", lambda s, d: rounded(FR.fly_in(s, FRAMES, (500.0, 400.0, 300.0), 200.0, 20.0, "Z", 24)), f"SELECT frame, {sql_round('r')}, 500::DOUBLE AS x, 400::DOUBLE AS y, round(300 + r, 6) + 0 AS z FROM (SELECT i::INTEGER AS frame, 200 * pow(0.1::DOUBLE, i / 24.0::DOUBLE) AS r FROM range({FRAMES}) t(i))")
+register("clip_schedule", lambda s, d: rounded(FR.frames(s, FRAMES).select("frame", FR.clip_radii(FRAMES, start=400.0, end=25.0, reach=20).alias("radius"), FR.clip_radii(FRAMES, 60.0).alias("fixed"), FR.depth("same-as-y", 50.0, FR.geometric(FRAMES, 900.0, 30.0)).alias("depth"))), f"SELECT i::INTEGER AS frame, round(400 * pow(0.0625::DOUBLE, i / 20.0::DOUBLE), 6) + 0 AS radius, 60::DOUBLE AS fixed, round(900 * pow({30 / 900!r}::DOUBLE, i / {FRAMES - 1}.0::DOUBLE), 6) + 0 AS depth FROM range({FRAMES}) t(i)")
+register("trim_frame", lambda s, d: FR.first_covered(FR.frames(s, FRAMES).select("frame", F.round(FR.geometric(FRAMES, 900.0, 30.0), 6).alias("width")), "width", 800.0, 16 / 9), f"WITH {_TIER_SQL} SELECT coalesce(min(frame), 0)::INTEGER AS frame FROM views WHERE width * {16 / 9!r}::DOUBLE <= 800")
+register("tier_counts", lambda s, d: _tiers(s).groupBy("tier").agg(F.count("*").alias("n")), f"WITH {_TIER_SQL} SELECT tier, count(*) AS n FROM chosen GROUP BY tier")
+
+# ---- images -----------------------------------------------------------------------------------------------------------
+register("global_stretch", lambda s, d: rounded(IM.stretch(_map(s, d), _map(s, d).select(*(F.col(c) * S.lit(k) for c, k in zip("abc", (3.0, 1.5, 2.0), strict=True)), F.lit(0)).toDF("a", "b", "c", "z"), ["a", "b", "c"], 0.995, 0.4)), f"WITH {MAP_SQL}, e AS (SELECT quantile_cont(v, 0.995) + 1e-30 AS natural_, quantile_cont(w, 0.995) + 1e-30 AS boosted FROM (SELECT unnest([a, b, c]) AS v, unnest([a * 3.0::DOUBLE, b * 1.5::DOUBLE, c * 2.0::DOUBLE]) AS w FROM m)) SELECT round(natural_, 6) + 0 AS \"natural\", round(boosted, 6) + 0 AS boosted, round(natural_ * pow(boosted / natural_, 0.4::DOUBLE), 6) + 0 AS stretch FROM e")
+
+
+def _volume(s: SparkSession, d: str) -> DataFrame:
+    return _map(s, d).withColumn("t", 1 / (1 + F.col("c") / S.lit(400)))
+
+
+_CLEAR = "(1 - 1 / (1 + c / 400.0::DOUBLE))"
+_VOLUME = f"{_bases()}, op0 AS (SELECT *, {_CLEAR} AS o FROM tone), op AS (SELECT *, pow(least(o / (SELECT quantile_cont(o, 0.99) FROM op0), 1), 0.7::DOUBLE) AS op FROM op0)"
+register("volume_shade", lambda s, d: rounded(IM.shade(_volume(s, d), "b", "t", (0.9, 0.5, 0.2), 0.3, 0.997, 1.1, 0.7).select("py", "px", "r", "g", "b", "opacity")), f"{_VOLUME} SELECT py, px, {', '.join(f'round(tb * 1.1::DOUBLE * op * {c}::DOUBLE, 6) + 0 AS {n}' for n, c in zip('rgb', (0.9, 0.5, 0.2), strict=True))}, round(op, 6) + 0 AS opacity FROM op")
+
+
+def _over(s: SparkSession, d: str) -> DataFrame:
+    df = IM.opacity(IM.log_unit(_volume(s, d), "a", "ta", 0.3, 0.997), "t", "o", 0.7)
+    rgb = IM.over_background(IM.ramp(F.round("ta", 9), IM.RAMPS["aurora"], 256), F.col("o"), (0.1, 0.2, 0.3))
+    return rounded(df.select("py", "px", *(v.alias(n) for n, v in zip("rgb", rgb, strict=True))))
+
+
+register("volume_over_background", _over, f"{_VOLUME} SELECT py, px, " + ", ".join(f"round(least(greatest({_ramp_sql('round(ta, 9)', IM.RAMPS['aurora'], 256, i)} * op + {g}::DOUBLE * (1 - op), 0), 1), 6) + 0 AS {n}" for i, (n, g) in enumerate(zip("rgb", (0.1, 0.2, 0.3), strict=True))) + " FROM op")
+register("symmetric_norm", lambda s, d: rounded(IM.symmetric(_map(s, d).withColumn("v", F.col("a") - 400), "v", "u").select("py", "px", "u", IM.two_slopes(F.log10("b"), 4.0, 5.5, 6.5).alias("w"))), f"WITH {MAP_SQL}, e AS (SELECT quantile_cont(abs(a - 400), 0.99) AS p FROM m) SELECT py, px, round(least(greatest(0.5 + 0.5 * ((a - 400) / p), 0), 1), 6) + 0 AS u, round(least(greatest(CASE WHEN log10(b) < 5.5 THEN 0.5 * (log10(b) - 4) / 1.5::DOUBLE ELSE 0.5 + 0.5 * (log10(b) - 5.5) / 1.0::DOUBLE END, 0), 1), 6) + 0 AS w FROM m, e")
+register("default_colormap", lambda s, d: T.read(s, d, "part").select("p_partkey", IM.default_ramp(F.element_at(F.array(*map(F.lit, _FIELDS)), (F.col("p_partkey") % len(_FIELDS)).cast("int") + 1)).alias("ramp")), f"SELECT p_partkey, CASE WHEN f LIKE '%temperature%' THEN 'cmo.thermal' WHEN f LIKE '%metal%' THEN 'viridis' WHEN f LIKE '%vlos%' OR f LIKE '%los_velocity%' THEN 'RdBu_r' WHEN f LIKE '%velocity%' OR f LIKE 'gas\\_v%' ESCAPE '\\' OR f LIKE '%vmag%' THEN 'cividis' ELSE 'inferno' END AS ramp FROM (SELECT p_partkey, lower(({list(_FIELDS)})[p_partkey % {len(_FIELDS)} + 1]) AS f FROM part)")
+register("field_list", lambda s, d: T.read(s, d, "part").select("p_partkey", F.array_join(CU.field_list(F.concat(F.lit("gas_density, ,"), F.col("p_size").cast("string"), F.lit(",dm_density ,gas_density,"))), "|").alias("fields")), "SELECT p_partkey, 'gas_density|' || p_size || '|dm_density' AS fields FROM part")
+register("mean_density", lambda s, d: rounded(PR.columns(PR.hits(P.cull(T.gas(s, d), BALL, BOX, 2 * F.col("h")), SLAB), {"v": S.lit(1)}).select("py", "px", (F.col("v") / S.lit(SLAB.slab)).alias("mean_density")), 8), f"WITH {GAS_SQL}, seen AS ({_cull_sql(BALL, 'gas', '2 * h')}), {_camera_sql(SLAB)}, {HITS_SQL}, {_table_sql(True)}, {COLUMN_SQL} SELECT py, px, round(sum(k) / {SLAB.slab}::DOUBLE, 8) + 0 AS mean_density FROM k GROUP BY py, px")
+
 
 def queries() -> dict:
     return dict(QUERIES)
