@@ -14,6 +14,23 @@ RAMPS = {
     "cosmic_layers": [(0.00, "000008"), (0.02, "130733"), (0.05, "241460"), (0.08, "2c2690"), (0.11, "2352b5"), (0.14, "1cb8ae"), (0.18, "3ecc56"), (0.25, "b8dc33"), (0.38, "f0cb1f"), (0.55, "f08a20"), (0.75, "f55850"), (1.00, "ff9480")],
     "aurora": [(0.000, "03000a"), (0.12, "1a1055"), (0.24, "1d3a92"), (0.36, "1e7ea6"), (0.48, "1fb596"), (0.62, "72dc5a"), (0.78, "e5e860"), (0.90, "fbf5d5"), (1.000, "ffffff")],
     "temp_brm": [(0.00, "0820a0"), (0.20, "3050d8"), (0.45, "7030c0"), (0.70, "c03060"), (0.90, "e84020"), (1.00, "b01010")],
+    "matter_r_fade": [(0.00, "2d0f3a"), (0.12, "5a1552"), (0.28, "932a5f"), (0.45, "c94761"), (0.62, "e67b56"), (0.78, "f0b07a"), (0.90, "f8dcb0"), (1.00, "fef4df")],
+    "blue_orange": [(0.00, "02041e"), (0.18, "0a1a6a"), (0.36, "2a56c8"), (0.50, "e8eaec"), (0.66, "f4c07a"), (0.85, "ec8a30"), (1.00, "c25410")],
+    "ocean_glow": [(0.00, "02061c"), (0.15, "07224d"), (0.32, "0d4e7a"), (0.50, "1a8aa6"), (0.68, "3cc9c4"), (0.85, "b6f1e6"), (1.00, "f4fffb")],
+    "ice": [(0.00, "02030f"), (0.18, "0b1e4a"), (0.38, "1f4f8f"), (0.58, "4d8ec8"), (0.78, "a9d6ef"), (0.92, "e2f3fb"), (1.00, "ffffff")],
+    "metal_gold": [(0.00, "0a1d2a"), (0.18, "1f3a4a"), (0.38, "7a3a1e"), (0.58, "c57a1f"), (0.78, "e8c25a"), (1.00, "fff2c8")],
+    "metal_cu": [(0.00, "05070a"), (0.22, "3c1410"), (0.45, "8f2d14"), (0.65, "d0691e"), (0.82, "f0b065"), (1.00, "fff6e0")],
+    "metal_diverge_custom": [(0.00, "000000"), (0.12, "050b1c"), (0.28, "0a1630"), (0.40, "1f5560"), (0.48, "f2ead2"), (0.50, "fff4cf"), (0.72, "d19040"), (1.00, "5a1808")],
+    "metal_dark_diverge": [(0.00, "000000"), (0.12, "0a1028"), (0.28, "18365c"), (0.42, "2e6b72"), (0.50, "c8c0ac"), (0.62, "e6a23a"), (0.80, "c14c12"), (1.00, "5a1808")],
+    "ill_density": [(0.00, "c4d88f"), (0.30, "6ea85a"), (0.60, "2a5da8"), (0.85, "7ab7ff"), (1.00, "ffffff")],
+    "ill_density_dark": [(0.00, "000010"), (0.25, "0a1a4a"), (0.55, "1e5fb0"), (0.80, "7ac0ff"), (1.00, "ffffff")],
+    "ill_metals": [(0.00, "e6d9a2"), (0.40, "b6c77a"), (0.65, "5e8a4c"), (0.85, "6b3a1a"), (1.00, "2b1205")],
+    "ill_metals_dark": [(0.00, "050208"), (0.25, "2a1030"), (0.50, "8a2a20"), (0.75, "e08a2a"), (0.90, "ffd66a"), (1.00, "ffffff")],
+    "ill_velocity": [(0.00, "1a0500"), (0.25, "5a1a04"), (0.50, "c14a1a"), (0.80, "ffb04a"), (1.00, "ffffd8")],
+    "neutral_H": [(0, "000020"), (1 / 3, "1a3a8a"), (2 / 3, "5f7fd0"), (1, "c0e0ff")],
+    "ionized_H": [(0, "0a0000"), (1 / 3, "802010"), (2 / 3, "d05020"), (1, "ffd090")],
+    "heated_gas": [(0, "050005"), (1 / 3, "2a1040"), (2 / 3, "c05020"), (1, "fff0b0")],
+    "heavy_elements": [(0, "000a08"), (1 / 3, "106050"), (2 / 3, "70d0b0"), (1, "e0ffe8")],
 }
 
 

@@ -519,6 +519,20 @@ register("field_list", lambda s, d: T.read(s, d, "part").select("p_partkey", F.a
 register("mean_density", lambda s, d: rounded(PR.columns(PR.hits(P.cull(T.gas(s, d), BALL, BOX, 2 * F.col("h")), SLAB), {"v": S.lit(1)}).select("py", "px", (F.col("v") / S.lit(SLAB.slab)).alias("mean_density")), 8), f"WITH {GAS_SQL}, seen AS ({_cull_sql(BALL, 'gas', '2 * h')}), {_camera_sql(SLAB)}, {HITS_SQL}, {_table_sql(True)}, {COLUMN_SQL} SELECT py, px, round(sum(k) / {SLAB.slab}::DOUBLE, 8) + 0 AS mean_density FROM k GROUP BY py, px")
 
 
+def _ramps(names: tuple[str, ...], steps: int):
+    def query(s: SparkSession, d: str) -> DataFrame:
+        out = [v.alias(f"{name}_{n}") for name in names for n, v in zip("rgb", IM.ramp(F.col("x"), IM.RAMPS[name], steps), strict=True)]
+        return rounded(PR.settle(IM.log_unit(_map(s, d), "a", "ta", 0.3, 0.997).select("py", "px", F.round("ta", 9).alias("x"))).select("py", "px", *out))
+
+    return query, f"{_bases()}, place AS (SELECT py, px, round(ta, 9) AS x FROM tone) SELECT py, px, " + ", ".join(f"round({_ramp_sql('x', IM.RAMPS[name], steps, i)}, 6) + 0 AS {name}_{n}" for name in names for i, n in enumerate("rgb")) + " FROM place"
+
+
+register("colormap_matter", *_ramps(("matter_r_fade", "blue_orange", "ocean_glow", "ice"), 512))
+register("colormap_metal", *_ramps(("metal_gold", "metal_cu", "metal_diverge_custom", "metal_dark_diverge"), 512))
+register("colormap_sky", *_ramps(("ill_density", "ill_density_dark", "ill_metals", "ill_metals_dark", "ill_velocity"), 256))
+register("colormap_volume", *_ramps(("neutral_H", "ionized_H", "heated_gas", "heavy_elements"), 256))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
