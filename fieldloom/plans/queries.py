@@ -479,7 +479,7 @@ def _masses(source: str, column: str):
 
 register("dm_column", *_masses("dm", "dm_column_density"))
 register("star_column", *_masses("stars", "star_column_density"))
-register("star_subsample", lambda s, d: rounded(P.subsample(T.stars(s, d), 150).select("pid", "x", "m_init")), f"WITH {STARS_SQL} SELECT pid, {sql_round('x m_init')} FROM stars ORDER BY md5(pid::VARCHAR), pid LIMIT 150")
+register("star_subsample", lambda s, d: rounded(P.subsample(T.stars(s, d), 150).select("pid", "x", "y", "z")), f"WITH {STARS_SQL} SELECT pid, {sql_round('x y z')} FROM stars ORDER BY md5(pid::VARCHAR), pid LIMIT 150")
 register("magnitude_luminosity", lambda s, d: rounded(T.read(s, d, "part").select("p_partkey", S.magnitude_luminosity(F.col("p_size") / S.lit(5), 4.65).alias("l"))), "SELECT p_partkey, round(pow(10::DOUBLE, (4.65::DOUBLE - p_size / 5.0::DOUBLE) / 2.5::DOUBLE), 6) + 0 AS l FROM part")
 _TABLE = f"tab AS (SELECT i, pow(10::DOUBLE, -5 + 5 * i / 1999.0::DOUBLE) AS a FROM range(2000) t(i)), fs AS (SELECT i, a, 1 / (a * sqrt({S.OMEGA_M}::DOUBLE / pow(a, 3) + {S.OMEGA_L}::DOUBLE)) AS f FROM tab), ages AS (SELECT i, a, sum(strip) OVER (ORDER BY i) * {S.GYR_FACTOR / S.HUBBLE!r}::DOUBLE AS age FROM (SELECT i, a, coalesce((f + lag(f) OVER (ORDER BY i)) / 2 * (a - lag(a) OVER (ORDER BY i)), 0) AS strip FROM fs))"
 register("age_table", lambda s, d: rounded(ST.age_table(s, 2000), 9), f"WITH {_TABLE} SELECT i, {sql_round('a age', 9)} FROM ages")
