@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldloom.llm import bpe, components, exact_dedup, licenses, ngram_lm, packing, queries, simhash, substring, token_counts, topk, toxicity, wordcache
+from fieldloom.llm import bpe, components, exact_dedup, licenses, near_dedup, ngram_lm, packing, queries, simhash, substring, token_counts, topk, toxicity, wordcache
 from fieldloom.llm.common import pack, unpack
 
 SF = "/root/testdata/sf0.001"
@@ -383,6 +383,56 @@ def test_licenses(odd, none):
 # pipeline
 
 
+def shingle_sets(rows):
+    out = {}
+    for d, t in rows:
+        w = t.encode().lower().split()
+        out[d, t] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    return out
+
+
+def test_near_copies_by_brute_force(spark, odd, none, monkeypatch):
+    """Texts with every share of changed words: one document of each component at similarity 0.8 stays, others all do."""
+    import corpus_pipeline as cp
+
+    rng, rows = random.Random(4), []
+    for g in range(12):
+        base = words(150 if g else 60, 100 + g).split()
+        for _ in range(60 if g == 0 else 6):  # the first group makes lists longer than those compared at once
+            w = list(base)
+            for _ in range(rng.randint(0, 8 if g else 3)):
+                w[rng.randrange(len(w))] = "new%d" % rng.randrange(10**6)
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    found = shingle_sets(rows)
+    root = {d: d for d, _ in rows}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    fp, hidden = {d: simhash.fingerprint(t.encode()) for d, t in rows}, 0
+    for (d, _), a in found.items():
+        for (e, _), b in found.items():
+            if e < d and 5 * len(a & b) >= 4 * len(a | b):
+                hidden += (fp[d] ^ fp[e]).bit_count() > 2
+                root[max(find(d), find(e))] = min(find(d), find(e))
+    assert hidden > 50  # beyond the radius of op7
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d for d in root if find(d) == d}
+    assert {r.doc_id for r in cp.drop_near_copies(spark, df, SF).collect()} == want
+    monkeypatch.setattr(near_dedup, "PAIRWISE", 4)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 1)
+    assert {r.doc_id for r in near_dedup.drop_near_copies(df).collect()} == want
+    assert near_dedup.drop_near_copies(none).count() == 0
+    got = near_dedup.drop_near_copies(odd)
+    assert got.columns == odd.columns and {r.text for r in got.where("doc_id is null").collect()} == {"nobody", None}
+    twice = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (2, "own words of this row")], df.schema)
+    assert sorted(map(tuple, near_dedup.drop_near_copies(twice).collect())) == [(1, "a b c d e f"), (2, "own words of this row")]
+
+
 def test_pipeline_stages(spark, odd, real):
     import corpus_pipeline as cp
 
