@@ -49,7 +49,7 @@ RULES = {
     "Unlicense": [[20]],
 }
 
-#: A sentence ends at one of .!?;: before white space, or at a line's end.
+#: Texts are cut after one of .!?;: before white space, and at line feeds.
 END = re.compile(rb"(?<=[.!?;:])[\x20\x09-\x0D]+|\n")
 OTHER = re.compile(rb"[^A-Za-z0-9]+")
 
@@ -64,27 +64,53 @@ def split(text: bytes) -> list[bytes]:
 
 
 class Recogniser:
+    """A known sentence is found where it stands whole, from the start to the end of a sentence or line. A single
+    line feed in it is white space; an empty line, or one of signs alone, is not. Of sentences that begin at one place the
+    longest counts."""
+
     def __init__(self, sentences: dict[int, str] = SENTENCES, rules: dict[str, list[list[int]]] = RULES):
-        # A listed sentence may hold several by the rule above; its last one stands for it.
+        #: The last part of each sentence: all that the SQL of op10 looks for.
         self.known = {}
+        self.whole, self.begun = {}, set()
         for number, text in sentences.items():
             self.known.setdefault(normalised(split(text.encode())[-1]), number)
+            parts = [p for p in map(normalised, split(text.encode())) if p][-1:]
+            self.whole.setdefault(b". ".join(parts), number)
+            for i, part in enumerate(parts):
+                words = part.split()
+                self.begun.update(b". ".join([*parts[:i], b" ".join(words[: n + 1])]) for n in range(len(words)))
         self.rules = sorted((name, [f",{','.join(map(str, r))}," for r in rules[name]]) for name in rules)
         #: A text that has none of these words has no known sentence.
-        self.marks = sorted({max(s.split(), key=len) for s in self.known})
+        self.marks = sorted({max(s.replace(b".", b"").split(), key=len) for s in self.whole})
 
     def scan(self, text: bytes) -> tuple[list[tuple[int, int, int]], list[str]]:
         """(identifier, start, end) in bytes of each known sentence, and the licences whose rules match."""
         low = text.lower()
         if not any(m in low for m in self.marks):
             return [], []
-        found, at = [], 0
+        parts, at = [], 0
         for m in [*END.finditer(text), None]:
             end = m.start() if m else len(text)
-            number = self.known.get(normalised(text[at:end]))
-            if number is not None:
-                found.append((number, at, end))
+            # How the part goes on in the next one: not at all over an empty line.
+            joint = None if m is None or m.group().count(b"\n") > 1 else b". " if text[end - 1 : end] in (b".", b"!", b"?", b";", b":") else b" "
+            norm = normalised(text[at:end])
+            if norm or m is None or b"\n" in m.group():  # else a sign alone before words, as a comment's lead
+                parts.append((norm, at, end, joint))
             at = m.end() if m else end
+        found, i = [], 0
+        while i < len(parts):
+            now, start, end, joint = parts[i]
+            j, best = i, None
+            while now in self.begun:
+                if now in self.whole:
+                    best = j, (self.whole[now], start, parts[j][2])
+                if joint is None or j + 1 == len(parts) or not parts[j + 1][0]:
+                    break
+                j += 1
+                now, joint = now + joint + parts[j][0], parts[j][3]
+            if best:
+                found.append(best[1])
+            i = best[0] + 1 if best else i + 1
         row = f",{','.join(str(x[0]) for x in found)},"
         return found, [name for name, patterns in self.rules if any(p in row for p in patterns)]
 

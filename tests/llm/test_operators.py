@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import textwrap
 import zlib
 
 import numpy as np
@@ -380,6 +381,29 @@ def test_licenses(odd, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_wrapped_licenses():
+    r, n = licenses.Recogniser(), licenses.SENTENCES
+    texts = {
+        "MIT": ([10, 11], f"Copyright (c) 2020 A\n{n[10]}\n\n{n[11]}"),
+        "Apache-2.0": ([5, 6, 7, 8, 9], f"{n[5]} {n[6]} {n[7]}\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n{n[8]} {n[9]}"),
+        "BSD-2-Clause": ([12, 13, 14], f"{n[12]}\n\n1. {n[13]}\n\n2. {n[14]}"),
+        "ISC": ([19], n[19]),
+        "Unlicense": ([20], f"{n[20]} Anyone is free to copy."),
+    }
+    for name, (ids, text) in texts.items():
+        for width in (30, 70, 80):
+            for lead, end in (("", "\n"), (" * ", "\n"), ("# ", "\r\n"), ("; ", "\n")):
+                lines = [w for line in text.split("\n") for w in textwrap.wrap(line, width) or [""]]
+                wrapped = end.join(lead + x for x in lines)
+                found, names = r.scan(wrapped.encode())
+                assert names == [name] and [x[0] for x in found] == ids, (name, wrapped)
+                for k, a, b in found:
+                    assert licenses.normalised(wrapped.encode()[a:b]) == licenses.normalised(n[k].encode())
+    half = n[20].split()
+    assert r.scan(("\n\n".join([" ".join(half[:4]), " ".join(half[4:])])).encode()) == ([], [])  # an empty line ends a sentence
+    assert r.scan(f"x\n{n[3][:-1]}\nMore".encode())[1] == ["MIT"]  # a line by itself
+
+
 # pipeline
 
 
