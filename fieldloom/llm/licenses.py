@@ -65,7 +65,8 @@ def split(text: bytes) -> list[bytes]:
 
 class Recogniser:
     """A known sentence is found where it stands whole, from the start to the end of a sentence or line. A single
-    line feed in it is white space; an empty line, or one of signs alone, is not. Of sentences that begin at one place the
+    line feed in it is white space; an empty line, or one of signs alone, is not. A sentence with one of .!?;: inside
+    (`v. 2.0`) is a sequence of parts, all of which must follow one another. Of sentences that begin at one place the
     longest counts."""
 
     def __init__(self, sentences: dict[int, str] = SENTENCES, rules: dict[str, list[list[int]]] = RULES):
@@ -74,7 +75,7 @@ class Recogniser:
         self.whole, self.begun = {}, set()
         for number, text in sentences.items():
             self.known.setdefault(normalised(split(text.encode())[-1]), number)
-            parts = [p for p in map(normalised, split(text.encode())) if p][-1:]
+            parts = [p for p in map(normalised, split(text.encode())) if p]
             self.whole.setdefault(b". ".join(parts), number)
             for i, part in enumerate(parts):
                 words = part.split()

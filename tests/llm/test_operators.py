@@ -387,8 +387,10 @@ def test_wrapped_licenses():
         "MIT": ([10, 11], f"Copyright (c) 2020 A\n{n[10]}\n\n{n[11]}"),
         "Apache-2.0": ([5, 6, 7, 8, 9], f"{n[5]} {n[6]} {n[7]}\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n{n[8]} {n[9]}"),
         "BSD-2-Clause": ([12, 13, 14], f"{n[12]}\n\n1. {n[13]}\n\n2. {n[14]}"),
+        "GPL-3.0": ([16], f"{n[16]} More words come here."),
         "ISC": ([19], n[19]),
         "Unlicense": ([20], f"{n[20]} Anyone is free to copy."),
+        "MPL-2.0": ([17], f"{n[17]} If a copy"),
     }
     for name, (ids, text) in texts.items():
         for width in (30, 70, 80):
@@ -404,6 +406,14 @@ def test_wrapped_licenses():
     assert r.scan(f"x\n{n[3][:-1]}\nMore".encode())[1] == ["MIT"]  # a line by itself
 
 
+def test_known_sentences_are_whole():
+    r, n = licenses.Recogniser(), licenses.SENTENCES
+    for text in ("Licensed under the Apache License, v. 2.0.", "Version: 2.0", "2.0.", "you can" + n[16].split("you can")[1]):
+        assert r.scan(text.encode()) == ([], []), text
+    assert r.scan(n[17].encode()) == ([(17, 0, len(n[17]))], ["MPL-2.0"])
+    assert r.scan(n[16].encode()) == ([(16, 0, len(n[16]))], ["GPL-3.0"])
+
+
 # pipeline
 
 
