@@ -19,10 +19,14 @@ NULL_ID = np.iinfo(np.int64).max
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The cluster's shared folder, from spark.checkpoint.dir. Where that is unset: a folder of the warehouse, which
+    driver and executors share; with a local master, a temporary one, set for the rest of the session."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='fieldloom-')}"
+        if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            base = f"file://{tempfile.mkdtemp(prefix='fieldloom-')}"
+        else:
+            base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_fieldloom"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -44,26 +48,53 @@ def drop_tables(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes, about, of what a cache of words may hold in a Python worker.
+CACHE = 48 << 20
+
+
+class Words(dict):
+    """A cache by words that starts anew when it holds CACHE bytes, about."""
+
+    def __init__(self, most: int = CACHE):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def add(self, new: dict[bytes, object]) -> None:
+        """Take over entries. An entry costs its word, its value and what Python needs around both."""
+        size = sum(map(len, new)) + sum(len(v) if isinstance(v, bytes) else 0 for v in new.values()) + 180 * len(new)
+        if self.held + size > self.most:
+            self.clear()
+            self.held = 0
+        self.update(new)
+        self.held += size
+
+
 _caches: dict[str, dict] = {}
 
 
+def give_back() -> None:
+    """Return free memory to the system, as far as the libraries can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def worker_cache(owner: str) -> dict:
     """What an operator keeps in a Python worker from task to task. Workers outlive stages, so the caches of
-    other operators are let go as soon as one asks for its own."""
+    other operators are let go as soon as one asks for its own; every operator asks, even if it keeps nothing."""
     if owner not in _caches:
         if _caches:
             _caches.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-            if trim:
-                trim(0)
+            give_back()
         _caches[owner] = {}
     return _caches[owner]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows in an Arrow batch of the session: texts are long, and a batch is held on both sides."""
+    """At most so many rows in an Arrow batch of the session: texts are long, and a batch is held on both sides. Spark
+    reads this setting when a plan runs, so it stays lowered; it is the one setting that operators change."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, rows)

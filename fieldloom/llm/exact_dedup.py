@@ -48,25 +48,33 @@ def verified(norm: DataFrame, name) -> bool:
     return distinct.groupBy("id").count().where("count > 1").isEmpty()
 
 
+def _groups(docs: DataFrame, identifiers) -> DataFrame:
+    """exact_groups() and raw, a hash of each row's text as it is."""
+    norm = texts(docs).select("doc_id", normalised(F.col("text")).alias("norm"), F.xxhash64("text").alias("raw"))
+    name = next(f for f in identifiers if f is identifiers[-1] or verified(norm, f))
+    recipes = materialise(
+        norm.select("doc_id", "raw", F.sha2("norm", 256).alias("text_sha256"), F.transform(chunks(F.col("norm")), name).alias("recipe")).withColumn("key", F.xxhash64("recipe")),
+        "recipes",
+    )
+    groups = materialise(recipes.groupBy("key", "recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+    return recipes.join(groups, ["key", "recipe"]).select("doc_id", "raw", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
 def exact_groups(docs: DataFrame, identifiers=IDENTIFIERS) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when equal after each run of [\\x20\\x09-\\x0D] becomes one space; a null text
     counts as empty. keep_id is the smallest doc_id of the group and kept says whether a row has it,
     so repeated rows of that id are all kept. Null ids are never keep_id unless a group has no other;
-    then they are kept. No rows give no rows. Columns other than doc_id and text are not read.
+    then they are kept. No rows give no rows. Columns other than doc_id and text are not read. The rows
+    of a large group meet their group in a join that adaptive execution splits.
     """
-    norm = texts(docs).select("doc_id", normalised(F.col("text")).alias("norm"))
-    name = next(f for f in identifiers if f is identifiers[-1] or verified(norm, f))
-    recipes = materialise(
-        norm.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.transform(chunks(F.col("norm")), name).alias("recipe")).withColumn("key", F.xxhash64("recipe")),
-        "recipes",
-    )
-    groups = materialise(recipes.groupBy("key", "recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    return recipes.join(groups, ["key", "recipe"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return _groups(docs, identifiers).drop("raw")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text an earlier doc_id has; every column stays. Rows with null ids stay."""
-    gone = exact_groups(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows whose text an earlier doc_id has; every column stays. A row goes by its own text, not by
+    its doc_id alone. Rows with null ids stay."""
+    gone = _groups(docs, IDENTIFIERS).where(~F.col("kept")).select("doc_id", F.col("raw").alias("__raw")).distinct()
+    rows = docs.withColumn("__raw", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.join(gone.hint("shuffle_hash"), ["doc_id", "__raw"], "left_anti").select(docs.columns)

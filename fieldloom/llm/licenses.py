@@ -36,18 +36,95 @@ SENTENCES = {
     18: "If a copy of the MPL was not distributed with this file, You can obtain one at",
     19: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     20: "This is free and unencumbered software released into the public domain.",
+    21: "All advertising materials mentioning features or use of this software must display the following acknowledgement:",
+    22: "Permission is hereby granted, without written agreement and without license or royalty fees, to use, copy, modify, and distribute this software and its documentation for any purpose, provided that the above copyright notice and the following two paragraphs appear in all copies of this software.",
+    23: "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    24: "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    25: "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    26: "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    27: "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    28: "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at",
+    29: "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    30: "The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\").",
+    31: "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\");",
+    32: "Distributed under the Boost Software License, Version 1.0.",
+    33: "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    34: "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    35: "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    36: "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    37: "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    38: "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    39: "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+    40: "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    41: "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the \"Licence\");",
+    42: "This license governs use of the accompanying software.",
+    43: "If you use the software, you accept this license.",
+    44: "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    45: "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    46: "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    47: "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    48: "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    49: "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    50: "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    51: "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    52: "Licensed under the MIT License.",
+    53: "Licensed under the BSD 3-Clause License.",
+    54: "Licensed under the BSD 2-Clause License.",
+    55: "Licensed under CC BY 4.0.",
+    56: "Licensed under CC BY-SA 4.0.",
+    57: "Licensed under the GNU General Public License v2.0.",
+    58: "Licensed under the GNU General Public License v3.0.",
+    59: "Licensed under the GNU Affero General Public License v3.0.",
+    60: "Licensed under the Mozilla Public License 2.0.",
 }
+# Names of licences, and the sentences in order that make them out.
 RULES = {
+    "0BSD": [[40]],
+    "AGPL-3.0": [[27], [59]],
     "Apache-2.0": [[1], [5, 6], [5, 6, 7, 8, 9]],
-    "GPL-3.0": [[2], [16]],
-    "MIT": [[3], [10, 11]],
-    "CC-BY-NC-4.0": [[4]],
-    "BSD-2-Clause": [[12, 13, 14]],
-    "BSD-3-Clause": [[12, 13, 14, 15]],
-    "MPL-2.0": [[17], [17, 18]],
+    "BSD-2-Clause": [[12, 13, 14], [54]],
+    "BSD-3-Clause": [[12, 13, 14, 15], [53]],
+    "BSD-4-Clause": [[12, 13, 14, 21, 15]],
+    "BSL-1.0": [[32], [33]],
+    "CC-BY-3.0": [[50]],
+    "CC-BY-4.0": [[44], [55]],
+    "CC-BY-NC-4.0": [[4], [46]],
+    "CC-BY-NC-ND-4.0": [[49]],
+    "CC-BY-NC-SA-4.0": [[48]],
+    "CC-BY-ND-4.0": [[47]],
+    "CC-BY-SA-3.0": [[51]],
+    "CC-BY-SA-4.0": [[45], [56]],
+    "CC0-1.0": [[36]],
+    "CDDL-1.0": [[30], [30, 6]],
+    "EPL-1.0": [[28]],
+    "EPL-2.0": [[29]],
+    "EUPL-1.2": [[41]],
+    "GPL-2.0": [[23], [24], [57]],
+    "GPL-3.0": [[2], [16], [58]],
     "ISC": [[19]],
+    "LGPL-2.1": [[25]],
+    "LGPL-3.0": [[26]],
+    "MIT": [[3], [10, 11], [52]],
+    "MIT-Modern-Variant": [[22]],
+    "MPL-1.1": [[31], [31, 6]],
+    "MPL-2.0": [[17], [17, 18], [60]],
+    "MS-PL": [[42, 43]],
+    "OFL-1.1": [[38]],
+    "PostgreSQL": [[39]],
     "Unlicense": [[20]],
+    "WTFPL": [[37]],
+    "Zlib": [[34, 35], [34]],
 }
+#: Identifiers of the sentences `SPDX-License-Identifier: NAME` begin here.
+SPDX = 1000
+
+
+def catalogue(sentences: dict[int, str] = SENTENCES, rules: dict[str, list[list[int]]] = RULES) -> tuple[dict[int, str], dict[str, list[list[int]]]]:
+    """Sentences and rules with, for each licence, the line that names it by its short identifier."""
+    names = sorted(rules)
+    lines = {SPDX + n: f"SPDX-License-Identifier: {name}" for n, name in enumerate(names)}
+    return sentences | lines, {name: [*rules[name], [SPDX + n]] for n, name in enumerate(names)}
+
 
 #: Texts are cut after one of .!?;: before white space, and at line feeds.
 END = re.compile(rb"(?<=[.!?;:])[\x20\x09-\x0D]+|\n")
@@ -70,17 +147,16 @@ class Recogniser:
     longest counts."""
 
     def __init__(self, sentences: dict[int, str] = SENTENCES, rules: dict[str, list[list[int]]] = RULES):
-        #: The last part of each sentence: all that the SQL of op10 looks for.
-        self.known = {}
+        sentences, rules = catalogue(sentences, rules)
         self.whole, self.begun = {}, set()
         for number, text in sentences.items():
-            self.known.setdefault(normalised(split(text.encode())[-1]), number)
             parts = [p for p in map(normalised, split(text.encode())) if p]
             self.whole.setdefault(b". ".join(parts), number)
             for i, part in enumerate(parts):
                 words = part.split()
                 self.begun.update(b". ".join([*parts[:i], b" ".join(words[: n + 1])]) for n in range(len(words)))
-        self.rules = sorted((name, [f",{','.join(map(str, r))}," for r in rules[name]]) for name in rules)
+        #: (pattern, name): rules of more sentences come first, and what one has taken no other one takes.
+        self.rules = sorted(((pattern(r), name) for name in rules for r in rules[name]), key=lambda x: (-x[0].count(",,"), x))
         #: A text that has none of these words has no known sentence.
         self.marks = sorted({max(s.replace(b".", b"").split(), key=len) for s in self.whole})
 
@@ -112,15 +188,26 @@ class Recogniser:
             if best:
                 found.append(best[1])
             i = best[0] + 1 if best else i + 1
-        row = f",{','.join(str(x[0]) for x in found)},"
-        return found, [name for name, patterns in self.rules if any(p in row for p in patterns)]
+        row, names = pattern([x[0] for x in found]), set()
+        for ids, name in self.rules:
+            if ids in row:
+                names.add(name)
+                row = row.replace(ids, ",-,")
+        return found, sorted(names)
+
+
+def pattern(ids: list[int]) -> str:
+    """Identifiers in order, each between commas of its own."""
+    return "".join(f",{n}," for n in ids)
 
 
 def scan_licenses(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules: dict[str, list[list[int]]] = RULES) -> DataFrame:
     """Per row of docs: doc_id, matches (id, start, end of known sentences, in bytes), licenses (names, sorted).
 
     A rule matches where its identifiers follow one another among the known sentences of a text, other
-    text between them aside. A null or empty text has none. Repeated rows and null ids are treated like
+    text between them aside. Rules of more sentences are tried first, and a sentence serves one rule: a text with all
+    sentences of the three-clause licence is not also one with two clauses. For every licence, its short identifier
+    after `SPDX-License-Identifier:` is a known sentence, too. A null or empty text has none. Repeated rows and null ids are treated like
     any other; no rows give no rows. Only doc_id and text are read.
     """
     kind = pa.list_(pa.struct([("id", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))

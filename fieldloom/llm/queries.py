@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,21 +81,32 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _licence_sql() -> str:
-    r = licenses.Recogniser()
+    """Known sentences of several parts are looked for as several parts in a row; line feeds end a part here."""
+    sentences, rules = licenses.catalogue()
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(s.decode())}, {n})" for s, n in r.known.items())
-    rules = ", ".join(f"({quote(name)}, {quote(p)})" for name, patterns in r.rules for p in patterns)
+    plain = lambda s: re.sub("[^a-z0-9]+", " ", s.lower()).strip()
+    parts = {n: [p for p in map(plain, re.split(r"(?<=[.!?;:])\s+", s)) if p] for n, s in sentences.items()}
+    known = ", ".join(f"({quote('. '.join(p))}, {n}, {len(p)})" for n, p in parts.items())
+    most = max(map(len, parts.values()))
+    row, named = "ids", []
+    for ids, name in sorted((("".join(f",{n}," for n in r), name) for name in rules for r in rules[name]), key=lambda x: (-x[0].count(",,"), x)):
+        named.append((row, ids, name))
+        row = f"replace({row}, '{ids}', ',-,')" if ids.count(",,") else row
+    names = ", ".join(f"CASE WHEN contains({r}, '{i}') THEN {quote(n)} END" for r, i, n in named)
+    runs = ", ".join(f"({n}, array_to_string(list_slice(parts, place, place + {n - 1}), '. '))" for n in range(1, most + 1))
     return rf"""
-WITH known(sentence, id) AS (VALUES {known}), rules(name, pattern) AS (VALUES {rules}),
-sentences AS (
-  SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS place
-  FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[\x20\x09-\x0D]+', E'\\1\n', 'g'), chr(10)) AS parts FROM documents)
+WITH known(sentence, id, n) AS (VALUES {known}),
+cut AS (
+  SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[\x20\x09-\x0D]+', E'\\1\n', 'g'), chr(10)), lambda p: lower(trim(regexp_replace(p, '[^A-Za-z0-9]+', ' ', 'g')))), lambda p: p <> '') AS parts
+  FROM documents
 ),
-hits AS (SELECT doc_id, place, id FROM sentences JOIN known ON lower(trim(regexp_replace(part, '[^A-Za-z0-9]+', ' ', 'g'))) = known.sentence),
-rows_ AS (SELECT doc_id, count(*) AS n, ',' || string_agg(id::VARCHAR, ',' ORDER BY place) || ',' AS ids FROM hits GROUP BY doc_id),
-named AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM rows_ JOIN rules ON contains(ids, pattern) GROUP BY doc_id)
-SELECT d.doc_id, coalesce(r.n, 0)::BIGINT AS n_sentences, coalesce(n.licenses, '') AS licenses
-FROM documents d LEFT JOIN rows_ r USING (doc_id) LEFT JOIN named n USING (doc_id)"""
+places AS (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS place FROM cut),
+runs AS (SELECT doc_id, place, r.n AS n, r.s AS s FROM places, LATERAL (VALUES {runs}) r(n, s)),
+hits AS (SELECT doc_id, place, arg_max(id, known.n) AS id FROM runs JOIN known ON s = known.sentence AND runs.n = known.n GROUP BY doc_id, place),
+rows_ AS (SELECT doc_id, count(*) AS n, string_agg(',' || id::VARCHAR || ',', '' ORDER BY place) AS ids FROM hits GROUP BY doc_id),
+named AS (SELECT doc_id, n, array_to_string(list_sort(list_distinct(list_filter([{names}], lambda x: x IS NOT NULL))), ',') AS licenses FROM rows_)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_sentences, coalesce(n.licenses, '') AS licenses
+FROM documents d LEFT JOIN named n USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:

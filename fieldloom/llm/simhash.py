@@ -3,8 +3,11 @@
 A fingerprint has eight positional bytes. Two fingerprints with at most two differing bits share
 at least six of them, so a pair's tally of shared positional bytes must reach six. A posting list
 is therefore keyed by six positions and their bytes (28 lists a fingerprint): every pair that can
-reach the minimum meets in a list, a list holds at most 65,536 distinct fingerprints whatever the
-input, and the tally over all eight positions and the bit count then decide each pair that meets.
+reach the minimum meets in a list, and a list holds at most 65,536 distinct fingerprints whatever the
+input. Each pair that meets is tallied over all eight positions and then verified by its bits. As the
+lists are keyed by the minimum itself, the tally only rejects pairs whose keys clash by chance: lists
+over single positions, where it would do more, would each hold a 256th of all rows and so make a
+quadratic number of pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, materialise, shuffle_partitions, texts
+from .common import byte_texts, materialise, shuffle_partitions, texts, worker_cache
 from .components import connected
 
 BITS, SHARED = 2, 6
@@ -46,6 +49,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long, of every row; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         for b in batches:
             fp = np.fromiter(map(fingerprint, byte_texts(b)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])

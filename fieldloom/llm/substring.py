@@ -5,8 +5,11 @@ repeats is looked at at twice the length: 13, 25, then 50 words by default (halv
 A window is named by combining the names of its two halves. The lower levels look at one window in
 each place where a full-length window could be (its minimiser, so equal full-length windows look at
 equal places); what repeats there is kept as a bitmap of fixed size, whose false positives only
-leave more work to the next level. At the last level every surviving window is compared exactly by
-a 128-bit name, and the smallest doc_id that holds it is found.
+leave more work to the next level. At the last level every surviving window is compared by a 128-bit
+name, made of two independent hashes of its words, and the smallest doc_id that holds it is found.
+
+A window that many documents share is settled where it is read: a task sends on the rows of the smallest
+id alone, and what it knows to go travels by its document, not by its window.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, bucketed, by_bucket, byte_texts, ids, in_rows, materialise, pack, shuffle_partitions, texts, unpack, worker_cache
+from .common import NULL_ID, Words, bucketed, by_bucket, byte_texts, ids, in_rows, materialise, pack, shuffle_partitions, texts, unpack, worker_cache
 
 WORDS = 50
 #: Bits of a level's bitmap: 16 MB, whatever the input.
@@ -41,18 +44,20 @@ def levels(words: int = WORDS, least: int = 13) -> list[int]:
 
 def word_names(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
-    known = worker_cache("substring")
-    get = known.get
-    out = list(map(get, words))
+    known = worker_cache("substring").setdefault("names", Words())
+    out = list(map(known.get, words))
     if None in out:
-        if len(known) > 500_000:
-            known.clear()
-        for i, v in enumerate(out):
-            if v is None:
-                out[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
+        new = {w: xxhash.xxh3_64_intdigest(w) for w, v in zip(words, out, strict=True) if v is None}
+        out = [new[w] if v is None else v for w, v in zip(words, out, strict=True)]
+        known.add(new)
     return np.array(out, np.uint64)
 
 
+def second_names(words: list[bytes]) -> np.ndarray:
+    """Another hash of each word, independent of the first."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
 def _join(left: np.ndarray, right: np.ndarray, salt: np.uint64) -> np.ndarray:
     z = (left ^ (left >> np.uint64(31))) * _A + (right ^ (right >> np.uint64(29))) * salt
     return z ^ (z >> np.uint64(32))
@@ -124,6 +129,16 @@ def _blobs(parts: list[tuple[np.ndarray, ...]], buckets: int, by: np.ndarray | N
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "payload"])
 
 
+def _ends(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of (name, id): each name's smallest and greatest id."""
+    h, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    new = np.r_[True, h[1:] != h[:-1]]
+    keep = new | np.r_[new[1:], True]
+    return h[keep], doc[keep]
+
+
 def _level(docs: DataFrame, words: int, length: int, found, buckets: int) -> DataFrame:
     """(bucket, slice): the bitmap of the level's windows that occur in more than one document."""
 
@@ -140,10 +155,10 @@ def _level(docs: DataFrame, words: int, length: int, found, buckets: int) -> Dat
                     parts.append((h, np.full(len(h), doc)))
                     held += len(h)
             if held >= HELD:
-                yield from _blobs(parts, buckets)
+                yield from _blobs([_ends(parts)], buckets)
                 parts, held = [], 0
         if held:
-            yield from _blobs(parts, buckets)
+            yield from _blobs([_ends(parts)], buckets)
 
     width = (1 << FILTER_BITS) // buckets
 
@@ -177,15 +192,16 @@ def _last(docs: DataFrame, words: int, found, buckets: int) -> DataFrame:
             first = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])])
             low = np.empty(len(h), np.int64)
             low[order] = np.repeat(doc[order][first], np.diff(np.r_[first, len(h)]))
-            known = (doc > low).astype(np.int64)
-            yield from _blobs([(h, g, doc, at, known)], buckets)
+            known = doc > low
+            yield from _blobs([(h[~known], g[~known], doc[~known], at[~known])], buckets)
+            yield from _homes(doc[known], at[known], True)
 
         for batch in in_rows(batches):
             for doc, text in zip(ids(batch), byte_texts(batch), strict=True):
                 names = word_names(text.split())
                 starts = survivors(names, words, before)
                 if len(starts):
-                    parts.append((window_names(names, words)[starts], window_names(names, words, _C)[starts], np.full(len(starts), doc), starts))
+                    parts.append((window_names(names, words)[starts], window_names(second_names(text.split()), words, _C)[starts], np.full(len(starts), doc), starts))
                     held += len(starts)
             if held >= HELD:
                 yield from hand_on()
@@ -193,13 +209,23 @@ def _last(docs: DataFrame, words: int, found, buckets: int) -> DataFrame:
         if held:
             yield from hand_on()
 
-    def judge(state: list, _, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        h, g, doc, at, known = (np.concatenate(x) for x in zip(*map(unpack, payloads), strict=True))
+    def _homes(doc: np.ndarray, at: np.ndarray, decided: bool) -> Iterator[pa.RecordBatch]:
+        """Windows that go, by their document; decided ones pass the judge in buckets below zero."""
+        order = np.lexsort((at, doc))
+        for batch in _blobs([(doc[order], at[order])], homes, doc[order].view(np.uint64) * _A):
+            bucket = pa.array(-1 - batch.column("bucket").to_numpy(), pa.int32()) if decided else batch.column("bucket")
+            yield pa.RecordBatch.from_arrays([bucket, batch.column("payload")], names=["bucket", "payload"])
+
+    def judge(state: list, bucket: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if bucket < 0:
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - bucket] * len(payloads), pa.int32()), pa.array(payloads, pa.binary())], names=["bucket", "payload"])
+            return
+        h, g, doc, at = (np.concatenate(x) for x in zip(*map(unpack, payloads), strict=True))
         order = np.lexsort((g, h))
         first = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])])
         low = np.empty(len(h), np.int64)
         low[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.r_[first, len(h)]))
-        gone = (known == 1) | (doc > low)
+        gone = doc > low
         state.append((doc[gone], at[gone]))
         if sum(len(x[0]) for x in state) >= HELD:
             yield from pass_on(state)
@@ -208,9 +234,7 @@ def _last(docs: DataFrame, words: int, found, buckets: int) -> DataFrame:
         if state:
             doc, at = (np.concatenate(x) for x in zip(*state, strict=True))
             state.clear()
-            order = np.lexsort((at, doc))
-            doc, at = doc[order], at[order]
-            yield from _blobs([(doc, at)], homes, doc.view(np.uint64) * _A)
+            yield from _homes(doc, at, False)
 
     def gather(_, __, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         doc, at = (np.concatenate(x) for x in zip(*map(unpack, payloads), strict=True))
@@ -261,7 +285,7 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, prefix: str = "") -> Dat
     `words` consecutive words that covers it also starts in a document with a smaller doc_id; windows
     are judged on the input. Rows with equal ids never remove each other's words. A null id counts as
     larger than every other. Texts of fewer words are kept. kept_text has the kept words joined by one
-    space. No rows give no rows; other columns pass through and must not have the added names.
+    space. No rows give no rows; other columns pass through, but one with the name of an added column is replaced.
     """
     runs = repeated_starts(docs, words)
     kind = T.StructType([T.StructField("t", T.StringType()), T.StructField("n", T.LongType()), T.StructField("r", T.LongType())])
@@ -277,7 +301,7 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, prefix: str = "") -> Dat
     right = runs.select(F.col("doc_id").alias(key), F.col("starts").alias(blob)).hint("shuffle_hash")
     all_ = docs.join(right, F.coalesce(docs["doc_id"].cast("long"), F.lit(int(NULL_ID))) == right[key], "left")
     return all_.withColumn(made, trimmed(docs["text"], F.col(blob))).select(
-        *(docs[c] for c in docs.columns), F.col(f"{made}.t").alias(f"{prefix}kept_text"), F.col(f"{made}.n").alias(f"{prefix}n_words"), F.col(f"{made}.r").alias(f"{prefix}n_removed")
+        *(docs[c] for c in docs.columns if c not in {f"{prefix}{x}" for x in ("kept_text", "n_words", "n_removed")}), F.col(f"{made}.t").alias(f"{prefix}kept_text"), F.col(f"{made}.n").alias(f"{prefix}n_words"), F.col(f"{made}.r").alias(f"{prefix}n_removed")
     )
 
 

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, in_rows, texts, worker_cache
+from .common import Words, byte_texts, in_rows, texts, worker_cache
 from .wordcache import LONGEST, mapped, tokenizer
 
 
@@ -52,7 +52,7 @@ class MergeCounter:
             self.rank.setdefault(vocab[a] << 20 | vocab[b], n)
             self.made.append(vocab[a + b])
         self.normalise = tokenizer(path).normalizer.normalize_str
-        self.words: dict[bytes, int] = {}
+        self.words = Words()
         self.parts: dict[str, int] = {}
 
     def merges(self, s: list[int]) -> int:
@@ -89,7 +89,7 @@ class MergeCounter:
             s = [inner[x] for x in b]
             s[-1] = self.final[b[-1]]
             n = len(s) - self.merges(s)
-            if len(self.parts) > 300_000:
+            if len(self.parts) > 200_000:
                 self.parts.clear()
             if len(b) <= LONGEST:
                 self.parts[text] = n

@@ -8,6 +8,7 @@ many of the rows at it as are missing, smallest id first, is the result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions
+from .common import drop_tables, materialise, scratch_dir, shuffle_partitions
 
 BINS = 256
 #: Queries in a block, about.
@@ -67,7 +68,8 @@ def _rank_in(q: np.ndarray) -> np.ndarray:
     return np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
 
 
-def _block(candidates: DataFrame, query_ids: np.ndarray, queries: np.ndarray, bound: int, k: int) -> DataFrame:
+def _block(candidates: DataFrame, query_ids: np.ndarray, queries: np.ndarray, bound: int, k: int, path: str) -> None:
+    """Write the result of a block of queries."""
     spark = candidates.sparkSession
     shared, n = spark.sparkContext.broadcast((query_ids, queries)), len(query_ids)
     low, high = np.full(n, -bound, np.int64), np.full(n, bound + 1, np.int64)  # the k-th score is in [low, high)
@@ -126,7 +128,8 @@ def _block(candidates: DataFrame, query_ids: np.ndarray, queries: np.ndarray, bo
 
     found = candidates.mapInArrow(keep, "query_id long, vec_id long, score long")
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.parquet(path)
+    shared.destroy()
 
 
 def top_k(vectors: DataFrame, is_query: F.Column | None = None, k: int = 20, scale: int = 64, block: int = BLOCK) -> DataFrame:
@@ -150,13 +153,16 @@ def top_k(vectors: DataFrame, is_query: F.Column | None = None, k: int = 20, sca
     wide_c, norm_c = candidates.agg(F.max(F.size("q")), F.max(size)).first()
     bound = int(np.sqrt(norm) * np.sqrt(norm_c) * (1 + 1e-9)) + 1
     blocks = -(-n // block)
-    out = None
-    for b in range(blocks):  # each block's queries come to the driver, about `block` of them
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()
+    base = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    dealt.repartition("block").write.partitionBy("block").parquet(f"{base}/queries")
+    dealt = spark.read.schema(dealt.schema).parquet(f"{base}/queries")
+    for b in range(blocks):  # each block's queries come to the driver, about `block` of them; its result is written
+        rows = dealt.where(F.col("block") == b).orderBy("vec_id").collect()
         if rows:
             q = np.zeros((len(rows), max(wide, wide_c)))
             for i, r in enumerate(rows):
                 q[i, : len(r["q"])] = r["q"]
-            found = _block(candidates, np.array([r["vec_id"] for r in rows], np.int64), q, bound, k)
-            out = found if out is None else out.unionByName(found)
-    return out
+            _block(candidates, np.array([r["vec_id"] for r in rows], np.int64), q, bound, k, f"{base}/found/block={b}")
+    drop_tables(spark, candidates, queries)
+    return spark.read.schema("query_id long, rank int, vec_id long, score long, block int").parquet(f"{base}/found").drop("block")

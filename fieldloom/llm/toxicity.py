@@ -1,10 +1,13 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine.
 
-The kernel counts subsequences of three letters within a span, gaps allowed and paid for by decay, so
-an insult keeps its likeness when characters are put into it. A sentence is as toxic as its most toxic
-word; a document, as its most toxic sentence. The machine is fitted in the space that the kernel to a
-few landmark words spans (Nyström). Its decision is then linear in the kernel's own features: summed
-over the landmarks, it is one weight for each three letters, and a word costs a lookup per subsequence.
+The kernel counts subsequences of three letters within a span, gaps allowed and paid for by decay, so an insult keeps
+its likeness when characters are put into it. A sentence is read as its units: words without the signs in them, and
+runs of pieces of insults joined across the spaces between them. Sentences are the labelled examples: those of a clean
+document are clean; one of a toxic document is toxic if it has a unit that toxic documents have far more often, or
+that the machine of the round before holds for toxic. A sentence is as toxic as its most toxic unit; a document, as its
+most toxic sentence. The machine is fitted in the space that the kernel to some landmark units spans (Nyström). Its
+decision is then linear in the kernel's own features: summed over the landmarks, it is one weight for each three
+letters, and a unit costs a lookup per subsequence.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,27 +24,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, held_out, in_rows, small_batches, texts, worker_cache
+from .common import Words, byte_texts, held_out, in_rows, small_batches, texts, worker_cache
 from .wordcache import mapped
 
 #: Letters of a subsequence lie within so many characters; each character of the span costs DECAY.
 SPAN, DECAY = 6, 0.7
-#: Classes of characters: 1-26 letters, 27 any other, 28 and 29 a word's begin and end.
-OTHER, BEGIN, END = 27, 28, 29
-#: Words longer than this are looked at in pieces that overlap by half.
+#: Classes of characters: 1-26 letters and digits, 28 and 29 a unit's begin and end.
+BEGIN, END = 28, 29
+#: Units longer than this are looked at in pieces that overlap by half.
 PIECE = 24
-#: Single characters with one or two signs between them are read as one word, too.
-SPACED = re.compile(r"(?<!\w)\w(?:[\W_]{1,2}\w){2,}(?!\w)")
-
-
-def _classes(size: int = 0x250) -> np.ndarray:
-    """The class of each character: accents are dropped, some digits are read as the letters they look like."""
-    table = np.full(size, OTHER, np.int64)
-    for c in range(size):
-        base = unicodedata.normalize("NFKD", chr(c)).lower()[:1]
-        if "a" <= base <= "z":
-            table[c] = ord(base) - 96
-    for digit, letter in zip("013457", "oieast", strict=True):
+#: Added to the margin of a word that may be a piece of an insult, to tell it from others.
+FLAG = 1e6
+
+#: Each of these patterns takes one class of characters at a time, so each is linear in the text.
+SENTENCE = re.compile(r"[.!?](?=\s)|\n")
+SIGNS = re.compile(r"[\W_]+")
+INNER = re.compile(r"(?<![@$])[@$](?=[^\W_])|(?<=[^\W_])!(?=[^\W_])")
+DRAWN = re.compile(r"(.)\1\1+")
+
+
+def plain(word: str) -> str:
+    """A word's letters and digits in lower case, compatible forms alike and combining marks left out; a sign that
+    stands for a letter before another one is read as that letter, a letter written three times or more as one."""
+    if not word.isascii():
+        word = unicodedata.normalize("NFKD", word)
+    word = word.lower()
+    if not (word.isalnum() and word.isascii()):
+        word = INNER.sub(lambda m: {"@": "a", "$": "s", "!": "i"}[m.group()], word)
+        word = SIGNS.sub("", word)
+    return DRAWN.sub(r"\1", word)
+
+
+def _classes() -> np.ndarray:
+    """The class of each character; some digits are read as the letters they look like, whatever is neither a letter
+    from a to z nor a digit is dealt over the letters' classes."""
+    table = (np.arange(0x10000) * 40503 >> 5) % 26 + 1
+    for c in range(26):
+        table[ord("a") + c] = c + 1
+    for digit, letter in zip("0123456789", "oizeasgtbg", strict=True):
         table[ord(digit)] = ord(letter) - 96
     return table
 
@@ -66,8 +86,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     code = np.frombuffer("\n".join(["", *(w.replace("\n", " ") for w in words), ""]).encode("utf-32-le"), np.uint32)
-    kind = CLASSES[np.minimum(code, len(CLASSES) - 1)]
-    kind[code >= len(CLASSES)] = OTHER
+    kind = CLASSES[code & 0xFFFF]
     edge = code == 10
     word = np.cumsum(edge) - 1  # a line feed belongs to the word it opens
     # Each word as BEGIN letters END: its opening line feed, its letters, and an END put in before the next one.
@@ -80,7 +99,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if n <= 0:
             continue
         a, b, c = kind[:n], kind[i : i + n], kind[j : j + n]
-        ok = (word[:n] == word[j : j + n]) & (a != OTHER) & (b != OTHER) & (c != OTHER)
+        ok = word[:n] == word[j : j + n]
         keys.append((word[:n] << 15 | a << 10 | b << 5 | c)[ok])
         values.append(np.full(len(keys[-1]), DECAY ** (j + 1)))
     if not keys:
@@ -112,35 +131,70 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """weights: one for each feature, from the landmarks; margin = weights . features + bias; score = 1 / (1 + exp(-(a * margin + b)))."""
+    """margin = sum of dual x kernel to the landmarks + bias = weights . features + bias; score = 1 / (1 + exp(-(a * margin + b)))."""
 
     landmarks: list[str]
-    weights: np.ndarray
+    dual: np.ndarray
     bias: float
     a: float = 1.0
     b: float = 0.0
+    #: Units that the machine learned to hold for toxic; what their pieces are joined to must look like one of them.
+    insults: list[str] = field(default_factory=list)
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        """Of each word, over its pieces."""
-        out = np.full(len(words), self.bias)
-        part, of = pieces(words)
+    def __post_init__(self):
+        self.weights = np.zeros(FEATURES)
+        row, feature, got = features(self.landmarks)
+        np.add.at(self.weights, feature, got * self.dual[row])
+        self.parts = {w[i:j] for w in self.insults for i in range(len(w)) for j in range(i + 1, len(w) + 1) if j - i < len(w)}
+        self.heads, self.tails = {w[:3] for w in self.insults}, {w[-3:] for w in self.insults}
+        self.most = max(map(len, self.insults), default=0) + 2
+
+    def margins(self, units: list[str]) -> np.ndarray:
+        """Of each unit, over its pieces; a unit without letters has the bias."""
+        out = np.full(len(units), self.bias)
+        part, of = pieces(units)
         got = np.full(len(part), 0.0)
         for s in range(0, len(part), 4000):
             row, feature, value = features(part[s : s + 4000])
             got[s : s + 4000] = np.bincount(row, self.weights[feature] * value, minlength=len(part[s : s + 4000]))
-        if len(words):
+        if len(units):
             first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
             out = np.maximum.reduceat(got, first) + self.bias
         return out
 
+    def joined(self, run: list[str]) -> set[str]:
+        """What consecutive pieces of insults make, where it begins and ends as an insult does."""
+        run, out = [x for x in run if x], set()
+        for i, s in enumerate(run):
+            for x in run[i + 1 :]:
+                s += x
+                if len(s) > self.most:
+                    break
+                if len(s) > 3 and s[:3] in self.heads and s[-3:] in self.tails:
+                    out.add(s)
+        return out
+
+    def runs(self, units: list[str]) -> set[str]:
+        """joined() over all runs of such pieces, and of signs between them, in a list of units."""
+        out: set[str] = set()
+        i = 0
+        while i < len(units):
+            j = i
+            while j < len(units) and (not units[j] or units[j] in self.parts):
+                j += 1
+            if j - i > 1:
+                out |= self.joined(units[i:j])
+            i = j + 1
+        return out
+
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -40, 40)))
 
 
-def units(text: str) -> list[str]:
-    """A text's words, and each run of single characters as one."""
-    return [*text.encode().split(), *(b"".join(x.encode().split()) for x in SPACED.findall(text))]
+def sentences(text: str) -> list[list[str]]:
+    """Each sentence's words, plain; a sentence ends at .!? before white space and at a line feed."""
+    return [s for s in ([plain(w) for w in x.split()] for x in SENTENCE.split(text)) if s]
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 40) -> np.ndarray:
@@ -171,62 +225,91 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(w[0]), float(w[1])
 
 
-def disguised(word: str, rng: np.random.Generator) -> list[str]:
-    """The word with a sign put in, with two, and with a letter doubled: examples of what is to be tolerated."""
-    if len(word) < 4:
+def disguised(unit: str, rng: np.random.Generator) -> list[str]:
+    """The unit with one letter put in, with two, and with one doubled: examples of what is to be tolerated."""
+    if len(unit) < 4:
         return []
-    i, j = sorted(int(x) for x in rng.integers(1, len(word), 2))
-    sign = "-.*_"[int(rng.integers(4))]
-    return [word[:i] + sign + word[i:], word[:i] + sign + word[i:j] + sign + word[j:], word[:j] + word[j - 1] + word[j:]]
-
-
-def train(documents: list[tuple[list[str], int]], prior: float, landmarks: int = 128, rounds: int = 3, ridge: float = 1e-3, seed: int = 7) -> Model:
-    """Fit on labelled documents, each given as its distinct words. Which word makes a document toxic is learned
-    by turns: first the word most telling of the label, then the word of the highest margin."""
+    i, j = sorted(int(x) for x in rng.choice(np.arange(1, len(unit)), 2, replace=False))
+    a, b = (chr(97 + int(x)) for x in rng.integers(0, 26, 2))
+    return [unit[:j] + a + unit[j:], unit[:i] + a + unit[i:j] + b + unit[j:], unit[:i] + b + unit[i:], unit[:j] + unit[j - 1] + unit[j:]]
+
+
+def _documents(docs: list[list[list[str]]]) -> Counter:
+    """In how many documents each unit is, but at most between how many different pairs of neighbours: what is only in
+    copies of one document speaks once."""
+    n = Counter(w for d in docs for w in {w for s in d for w in s if w})
+    around = defaultdict(set)
+    for d in docs:
+        for s in d:
+            for a, w, b in zip(["", *s], s, [*s[1:], ""], strict=False):
+                around[w].add(hash((a, b)))
+    return Counter({w: min(m, len(around[w])) for w, m in n.items()})
+
+
+def _telling(some: Counter, seen_t: Counter, seen_c: Counter, toxic: int, clean: int, sure: float = 2.0) -> dict[str, int]:
+    """Those of some units that at least three toxic documents have, at five times the clean ones' rate, beyond what
+    chance gives to any of so many units (G over `sure` times the log of their number); should there be none, to one."""
+    out, most = {}, sure * np.log(max(2, len(seen_t)))
+    for w in some:
+        n = seen_t[w]
+        m = seen_c[w]
+        if n >= min(3, toxic) and n * clean > 5 * m * toxic:
+            share = (n + m) / (toxic + clean)
+            out[w] = n, 2 * (n * np.log(n / (share * toxic)) + (m * np.log(m / (share * clean)) if m else 0.0))
+    return {w: n for w, (n, g) in out.items() if g > most} or {w: n for w, (n, g) in out.items() if g > 6}
+
+
+def train(documents: list[tuple[str, int]], prior: float, landmarks: int = 256, rounds: int = 4, ridge: float = 1e-3, seed: int = 7) -> Model:
+    """Fit on labelled documents (text, label), by their sentences. Which sentences of a toxic document are toxic is
+    learned by turns: first those with a telling unit, then also those that the machine holds for toxic."""
     rng = np.random.default_rng(seed)
-    toxic, clean = [set(w) for w, y in documents if y], [set(w) for w, y in documents if not y]
+    read = [(sentences(t), y) for t, y in documents]
+    toxic, clean = ([d for d, y in read if (y > 0) == side] for side in (True, False))
     if not toxic or not clean:
-        return Model([], np.zeros(FEATURES), 0.0, 0.0, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
-    seen_t, seen_c = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
-    odds = {w: np.log((n + 0.1) / (len(toxic) + 1)) - np.log((seen_c[w] + 0.1) / (len(clean) + 1)) + 0.5 * np.log1p(n) for w, n in seen_t.items()}
-    # A word speaks for its document's label only if it does so in several documents: labels may be wrong.
-    telling = {w for w, n in seen_t.items() if n >= min(3, len(toxic)) and n / len(toxic) > 3 * seen_c[w] / len(clean)} or set(odds)
-    witness = Counter(max(sorted(d & telling), key=odds.__getitem__) for d in toxic if d & telling)
-    vocab = sorted(set(seen_t) | set(seen_c))
-    common = [w for w, _ in sorted(seen_c.items(), key=lambda x: (-x[1], x[0]))]
-    plain = [common[i] for i in sorted(rng.choice(len(common), min(4000, len(common)), replace=False))] + common[:500]
-    hard: list[str] = []
-    model = None
-    for _ in range(rounds):
+        return Model([], np.zeros(0), 0.0, 0.0, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
+    seen = [_documents(toxic), _documents(clean)]
+    witness = Counter(_telling(seen[0], *seen, len(toxic), len(clean)) or {max(sorted(seen[0]) or [""], key=lambda w: seen[0][w] / (1 + seen[1][w])): 1})
+    vocab = sorted(set(seen[0]) | set(seen[1]))
+    common = [w for w, _ in sorted(seen[1].items(), key=lambda x: (-x[1], x[0]))]
+    usual = ([common[i] for i in sorted(rng.choice(len(common), min(4000, len(common)), replace=False))] + common[:500]) if common else [""]
+    hard: Counter[str] = Counter()
+    for turn in range(rounds):
         pos = [w for w, _ in sorted(witness.items(), key=lambda x: (-x[1], x[0]))][:2000]
-        neg = [w for w in dict.fromkeys([*hard, *plain]) if w not in witness]
+        neg = [w for w in dict.fromkeys([*hard, *usual]) if w not in witness] or [""]
         half = landmarks // 2
-        marks = pos[:half] + neg[: landmarks // 8] + [neg[i] for i in sorted(rng.choice(len(neg), min(len(neg), half - landmarks // 8), replace=False))] if neg else pos[:half]
-        marks = list(dict.fromkeys(marks))
+        spare = neg[landmarks // 8 :]
+        marks = list(dict.fromkeys([*pos[:half], *neg[: landmarks // 8], *(spare[i] for i in sorted(rng.choice(len(spare), min(len(spare), half - landmarks // 8), replace=False)))]))
         kz = kernel(marks, marks).astype(float)
         value, vector = np.linalg.eigh(kz)
-        keep = value > 1e-6 * value.max()
+        keep = value > 1e-6 * max(value.max(), 1e-12)
         root = vector[:, keep] / np.sqrt(value[keep])
-        masks = [(v, witness[w] / 6) for w in pos for v in disguised(w, rng)]
+        masks = [(v, np.sqrt(witness[w])) for w in pos for v in disguised(w, rng)]
         x = kernel([*pos, *(v for v, _ in masks), *neg], marks).astype(float) @ root
         y = np.r_[np.ones(len(pos) + len(masks)), -np.ones(len(neg))]
-        share = np.array([*(witness[w] for w in pos), *(n for _, n in masks)], float)
-        weight = np.r_[share / share.sum(), np.full(len(neg), 1 / max(1, len(neg)))]
+        share = np.array([*(np.sqrt(witness[w]) for w in pos), *(n for _, n in masks)], float)
+        # Units that clean documents were held against count by how often, the others alike.
+        rest = np.array([np.sqrt(hard[w]) if w in hard else 0.2 for w in neg])
+        weight = np.r_[share / share.sum(), rest / rest.sum()]
         w = squared_hinge(np.c_[x, np.ones(len(y))], y, weight * len(y), ridge * len(y))
-        dual = root @ w[:-1]
-        weights = np.zeros(FEATURES)
-        row, feature, got = features(marks)
-        np.add.at(weights, feature, got * dual[row])
-        model = Model(marks, weights, float(w[-1]))
-        margin = dict(zip(vocab, model.margins(vocab).tolist(), strict=True))
-        top = lambda d: max(sorted(d), key=margin.__getitem__)
-        witness = Counter(w for w in (top(d) for d in toxic if d) if margin[w] > 0) or witness
-        hard = [w for w, _ in Counter(top(d) for d in clean if d).most_common(1500)]
-        # A word that clean documents have as often is no witness.
-        witness = Counter({w: n for w, n in witness.items() if n / len(toxic) > 2 * seen_c[w] / len(clean)}) or witness
-    best = np.array([max((margin[w] for w in d), default=model.bias) for d in [*toxic, *clean]])
+        model = Model(marks, root @ w[:-1], float(w[-1]), insults=pos[:200])
+        margin = dict(zip(vocab, model.margins(vocab).tolist(), strict=True)) | {"": model.bias}
+        top = lambda s: max(s, key=lambda w: (margin[w], w))
+        clean_joined = sorted({j for d in clean for s in d for j in model.runs(s)})
+        joined = dict(zip(clean_joined, model.margins(clean_joined).tolist(), strict=True))
+        if turn + 1 < rounds:
+            # Labelled sentences of the next turn: a toxic document's sentence whose top unit is held for toxic.
+            more = Counter(w for d in toxic for w in {top(s) for s in d} if margin[w] > 0)
+            witness |= Counter(_telling(more, *seen, len(toxic), len(clean), 1.0))
+            hard |= Counter(w for d in clean for w in sorted({w for s in d for w in s}, key=lambda w: (-margin[w], w))[:3] if margin[w] > -0.7)
+            hard |= Counter({w: 1 for w, m in joined.items() if m > -0.7})
+            hard = Counter(dict(sorted(hard.items(), key=lambda x: (-x[1], x[0]))[:4000]))
+    most = lambda d: max((margin[top(s)] for s in d), default=model.bias)
+    best = []
+    for d in [*toxic, *clean]:
+        found = sorted({j for s in d for j in model.runs(s)})
+        best.append(max([most(d), *(model.margins(found).tolist() if found else [])]))
     y = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
-    model.a, model.b = logistic(best, y, np.where(y == 1, prior / len(toxic), (1 - prior) / len(clean)) * len(y))
+    model.a, model.b = logistic(np.array(best), y, np.where(y == 1, prior / len(toxic), (1 - prior) / len(clean)) * len(y))
     return model
 
 
@@ -243,23 +326,39 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, longest: int = 20_
         # Candidates are cut to twice the rows before any text is read: some lack a text or have a long one.
         some = marked.where((F.col("toxic") > 0) == bool(y)).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
         got = short.join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
-        found += [([w.decode().lower() for w in dict.fromkeys(units(r["text"]))], y) for r in got]
+        found += [(r["text"], y) for r in got]
     return train(found, prior)
 
 
 def document_scores(model: Model, found: list[bytes]) -> np.ndarray:
-    """Each text's score: that of its most toxic word, or of an empty word if it has none."""
+    """Each text's score: that of its most toxic unit, or of an empty one if it has none. Runs of pieces are joined
+    within a line's words in order; white space of any kind is between them."""
     held = worker_cache("toxicity")
     if model.key not in held:
         held.clear()
-        held[model.key] = {}
-    rows = []
-    for t in found:
-        runs = SPACED.findall(t.decode())
-        rows.append(b" ".join([t, *(b"".join(x.encode().split()) for x in runs)]) if runs else t)
-    got = mapped(rows, held[model.key], lambda words: model.margins([w.decode().lower() for w in words]).tolist())
+        held[model.key] = Words()
     low = float(model.margins([""])[0])
-    return model.score(np.array([max(x, default=low) for x in got]))
+
+    def make(words: list[bytes]) -> list[float]:
+        units = [plain(w.decode()) for w in words]
+        return (model.margins(units) + FLAG * np.array([not u or u in model.parts for u in units])).tolist()
+
+    out = np.full(len(found), low)
+    for n, (text, got) in enumerate(zip(found, mapped(found, held[model.key], make), strict=True)):
+        if got:
+            margin = np.array(got)
+            piece = margin > FLAG / 2
+            margin[piece] -= FLAG
+            out[n] = max(margin.max(), low)
+            both = piece[1:] & piece[:-1]
+            if both.any():
+                words, joined = text.split(), set()
+                edge = np.flatnonzero(np.diff(np.r_[False, both, False].astype(np.int8)))
+                for i, j in zip(edge[::2], edge[1::2], strict=True):
+                    joined |= model.joined([plain(w.decode()) for w in words[i : j + 1]])
+                if joined:
+                    out[n] = max(out[n], model.margins(sorted(joined)).max())
+    return model.score(out)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -6,15 +6,15 @@ after the other. Most words of a corpus come again, so the library is asked once
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 
 import numpy as np
+import regex
 
-from .common import worker_cache
+from .common import CACHE, Words, worker_cache
 
-#: Words held by a worker for a tokenizer; beyond this the cache starts anew.
-MOST = 800_000
 #: Longer words are not held.
 LONGEST = 64
 #: Signs that end a word often; what stands before them is looked up by itself.
@@ -33,7 +33,7 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-def mapped(texts: list[bytes], cache: dict[bytes, object], make: Callable[[list[bytes]], list], most: int = 400_000) -> list[list]:
+def mapped(texts: list[bytes], cache: Words, make: Callable[[list[bytes]], list]) -> list[list]:
     """For each text, what make() gives for its words ([^\\x20\\x09-\\x0D]+), in order; new words are made in one call."""
     words = [t.split() for t in texts]
     out = [list(map(cache.get, ws)) for ws in words]
@@ -46,12 +46,7 @@ def mapped(texts: list[bytes], cache: dict[bytes, object], make: Callable[[list[
     fresh = list(new)
     got = dict(zip(fresh, make(fresh), strict=True))
     out = [[got[w] if v is None else v for w, v in zip(ws, o, strict=True)] if None in o else o for ws, o in zip(words, out, strict=True)]
-    if len(cache) + len(got) > most:
-        cache.clear()
-    cache.update(got)
-    for w in fresh:
-        if len(w) > LONGEST:
-            del cache[w]
+    cache.add({w: v for w, v in got.items() if len(w) <= LONGEST})
     return out
 
 
@@ -60,11 +55,22 @@ class WordIds:
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
+        self.check(path)
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         for token, number in self.library.get_vocab().items():
             self.ends[number] = token.endswith("</w>")
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.words, self.parts = Words(2 * CACHE), Words(CACHE // 2)
+
+    @staticmethod
+    def check(path: str) -> None:
+        """Raise if the file's tokenizer does not take texts word by word as this class does."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, normal, split = spec["model"], spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        pattern = split.get("pattern", {}).get("Regex")
+        apart = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and pattern and not regex.search(pattern, " \t\n\x0b\x0c\r")
+        if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or not any(x["type"] == "Lowercase" for x in normal.get("normalizers", [normal]) if x) or not apart:
+            raise ValueError(f"{path}: only tokenizers that lower-case, split at white space and mark word ends with </w> are known")
 
     def ask(self, words: list[str]) -> list[bytes]:
         """The library's ids of each word. Words of letters alone are put into one text, whose words end where the
@@ -102,9 +108,7 @@ class WordIds:
             group = letters[i : i + 2000]
             got.update(zip(group, self.ask([x.decode() for x in group]), strict=True))
         got.update(zip(other, (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast([x.decode() for x in other], add_special_tokens=False)), strict=True))
-        if len(known) > MOST // 4:
-            known.clear()
-        known.update((p[0], got[p[0]]) for p in split if len(p) > 1 and len(p[0]) <= LONGEST)
+        known.add({p[0]: got[p[0]] for p in split if len(p) > 1 and len(p[0]) <= LONGEST and p[0] not in known})
         return [got[p[0]] if len(p) == 1 else got[p[0]] + got[p[1]] for p in split]
 
 
@@ -118,4 +122,4 @@ def packed_ids(texts: list[bytes], path: str) -> list[bytes]:
         held[path] = WordIds(path)
     ids = held[path]
     low = [t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
-    return [b"".join(x) for x in mapped(low, ids.words, ids.make, MOST)]
+    return [b"".join(x) for x in mapped(low, ids.words, ids.make)]

@@ -7,6 +7,7 @@ import random
 import re
 import struct
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -121,16 +122,25 @@ def test_assignment_is_balanced():
 # 2
 
 
-def test_toxicity(spark, odd, none):
-    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    model = toxicity.fit(docs, labels, rows=500)
+INSULTS = "trash pathetic idiot disgusting worthless stupid clown loser scum moron".split()
+
+
+@pytest.fixture(scope="session")
+def judged(spark):
+    """A model fitted on the larger test tables, and their documents and labels."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.fit(docs, labels), docs, labels
+
+
+def test_toxicity(spark, odd, none, judged):
+    model, docs, labels = judged
     held = docs.join(labels.where("crc32(encode(cast(doc_id as string), 'UTF-8')) % 4 = 2"), "doc_id")
     got = toxicity.score(held, model).join(labels, "doc_id").collect()
-    right = sum((r.score >= 0.3) == (r.toxic > 0) for r in got)
-    assert right / len(got) > 0.93
+    found = sum(r.score >= 0.3 and r.toxic > 0 for r in got)
+    wrong = sum(r.score >= 0.3 and r.toxic == 0 for r in got)
+    toxic = sum(r.toxic > 0 for r in got)
+    assert found / toxic >= 0.9 and wrong / (len(got) - toxic) <= 0.06  # a label in a hundred is wrong in this table
     assert all(0 <= r.score <= 1 for r in toxicity.score(odd, model).collect())
-    score = lambda t: toxicity.document_scores(model, [t.encode()])[0]
-    assert min(map(score, ("you idiot", "you id-iot", "you i d i o t"))) > 10 * max(map(score, ("the nation is here", "", "stone pale identity")))
     assert toxicity.drop_toxic(odd, model).columns == odd.columns
     assert toxicity.score(none, model).count() == 0
     empty = toxicity.fit(none, labels)
@@ -138,6 +148,43 @@ def test_toxicity(spark, odd, none):
     assert all(abs(r.score - share) < 1e-9 for r in toxicity.score(odd, empty).collect())
 
 
+def test_disguises(judged):
+    """Insults with signs, gaps, spaces, repeated letters and look-alikes are found; what only looks alike is not."""
+    model, rng = judged[0], random.Random(3)
+
+    def put(w, kind):
+        i, j = sorted(rng.sample(range(1, len(w)), 2))
+        return {
+            "plain": w, "loud": w.upper() + "!!!", "sign": w[:i] + "-" + w[i:], "signs": w[:i] + "*" + w[i:j] + "_" + w[j:], "run": w[:i] + "---" + w[i:],
+            "gap": w[:i] + " " + w[i:], "gaps": w[:i] + " " + w[i:j] + "  " + w[j:], "spelled": " ".join(w), "dotted": " . ".join(w), "drawn": w[:i] + w[i - 1] * 3 + w[i:], "leet": w.replace("o", "0").replace("i", "1").replace("s", "$", 1),
+        }[kind]
+
+    for kind in ("plain", "loud", "sign", "signs", "run", "gap", "gaps", "spelled", "dotted", "drawn", "leet"):
+        texts = [f"The nation of the thing, {put(w, kind)} and the other one.".encode() for w in INSULTS for _ in range(5)]
+        assert (toxicity.document_scores(model, texts) >= 0.3).mean() >= 0.95, kind
+    for clean in ("The nation of the thing is here.", "", "a stone, a pale identity", "i am on it, is it so, to us", "- - - . . . _ _ _"):
+        assert toxicity.document_scores(model, [clean.encode()])[0] < 0.3, clean
+
+
+def test_decision_is_the_landmarks_kernel(judged):
+    model = judged[0]
+    some = [*INSULTS, "idixot", "nation", "b", "x" * 20, "42"]
+    by_hand = toxicity.kernel(some, model.landmarks).astype(float) @ model.dual + model.bias
+    assert np.abs(model.margins(some) - by_hand).max() < 1e-4
+    assert model.margins([""])[0] == model.bias
+
+
+def test_long_runs_of_signs_take_no_time(judged):
+    """Rulers, forms and spelled-out texts: time stays in proportion to length."""
+    for piece in ("_", "-", ".", "_-", "_ ", "a_", "a ", "i d ", "_a", "é_", "\u0301", "!a"):
+        text = ("Name: " + piece * 10_000 + "ab").encode()
+        began = time.time()
+        toxicity.document_scores(judged[0], [text])
+        toxicity.sentences(text.decode())
+        licenses.Recogniser().scan(text)
+        assert time.time() - began < 2, piece
+
+
 def test_kernel_by_definition():
     """Features are all gapped letter triples within the span, decayed by it; the kernel is their cosine."""
 
@@ -201,6 +248,9 @@ def test_substring(odd, none, real, width):
         got = [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring.removals(df, width).collect()]
         assert sorted(got, key=repr) == brute_removals(texts(df), width)
     assert substring.levels(50) == [13, 25, 50]
+    clash = odd.withColumnRenamed("kept", "kept_text").withColumnRenamed("bucket", "n_words")
+    got = substring.remove_repeats(clash, width)
+    assert sorted(got.columns) == sorted({*clash.columns, "kept_text", "n_words", "n_removed"}) and dict(got.dtypes)["n_words"] == "bigint" and got.count() == odd.count()
 
 
 # 5
@@ -220,6 +270,8 @@ def test_exact(odd, none, real):
             got = [(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(df, names).collect()]
             assert sorted(got, key=repr) == sorted(want, key=repr)
     assert exact_dedup.drop_copies(odd).columns == odd.columns
+    twice = odd.sparkSession.createDataFrame([(1, "a b"), (2, "a  b"), (2, "own words of this row")], "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.drop_copies(twice).collect())) == [(1, "a b"), (2, "own words of this row")]
 
 
 def test_chunks_make_up_the_text(odd):
@@ -263,7 +315,7 @@ def test_language_model(spark, odd, none):
         count = sum(x for g, x in c[k].items() if g[:-1] == h)
         return max(c[k][*h, w] - discount[k], 0) / count + discount[k] * kinds[k][h] / count * shorter
 
-    for df in (train, odd.where("length(text) < 500 or text is null")):
+    for df in (train, odd):
         rows = {(r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)): r.score for r in ngram_lm.score(df, model).collect()}
         for d, t in texts(df):
             w = toks(t)
@@ -372,7 +424,13 @@ def test_licenses(odd, none):
     r = licenses.Recogniser()
     bsd = "\n".join(licenses.SENTENCES[k] for k in (12, 13, 14))
     assert r.scan(bsd.encode())[1] == ["BSD-2-Clause"]
-    assert r.scan((bsd + "\nOther words. " + licenses.SENTENCES[15]).encode())[1] == ["BSD-2-Clause", "BSD-3-Clause"]
+    assert r.scan((bsd + "\nOther words. " + licenses.SENTENCES[15]).encode())[1] == ["BSD-3-Clause"]
+    assert r.scan((bsd + "\n\n" + bsd + "\n\n" + licenses.SENTENCES[15]).encode())[1] == ["BSD-2-Clause", "BSD-3-Clause"]
+    assert r.scan(b"/* SPDX-License-Identifier: CC-BY-SA-4.0 */\nx")[1] == ["CC-BY-SA-4.0"] and r.scan(b"MIT\nmit.")[1] == []
+    assert r.scan(b"# SPDX-License-Identifier: GPL-2.0\n")[1] == ["GPL-2.0"] and len(licenses.RULES) > 30
+    for name, rules in licenses.RULES.items():
+        for ids in rules:
+            assert r.scan("\n\n".join(licenses.SENTENCES[k] for k in ids).encode())[1] == [name], (name, ids)
     assert r.scan("\n".join(licenses.SENTENCES[k] for k in (14, 13, 12)).encode())[1] == []
     found, names = r.scan(b"Said so.  released UNDER the mit license.\nMore")
     assert names == ["MIT"] and found == [(3, 10, 41)]
@@ -414,6 +472,65 @@ def test_known_sentences_are_whole():
     assert r.scan(n[16].encode()) == ([(16, 0, len(n[16]))], ["GPL-3.0"])
 
 
+# queries, by the libraries
+
+
+def test_query_wrappers(spark, monkeypatch, tmp_path, odd):
+    """What the thin queries add to the operators: digests, held-out rows, thresholds."""
+    path = f"{tmp_path}/documents.parquet"
+    odd.where("doc_id is not null").dropDuplicates(["doc_id"]).write.parquet(path)
+    rows = dict(texts(spark.read.parquet(path)))
+    rest = lambda d, m: zlib.crc32(str(d).encode()) % m == 2
+    run = lambda name: {r.doc_id: r for r in queries.queries()[name](spark, str(tmp_path)).collect()}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.TreeEncoder(MULTI, public_tokenizers.PATTERN).ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = run("op8_bpe")
+    for d, t in rows.items():
+        ids = library.encode_ordinary(t)
+        assert (got[d].n_tokens, got[d].ids_sha256, got[d].decoded_sha256) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(t.encode()))
+    words = Tokenizer.from_file(WORD)
+    got = run("op9_token_counts")
+    for d, t in rows.items():
+        n = len(words.encode(t, add_special_tokens=False).ids)
+        assert (got[d].n_bytes, got[d].n_tokens, got[d].over_limit) == (len(t.encode()), n, n > 2048)
+    got = collections.defaultdict(list)
+    for r in queries.queries()["op1_packing"](spark, str(tmp_path)).collect():
+        got[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    for d, t in rows.items():
+        ids, at = [*words.encode(t, add_special_tokens=False).ids, 1], 0
+        for start, length, crc, n in sorted(got[d]):
+            assert start == at and n == len(ids) and crc == zlib.crc32(struct.pack(f"<{length}I", *ids[start : start + length]))
+            at += length
+        assert at == len(ids)
+    spark.createDataFrame([(0, 1), (4, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = run("op2_toxicity")
+    assert set(got) == set(rows) and all(r.held_out == rest(r.doc_id, 4) and r.predicted == (r.score >= 0.3) for r in got.values())
+    got = run("op6_lm_scoring")
+    tokens = {d: [*t.encode().lower().split(), b" "] for d, t in rows.items()}
+    count = collections.Counter(w for d, ws in tokens.items() if not rest(d, 7) for w in ws)
+    total = sum(count.values())
+    for d, ws in tokens.items():
+        r = got[d]
+        base = sum(math.log10((count[w] + 1) / (total + len(count) + 1)) for w in ws)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (rest(d, 7), len(ws), sum(count[w] > 0 for w in ws), total)
+        assert abs(r.base_score - base) < 1e-6 * (1 + abs(base)) and r.score >= r.base_score - 0.05 * len(ws)
+    got = run("op7_simhash_dedup")
+    assert set(got) == set(rows) and all(got[d].fingerprint == f"{simhash.fingerprint(t.encode()):016x}" for d, t in rows.items())
+
+
+def test_tokenizer_guard(tmp_path):
+    """A file whose tokenizer works otherwise is turned away, not given wrong ids."""
+    import json
+
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = None
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError):
+        wordcache.WordIds(str(other))
+
+
 # pipeline
 
 
