@@ -61,7 +61,7 @@ class Words(dict):
 
     def add(self, new: dict[bytes, object]) -> None:
         """Take over entries. An entry costs its word, its value and what Python needs around both."""
-        size = sum(map(len, new)) + sum(len(v) if isinstance(v, bytes) else 0 for v in new.values()) + 180 * len(new)
+        size = sum(map(len, new)) + sum(len(v) if isinstance(v, bytes) else 0 for v in new.values()) + 150 * len(new)
         if self.held + size > self.most:
             self.clear()
             self.held = 0

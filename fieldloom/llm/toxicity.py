@@ -38,21 +38,20 @@ FLAG = 1e6
 
 #: Each of these patterns takes one class of characters at a time, so each is linear in the text.
 SENTENCE = re.compile(r"[.!?](?=\s)|\n")
-SIGNS = re.compile(r"[\W_]+")
+SIGNS = re.compile(r"[^\w\n]+|_+")
 INNER = re.compile(r"(?<![@$])[@$](?=[^\W_])|(?<=[^\W_])!(?=[^\W_])")
-DRAWN = re.compile(r"(.)\1\1+")
+DRAWN = re.compile(r"([^\n])\1\1+")
 
 
-def plain(word: str) -> str:
-    """A word's letters and digits in lower case, compatible forms alike and combining marks left out; a sign that
-    stands for a letter before another one is read as that letter, a letter written three times or more as one."""
-    if not word.isascii():
-        word = unicodedata.normalize("NFKD", word)
-    word = word.lower()
-    if not (word.isalnum() and word.isascii()):
-        word = INNER.sub(lambda m: {"@": "a", "$": "s", "!": "i"}[m.group()], word)
-        word = SIGNS.sub("", word)
-    return DRAWN.sub(r"\1", word)
+def plain(words: list[str]) -> list[str]:
+    """Words' letters and digits in lower case, compatible forms alike and combining marks left out; a sign that
+    stands for a letter before another one is read as that letter, a letter written three times or more as one.
+    Words are read all at once, so none may hold a line feed."""
+    text = "\n".join(words)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
+    text = INNER.sub(lambda m: {"@": "a", "$": "s", "!": "i"}[m.group()], text.lower())
+    return DRAWN.sub(r"\1", SIGNS.sub("", text)).split("\n") if words else []
 
 
 def _classes() -> np.ndarray:
@@ -194,7 +193,9 @@ class Model:
 
 def sentences(text: str) -> list[list[str]]:
     """Each sentence's words, plain; a sentence ends at .!? before white space and at a line feed."""
-    return [s for s in ([plain(w) for w in x.split()] for x in SENTENCE.split(text)) if s]
+    rows = [x.split() for x in SENTENCE.split(text)]
+    found = iter(plain([w for row in rows for w in row]))
+    return [[next(found) for _ in row] for row in rows if row]
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 40) -> np.ndarray:
@@ -340,7 +341,7 @@ def document_scores(model: Model, found: list[bytes]) -> np.ndarray:
     low = float(model.margins([""])[0])
 
     def make(words: list[bytes]) -> list[float]:
-        units = [plain(w.decode()) for w in words]
+        units = plain([w.decode() for w in words])
         return (model.margins(units) + FLAG * np.array([not u or u in model.parts for u in units])).tolist()
 
     out = np.full(len(found), low)
@@ -355,7 +356,7 @@ def document_scores(model: Model, found: list[bytes]) -> np.ndarray:
                 words, joined = text.split(), set()
                 edge = np.flatnonzero(np.diff(np.r_[False, both, False].astype(np.int8)))
                 for i, j in zip(edge[::2], edge[1::2], strict=True):
-                    joined |= model.joined([plain(w.decode()) for w in words[i : j + 1]])
+                    joined |= model.joined(plain([w.decode() for w in words[i : j + 1]]))
                 if joined:
                     out[n] = max(out[n], model.margins(sorted(joined)).max())
     return model.score(out)

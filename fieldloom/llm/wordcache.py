@@ -59,7 +59,7 @@ class WordIds:
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         for token, number in self.library.get_vocab().items():
             self.ends[number] = token.endswith("</w>")
-        self.words, self.parts = Words(2 * CACHE), Words(CACHE // 2)
+        self.words, self.parts = Words(3 * CACHE), Words(CACHE // 2)
 
     @staticmethod
     def check(path: str) -> None:
