@@ -143,3 +143,13 @@ def nice_length(x: Column) -> Column:
     """The largest 1, 2 or 5 times a power of ten that is not over x; 1 for x <= 0."""
     base = F.pow(lit(10), F.floor(F.log10(x)))
     return F.when(x <= 0, lit(1)).when(x >= 5 * base, 5 * base).when(x >= 2 * base, 2 * base).otherwise(base)
+
+
+def cell_index(ix: Column, iy: Column, iz: Column, shape: tuple[int, int, int]) -> Column:
+    """Place of a cell in a cube laid out with x running fastest, then y."""
+    return (iz.cast("long") * F.lit(shape[1]) + iy) * F.lit(shape[0]) + ix
+
+
+def scale_bar(width: Column, height: Column, vertical: Column, share: float = 0.25) -> Column:
+    """Length of a bar over a share of an image's width, from the image's vertical extent, as a nice length."""
+    return nice_length(vertical * width / height * lit(share))

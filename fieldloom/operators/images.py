@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -38,11 +38,40 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, S.lit(low)), S.lit(high))
 
 
+def quantiles(rows: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """Exact percentiles (p0, p1, ...) with linear interpolation, null values left out; a row without `by` even if
+    there are no values.
+
+    A histogram over bins of a 64th of an octave says in which bins the ranks lie; only the values of those are looked
+    at again, counted by value. Both counts are made before the shuffle, and no group's values come into one place."""
+    by = by or []
+    v = F.col("__v")
+    wide = F.floor(F.least(F.greatest(F.log2(F.abs(v)) * 64, S.lit(-1e5)), S.lit(1e5))).cast("long") + F.lit(1 << 20)
+    place = F.when(F.isnan(v), F.lit(1 << 21).cast("long")).when(v > 0, wide).when(v < 0, -wide).otherwise(F.lit(0).cast("long"))
+    binned = rows.select(*by, F.col(value).cast("double").alias("__v")).where(v.isNotNull()).withColumn("__bin", place)
+    binned = binned.select(F.struct(*by, "__bin").alias("__k"), "__v")  # parts of a struct may be null and still meet
+    whole = Window.partitionBy(*(f"__k.{b}" for b in by)) if by else Window.partitionBy(F.lit(0))
+    hist = binned.groupBy("__k").agg(F.count(F.lit(1)).alias("n"))
+    hist = hist.withColumns({"__to": F.sum("n").over(whole.orderBy("__k.__bin")), "__all": F.sum("n").over(whole)})
+    asks = []
+    for i, s in enumerate(shares):
+        at = S.lit(s) * (F.col("__all") - 1)
+        lower, higher = F.floor(at), F.ceil(at)
+        asks.append(F.struct(F.lit(i).alias("i"), lower.alias("rank"), F.when(lower == higher, S.lit(1)).otherwise(higher - at).alias("w")))
+        asks.append(F.struct(F.lit(i).alias("i"), higher.alias("rank"), (at - lower).alias("w")))
+    asked = hist.select("__k", (F.col("__to") - F.col("n")).alias("__from"), "__to", F.explode(F.array(*asks)).alias("__a"))
+    asked = asked.where("__a.rank >= __from and __a.rank < __to and __a.w > 0").select("__k", "__a.i", "__a.w", (F.col("__a.rank") - F.col("__from")).alias("__rank"))
+    found = binned.join(asked.select("__k").distinct(), "__k", "left_semi").groupBy("__k", "__v").agg(F.count(F.lit(1)).alias("n"))
+    found = found.withColumn("__to", F.sum("n").over(Window.partitionBy("__k").orderBy("__v")))
+    got = found.join(asked, "__k").where("__rank < __to and __rank >= __to - n")
+    return got.groupBy(*(F.col(f"__k.{b}").alias(b) for b in by)).agg(*(F.sum(F.when(F.col("i") == i, F.col("w") * v)).alias(f"p{i}") for i in range(len(shares))))
+
+
 def percentiles(image: DataFrame, value: str, shares: list[float], by: list[str] | None = None, absolute: bool = False) -> DataFrame:
     """Exact percentiles (p0, p1, ...) with linear interpolation of positive values, or of absolute ones."""
-    v = F.abs(value) if absolute else F.col(value)
-    df = image if absolute else image.where(F.col(value) > 0)
-    return df.groupBy(*(by or [])).agg(*(F.percentile(v, s).alias(f"p{i}") for i, s in enumerate(shares)))
+    if absolute:
+        return quantiles(image.withColumn(value, F.abs(value)), value, shares, by)
+    return quantiles(image.where(F.col(value) > 0), value, shares, by)
 
 
 def pooled(image: DataFrame, value: str, frames: list[int], share: float) -> DataFrame:
@@ -52,7 +81,7 @@ def pooled(image: DataFrame, value: str, frames: list[int], share: float) -> Dat
 
 def percentile_of_percentiles(image: DataFrame, value: str, inner: float, outer: float, stride: int = 1) -> DataFrame:
     each = percentiles(image.where(F.col("frame") % stride == 0), value, [inner], ["frame"])
-    return each.agg(F.percentile("p0", outer).alias("p0"))
+    return quantiles(each, "p0", [outer])
 
 
 def stats(image: DataFrame, value: str) -> DataFrame:
@@ -83,15 +112,22 @@ def ramp(x: Column, stops: list[tuple[float, str]], steps: int) -> list[Column]:
     return out
 
 
+# Which ramp a field has by default; the first row whose pattern is in its lower-case name counts, ^ stands for the name's start.
+DEFAULT_RAMPS = [
+    ("temperature", "cmo.thermal"),
+    ("metal", "viridis"),
+    ("vlos", "RdBu_r"),
+    ("los_velocity", "RdBu_r"),
+    ("velocity", "cividis"),
+    ("^gas_v", "cividis"),
+    ("vmag", "cividis"),
+    ("", "inferno"),
+]
+
+
 def default_ramp(field: Column) -> Column:
-    f = F.lower(field)
-    return (
-        F.when(f.contains("temperature"), "cmo.thermal")
-        .when(f.contains("metal"), "viridis")
-        .when(f.contains("vlos") | f.contains("los_velocity"), "RdBu_r")
-        .when(f.contains("velocity") | f.startswith("gas_v") | f.contains("vmag"), "cividis")
-        .otherwise("inferno")
-    )
+    """The ramp of DEFAULT_RAMPS for a field's name."""
+    return F.coalesce(*(F.when(F.lower(field).rlike(pattern), F.lit(name)) for pattern, name in DEFAULT_RAMPS))
 
 
 def lupton(r: Column, g: Column, b: Column, q: float = 8.0) -> list[Column]:
@@ -128,7 +164,7 @@ def stretch(natural: DataFrame, boosted: DataFrame, channels: list[str], share:
 
     def end(image: DataFrame, name: str) -> DataFrame:
         v = image.select(F.explode(F.array(*channels)).alias("v"))
-        return v.agg((F.percentile("v", share) + S.lit(1e-30)).alias(name))
+        return quantiles(v, "v", [share]).select((F.col("p0") + S.lit(1e-30)).alias(name))
 
     both = end(natural, "natural").crossJoin(F.broadcast(end(boosted, "boosted")))  # one row each
     w = min(max(weight, 0.0), 1.0)
@@ -140,7 +176,7 @@ def opacity(image: DataFrame, transmittance: str, out: str, gamma: float = 1.0,
     v = clamp(1 - F.col(transmittance))
     if not norm:
         return image.withColumn(out, F.pow(v, S.lit(gamma)))
-    top = image.agg(F.percentile(v, 0.99).alias("__p99"))
+    top = quantiles(image.select(v.alias("v")), "v", [0.99]).withColumnRenamed("p0", "__p99")
     df = image.crossJoin(F.broadcast(top))  # one row
     return df.withColumn(out, F.pow(F.when(F.col("__p99") > 0, clamp(v / F.col("__p99"))).otherwise(v), S.lit(gamma))).drop("__p99")
 
@@ -164,17 +200,14 @@ def symmetric(image: DataFrame, value: str, out: str, share: float = 0.99) -> Da
 
 
 def stack_layers(layers: DataFrame) -> DataFrame:
-    """(py, px, r, g, b) on black from layers (py, px, layer, r, g, b, a); the layer of the lowest number is in front."""
-    zero = F.struct(S.lit(0).alias("r"), S.lit(0).alias("g"), S.lit(0).alias("b"), S.lit(0).alias("a"))
-
-    def over(base: Column, s: Column) -> Column:
-        a = s["a"] + base["a"] * (1 - s["a"])
-        safe = F.when(a > S.lit(1e-6), a).otherwise(S.lit(1))
-        return F.struct(*(((s[c] * s["a"] + base[c] * base["a"] * (1 - s["a"])) / safe).alias(c) for c in "rgb"), a.alias("a"))
-
-    rows = F.sort_array(F.collect_list(F.struct("layer", "r", "g", "b", "a")), False)
-    done = layers.groupBy("py", "px").agg(F.aggregate(rows, zero, over).alias("o"))
-    return done.select("py", "px", *((F.col(f"o.{c}") * F.col("o.a")).alias(c) for c in "rgb"))
+    """(py, px, r, g, b) on black from layers (py, px, layer, r, g, b, a); the layer of the lowest number is in front.
+
+    A layer's light is its colour times its opacity, times what all layers before it let through: one running product
+    and three sums, nothing is divided."""
+    before = Window.partitionBy("py", "px").orderBy("layer").rowsBetween(Window.unboundedPreceding, -1)
+    through = F.coalesce(F.product(1 - F.col("a")).over(before), S.lit(1))
+    shown = layers.withColumn("__share", F.col("a") * through)
+    return shown.groupBy("py", "px").agg(*(F.sum(F.col(c) * F.col("__share")).alias(c) for c in "rgb"))
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:

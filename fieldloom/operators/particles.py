@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -64,33 +64,91 @@ def intensive(cube: DataFrame, fields: tuple[str, ...] = ("temperature", "metall
     return cube.withColumns({f: F.when(F.col("mass_weight") > 0, F.col(f) / F.col("mass_weight")).otherwise(F.col(f)) for f in fields})
 
 
-def neighbour_h(df: DataFrame, k: int, cell: float, key: str = "pid", h_max: float | None = None, h_min: float = 0.0, rings: int = 8, within: str | None = None) -> DataFrame:
-    """(key, h): half the distance to the k-th nearest other particle, by voxels of side `cell` and rings around them.
+#: What a particle gets as h that has fewer than k others, unless a largest h is given.
+LONELY = 1e15
 
-    A particle is done once its k-th distance fits the rings searched; the others look at twice as many. After
-    2 ** rings cells those that lack k neighbours get h_max (none without one). Not periodic. within: a column, such as the subfile, in
-    which neighbours must agree."""
-    from functools import reduce as fold
 
+def neighbour_h(df: DataFrame, k: int, key: str = "pid", h_max: float | None = None, h_min: float = 0.0, within: str | None = None, levels: int = 24) -> DataFrame:
+    """(key, h): the distance to the k-th nearest other particle, at most h_max and at least h_min. Not periodic.
+    within: a column, such as the subfile, in which neighbours must agree.
+
+    The particles' box is halved `levels` times along each axis, by default down to what 32-bit coordinates tell apart. A particle's node is the smallest cell around it that
+    holds more than k particles, so nodes are small where particles are dense. The k-th distance inside the node bounds
+    the one sought; a second join looks into the cells of the node's size that a sphere of this radius meets. Both
+    joins are equi-joins on cells, and of the distances only the k least are kept, so no group is ever held in memory.
+    Particles at one place are one row that counts as many. Whoever has fewer than k others gets LONELY; nobody is
+    left out. A place with a null coordinate has no neighbours.
+    """
     alike = ["__in"] if within else []
-    points = df.select(F.col(key).alias("i"), *(F.col(within).alias("__in") for _ in alike), *AXES, *(F.floor(F.col(a) / S.lit(cell)).alias(f"c{a}") for a in AXES))
-    todo, done, ring = points, [], 1
-    while ring <= rings:
-        asks = todo
-        for a in AXES:
-            asks = asks.withColumn(f"n{a}", F.explode(F.sequence(F.col(f"c{a}") - ring, F.col(f"c{a}") + ring)))
-        other = points.select(F.col("i").alias("j"), *alike, *(F.col(a).alias(f"o{a}") for a in AXES), *(F.col(f"c{a}").alias(f"n{a}") for a in AXES))
+    points = df.select(F.col(key).alias("__key"), *(F.col(within).alias("__in") for _ in alike), *AXES)
+    low, side = [f"__low_{a}" for a in AXES], F.col("__side")
+    box = points.agg(*(F.min(a).alias(n) for a, n in zip(AXES, low, strict=True)), F.greatest(*(F.max(a) - F.min(a) for a in AXES)).alias("__side"))
+    cells = 1 << levels
+
+    def cell(x: Column, n: str) -> Column:
+        return F.least(F.greatest(F.floor(F.coalesce(F.try_divide(x - F.col(n), side), S.lit(0)) * S.lit(cells)), F.lit(0)), F.lit(cells - 1))
+
+    def above(prefix: str) -> list[Column]:
+        return [F.expr(f"shiftright({prefix}{a}, {levels} - level)").alias(f"n{a}") for a in AXES]
+
+    fine, node = [f"c{a}" for a in AXES], [f"n{a}" for a in AXES]
+    spots = points.groupBy(*alike, *AXES).agg(F.count(F.lit(1)).alias("m")).crossJoin(F.broadcast(box))  # one row
+    spots = spots.withColumns({c: cell(F.col(a), n) for c, a, n in zip(fine, AXES, low, strict=True)})
+    ladder = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+    tree = spots.groupBy(*alike, *fine).agg(F.sum("m").alias("m")).select("*", ladder).select("*", *above("c"))
+    full = tree.groupBy(*alike, "level", *node).agg(F.sum("m").alias("m")).where(F.col("m") > k).drop("m")
+    deepest = tree.join(full, [*alike, "level", *node]).groupBy(*alike, *fine).agg(F.max("level").alias("level"))
+    placed = spots.join(deepest, [*alike, *fine])
+    # Levels that no particle has need no copies; a job finds the range, two numbers.
+    used = deepest.agg(F.min("level"), F.max("level")).first()
+    ladder = F.explode(F.sequence(F.lit(used[0] or 0), F.lit(used[1] or 0))).alias("level")
+    others = spots.select(*alike, *fine, "m", *(F.col(a).alias(f"o{a}") for a in AXES), ladder)
+    others = others.select(*alike, "level", *above("c"), "m", *(f"o{a}" for a in AXES))
+    place = [*alike, *AXES]
+
+    def nearest(asks: DataFrame) -> DataFrame:
+        """Adds d2, the squared distance to the k-th other particle among those in the cells asked for."""
         d2 = sum((F.pow(F.col(a) - F.col(f"o{a}"), 2) for a in "yz"), F.pow(F.col("x") - F.col("ox"), 2))
-        edge = F.least(*(F.least(F.col(a) - (F.col(f"c{a}") - ring) * S.lit(cell), (F.col(f"c{a}") + ring + 1) * S.lit(cell) - F.col(a)) for a in AXES))
-        near = asks.join(other, [*alike, *(f"n{a}" for a in AXES)]).where("i <> j").groupBy("i").agg(F.slice(F.array_sort(F.collect_list(d2)), k, 1).alias("d"), F.first(edge).alias("edge"))
-        near = near.select("i", F.sqrt(F.get("d", F.lit(0))).alias("r"), "edge").where("r <= edge")
-        done.append(near.select("i", "r"))
-        todo = todo.join(near, "i", "left_anti")
-        ring *= 2
-    found = fold(DataFrame.unionByName, done).select(F.col("i").alias(key), (F.col("r") / 2).alias("h"))
-    if h_max is not None:
-        found = found.withColumn("h", F.least("h", S.lit(h_max))).unionByName(todo.select(F.col("i").alias(key), S.lit(h_max).alias("h")))
-    return found.withColumn("h", F.greatest("h", S.lit(h_min)))
+        own = reduce(lambda p, q: p & q, [F.col(a) == F.col(f"o{a}") for a in AXES])
+        near = asks.join(others, [*alike, "level", *node]).select(*place, "reach", d2.alias("d2"), (F.col("m") - own.cast("long")).alias("m"))
+        near = near.where("(reach is null or d2 <= reach) and m > 0")
+        order = Window.partitionBy(*place).orderBy("d2")
+        first = near.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k)
+        seen = first.withColumn("__seen", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return seen.where(F.col("__seen") >= k).groupBy(*place).agg(F.min("d2").alias("reach"))
+
+    bound = nearest(placed.select(*place, "level", *above("c"), F.lit(None).cast("double").alias("reach")))
+    asks = placed.join(bound, place)
+    r = F.sqrt("reach") * S.lit(1 + 1e-12)
+    for a, n in zip(AXES, low, strict=True):
+        ends = [cell(F.col(a) + way * r, n) for way in (-1, 1)]
+        asks = asks.withColumns({f"__f{a}": ends[0], f"__t{a}": ends[1]})
+        asks = asks.withColumn(f"n{a}", F.explode(F.expr(f"sequence(shiftright(__f{a}, {levels} - level), shiftright(__t{a}, {levels} - level))")))
+    exact = nearest(asks.select(*place, "level", *node, "reach")).select(*place, F.sqrt("reach").alias("__r"))
+    h = F.coalesce(F.col("__r"), S.lit(LONELY))
+    h = h if h_max is None else F.least(h, S.lit(h_max))
+    return points.join(exact, place, "left").select(F.col("__key").alias(key), F.greatest(h, S.lit(h_min)).alias("h"))
+
+
+def extent(df: DataFrame, h: str | None = "h") -> DataFrame:
+    """One row: number of particles, bounding box (x_min, x_max, ...) and h_max; h None: without h_max."""
+    ends = [f(a).alias(f"{a}_{n}") for a in AXES for n, f in (("min", F.min), ("max", F.max))]
+    return df.agg(F.count(F.lit(1)).alias("n"), *ends, *([F.max(h).alias("h_max")] if h else []))
+
+
+def h_statistics(df: DataFrame, h: str = "h") -> DataFrame:
+    """One row: least, most and mean smoothing length."""
+    return df.agg(F.min(h).alias("h_min"), F.max(h).alias("h_max"), F.avg(h).alias("h_mean"))
+
+
+def loaded(df: DataFrame, region: Region, box: float, support: Column | None = None) -> DataFrame:
+    """One row: how many particles there are and how many of them a region takes."""
+    return df.agg(F.count(F.lit(1)).alias("total")).crossJoin(F.broadcast(cull(df, region, box, support).agg(F.count(F.lit(1)).alias("inside"))))  # one row each
+
+
+def scale_h(df: DataFrame, factor: float, h: str = "h") -> DataFrame:
+    """Smoothing lengths times a factor, as for a smoother or a sharper picture; 1 changes nothing."""
+    return df if factor == 1 else df.withColumn(h, F.col(h) * S.lit(factor))
 
 
 def subsample(df: DataFrame, most: int, key: str = "pid") -> DataFrame:

@@ -189,15 +189,24 @@ def column_weights() -> dict[str, Column]:
     return {"gas_density": S.lit(1), "metal": F.col("metallicity"), "speed": F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2), "hii": S.lit(S.HYDROGEN) * F.greatest(S.lit(0), F.col("hii"))} | phases()
 
 
-def emission(found: DataFrame, weight: Column, kappa_e: float, kappa_a: float, key: list[str], samples: int = 1, least: float = 1e-3) -> DataFrame:
+def emission(found: DataFrame, weight: Column, kappa_e: float, kappa_a: float, key: list[str], samples: int = 1, least: float = 1e-3, depth: float = 16.0) -> DataFrame:
     """Per pixel emission and transmittance, front to back over all hits of a ray, ties by `key`: light is dimmed by what
     lies before it and what follows once the ray is opaque (at most `least` passes) is left out. Several samples of a
-    pixel are averaged; samples without hits pass all light."""
+    pixel are averaged; samples without hits pass all light.
+
+    Dimming is a product, so a ray is cut into slabs of length `depth` along t: hits are sorted within a slab only, each
+    slab's transmittance is one number, and a running product over the few slabs says how much light reaches each. A
+    pixel before a dense halo is so spread over as many tasks as it has slabs; rays shuffle by (ray, slab) once."""
     mk = F.col("mass") * S.emission_kernel(F.col("b2"), F.col("h"))
-    w = Window.partitionBy("py", "px", "sy", "sx").orderBy("t", *key).rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumns({"__e": S.lit(kappa_e) * weight * mk, "__a": F.least(S.lit(kappa_a) * weight * mk, S.lit(1))})
-    found = found.withColumn("__before", F.coalesce(F.product(1 - F.col("__a")).over(w), S.lit(1))).where(F.col("__before") > S.lit(least))
-    each = found.groupBy("py", "px", "sy", "sx").agg(F.sum(F.col("__before") * F.col("__e")).alias("e"), F.min(F.col("__before") * (1 - F.col("__a"))).alias("t"))
+    ray, part = ["py", "px", "sy", "sx"], ["py", "px", "sy", "sx", "__slab"]
+    passed = Window.partitionBy(*part).orderBy("t", *key).rowsBetween(Window.unboundedPreceding, -1)
+    found = found.select(*ray, "t", *key, F.floor(F.col("t") / S.lit(depth)).alias("__slab"), (S.lit(kappa_e) * weight * mk).alias("__e"), F.least(S.lit(kappa_a) * weight * mk, S.lit(1)).alias("__a"))
+    found = found.withColumn("__within", F.coalesce(F.product(1 - F.col("__a")).over(passed), S.lit(1))).select(*part, "__e", "__a", "__within")
+    ahead = Window.partitionBy(*ray).orderBy("__slab").rowsBetween(Window.unboundedPreceding, -1)
+    slabs = found.groupBy(*part).agg(F.min(F.col("__within") * (1 - F.col("__a"))).alias("__clear"))
+    slabs = slabs.withColumn("__ahead", F.coalesce(F.product("__clear").over(ahead), S.lit(1))).where(F.col("__ahead") > S.lit(least)).drop("__clear")
+    lit = found.join(slabs, part).withColumn("__before", F.col("__ahead") * F.col("__within")).where(F.col("__before") > S.lit(least))
+    each = lit.groupBy(*ray).agg(F.sum(F.col("__before") * F.col("__e")).alias("e"), F.min(F.col("__before") * (1 - F.col("__a"))).alias("t"))
     n = S.lit(samples * samples)
     return each.groupBy("py", "px").agg((F.sum("e") / n).alias("emission"), ((F.sum("t") + n - F.count(F.lit(1))) / n).alias("transmittance"))
 

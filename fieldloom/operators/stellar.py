@@ -99,3 +99,27 @@ def splat(stars: DataFrame, camera: Camera, bands: list[str], sigma: float = 0.7
     cells = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x"), F.lit(w).alias("w")) for y, x, w in stamp(sigma, reach)))
     df = lit.withColumn("__s", F.explode(cells)).select((F.col("py") + F.col("__s.y")).alias("py"), (F.col("px") + F.col("__s.x")).alias("px"), *((F.col(b) * F.col("__s.w")).alias(b) for b in bands))
     return df.where((F.col("py") >= 0) & (F.col("py") < camera.height) & (F.col("px") >= 0) & (F.col("px") < camera.width)).groupBy("py", "px").agg(*(F.sum(b).alias(b) for b in bands))
+
+
+def totals(stars: DataFrame, bands: list[str]) -> DataFrame:
+    """One row: number of stars and the luminosity of each band, over all of them."""
+    return stars.agg(F.count(F.lit(1)).alias("n"), *(F.sum(b).alias(b) for b in bands))
+
+
+def in_frame(stars: DataFrame, projected: DataFrame, camera: Camera) -> DataFrame:
+    """One row, for a star map's header: how many stars there are and how many fall on the image."""
+    on = (F.col("px") >= 0) & (F.col("px") < camera.width) & (F.col("py") >= 0) & (F.col("py") < camera.height)
+    return stars.agg(F.count(F.lit(1)).alias("n_stars_total")).crossJoin(F.broadcast(projected.agg(F.count_if(on).alias("n_stars_in_frame"))))  # one row each
+
+
+def lattice(table: DataFrame) -> dict[str, list]:
+    """The lattice that population() takes, from a table (log_age, log_z, any bands L_*) with a row for each pair of a
+    lattice's ages and metallicities, in any order. Its size is a model's, not the data's; a pair that is missing or
+    comes twice is an error."""
+    rows = table.orderBy("log_age", "log_z").collect()
+    bands = [c for c in table.columns if c.startswith("L_")]
+    ages, metals = sorted({r["log_age"] for r in rows}), sorted({r["log_z"] for r in rows})
+    if [(r["log_age"], r["log_z"]) for r in rows] != [(a, z) for a in ages for z in metals]:
+        raise ValueError("the lattice does not hold each pair of an age and a metallicity once")
+    n = len(metals)
+    return {"log_age": ages, "log_z": metals} | {b: [[r[b] for r in rows[i * n : (i + 1) * n]] for i in range(len(ages))] for b in bands}

@@ -290,13 +290,6 @@ for _name in VOLUME:
     register(f"emission_{_name}", *_emission(_name))
 register("emission_supersampled", *_emission("gas_density", 2))
 _DM_BALL = Region((250.0, 500.0, 500.0), (0.0, 0.0, 0.0), radius=150.0)
-
-
-def _knn(s: SparkSession, d: str) -> DataFrame:
-    return rounded(P.neighbour_h(P.cull(T.dm(s, d), _DM_BALL, BOX).select("pid", "x", "y", "z"), 8, 60.0, h_max=40.0, h_min=1.0))
-
-
-register("knn_hsml", _knn, f"WITH {DM_SQL}, p AS ({_cull_sql(_DM_BALL, 'dm', '0::DOUBLE')}), q AS (SELECT a.pid, row_number() OVER (PARTITION BY a.pid ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, b.pid) AS k, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 2 AS r FROM p a JOIN p b ON a.pid <> b.pid) SELECT p.pid, round(greatest(least(coalesce(q.r, 40), 40), 1), 6) + 0 AS h FROM p LEFT JOIN q ON p.pid = q.pid AND q.k = 8")
 _AGE = f"({2 / 3 * S.GYR_FACTOR / S.HUBBLE / math.sqrt(S.OMEGA_L)!r}::DOUBLE * asinh({math.sqrt(S.OMEGA_L / S.OMEGA_M)!r}::DOUBLE * pow({{}}, 1.5::DOUBLE)))"
 _VALID = f"{STARS_SQL}, good AS (SELECT * FROM stars WHERE a_form > 0 AND a_form < {A_NOW + 1e-6!r}::DOUBLE AND metallicity > 0 AND m_init > 0), aged AS (SELECT *, greatest({_AGE.format(f'{A_NOW}::DOUBLE')} - {_AGE.format('a_form')}, 1e-5::DOUBLE) AS age FROM good)"
 
@@ -458,14 +451,6 @@ register("deposit_multi_grid", _several, " UNION ALL ".join(f"SELECT ix, iy, iz,
 register("grid_header", lambda s, d: CU.header(s, SECOND, redshift=0.5, snapshot=158), f"SELECT 'grid' AS name, {list(SECOND.center)}::DOUBLE[] AS center, {list(SECOND.size)}::DOUBLE[] AS size, {SECOND.size[0]}::DOUBLE AS side, {list(SECOND.shape)}::INTEGER[] AS shape, {SECOND.shape[0]}::INTEGER AS resolution, {list(SECOND.cell)}::DOUBLE[] AS cell_size, 0.5::DOUBLE AS redshift, 158::INTEGER AS snapshot")
 
 
-def _parts_knn(s: SparkSession, d: str) -> DataFrame:
-    near = P.cull(T.dm(s, d), _DM_BALL, BOX).select("pid", "x", "y", "z", (F.col("pid") % 2).alias("subfile"))
-    return rounded(P.neighbour_h(near, 4, 60.0, h_max=40.0, within="subfile"))
-
-
-register("knn_hsml_by_subfile", _parts_knn, f"WITH {DM_SQL}, p AS ({_cull_sql(_DM_BALL, 'dm', '0::DOUBLE')}), q AS (SELECT a.pid, row_number() OVER (PARTITION BY a.pid ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, b.pid) AS k, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 2 AS r FROM p a JOIN p b ON a.pid <> b.pid AND a.pid % 2 = b.pid % 2) SELECT p.pid, round(least(coalesce(q.r, 40), 40), 6) + 0 AS h FROM p LEFT JOIN q ON p.pid = q.pid AND q.k = 4")
-
-
 def _masses(source: str, column: str):
     """A column map of dark matter or stars, with a smoothing length that the table has or a fixed one."""
 
@@ -539,3 +524,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+from . import loading  # noqa: E402, F401  (adds its queries to the registry above)

@@ -160,3 +160,112 @@ def test_age_table_meets_closed_form(spark):
 
     got = ST.age_table(spark).where("a > 0.02").withColumn("exact", S.cosmic_age(F.col("a"))).agg(F.max(F.abs(F.col("age") / F.col("exact") - 1))).first()[0]
     assert got < 2e-5
+
+
+def _brute_h(rows, k):
+    at = np.array([r[1:4] for r in rows])
+    return [math.sqrt(np.sort(((at - p) ** 2).sum(axis=1))[k]) if len(rows) > k else P.LONELY for p in at]
+
+
+def test_neighbours_meet_brute_force(spark):
+    """Dense and sparse places, lonely particles far away, equal positions, one flat axis; nobody is left out."""
+    rng = np.random.default_rng(3)
+    dense = rng.normal(50, 0.01, (150, 3))
+    wide = rng.uniform(0, 1000, (120, 3))
+    same = np.repeat([[700.0, 1.0, 2.0]], 12, axis=0)
+    far = np.array([[1e5, 0, 0], [-1e5, 4, 4]])
+    for places in (np.concatenate([dense, wide, same, far]), wide * [1, 1, 0], same, wide[:3], wide[:1]):
+        rows = [(i, *map(float, p)) for i, p in enumerate(places)]
+        df = spark.createDataFrame(rows, "pid long, x double, y double, z double")
+        got = dict(map(tuple, P.neighbour_h(df, 7).collect()))
+        assert len(got) == len(rows)
+        np.testing.assert_allclose([got[i] for i in range(len(rows))], _brute_h(rows, 7), rtol=1e-9)
+    assert P.neighbour_h(df.limit(0), 7).count() == 0
+    capped = P.neighbour_h(df, 7, h_max=5.0).first()["h"]
+    assert capped == 5.0
+
+
+def test_neighbours_in_one_dense_place(spark):
+    """Thirty thousand particles within a millionth of the box, and a few others."""
+    n = 30_000
+    place = lambda m: f"500 + double((id * {m}) % 99991) / 99991e3"
+    df = spark.range(n).selectExpr("id AS pid", *(f"{place(m)} AS {a}" for a, m in zip("xyz", (7919, 104729, 1299709), strict=True)))
+    few = spark.createDataFrame([(n + i, 100.0 * i, 7.0 * i, 3.0 * i) for i in range(10)], df.schema)
+    got = P.neighbour_h(df.unionByName(few), 8).agg(F.count("*"), F.max("h"), F.expr("percentile(h, 0.5)")).first()
+    assert got[0] == n + 10 and got[1] < 1000 and 0 < got[2] < 1e-3
+
+
+def test_slabs_change_nothing(spark):
+    """Emission by slabs is that of one sequence front to back, for clear and for opaque rays."""
+    rng = np.random.default_rng(5)
+    rows = [(i, *map(float, rng.uniform(0, 40, 3)), 1.0, 1.0 + i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "pid long, x double, y double, z double, mass double, h double")
+    found = PR.hits(df, Camera((20, 20, -30), (20, 20, 20), (0, 1, 0), width=6, height=6, ortho_width=20.0))
+    for strength in (0.1, 3.0):
+        one, many = (sorted((r.py, r.px, round(r.emission, 9), round(r.transmittance, 9)) for r in PR.emission(found, S.lit(1), 2.0, strength, ["pid"], depth=d).collect()) for d in (1e6, 3.0))
+        assert one == many and one
+
+
+def test_quantiles_meet_numpy(spark):
+    from fieldloom.operators import images as IM
+
+    rng = np.random.default_rng(9)
+    rows = [(int(g), float(v)) for g in range(3) for v in [*rng.lognormal(0, 4, 200), *np.repeat(2.5, 50), *-rng.lognormal(0, 2, 30), 0.0, 0.0, -0.0]]
+    df = spark.createDataFrame([*rows, (None, 4.0), (None, 8.0), (1, None)], "g int, v double")
+    shares = [0.0, 0.02, 0.5, 0.7777, 0.995, 1.0]
+    for r in IM.quantiles(df, "v", shares, ["g"]).collect():
+        want = [4.0, 8.0] if r.g is None else [v for g, v in rows if g == r.g]
+        np.testing.assert_allclose(r[1:], np.quantile(want, shares), rtol=1e-12)
+    assert IM.quantiles(df.limit(0), "v", [0.5]).first()["p0"] is None
+    assert IM.quantiles(df, "v", [0.5], ["g"]).count() == 4
+
+
+def test_snapshot_round_trip(spark, tmp_path):
+    from fieldloom.sources import snapshots as SN
+
+    path = str(tmp_path / "snap_007")
+    head = "100.0D AS BoxSize, 0.5D AS Redshift, 0.66D AS Time, 0.7D AS HubbleParam, 0.3D AS Omega0, 0.7D AS OmegaLambda, 3 AS NumFilesPerSnapshot, array(4, 2, 0, 0, 1, 0) AS NumPart_Total"
+    gas = "1.0F AS Masses, 2.0F AS Density, 3.0F AS InternalEnergy, array(1.0F, 2.0F, 3.0F) AS Velocities"
+    tables = {
+        (0, 0): f"array(2147483648L, 0L, 4294967295L) AS IntCoordinates, {gas}, 0.25F AS HII_Fraction",
+        (1, 0): f"array(1.5F, 2.5F, 3.5F) AS Coordinates, {gas}",
+        (1, 1): "array(5.0F, 6.0F, 7.0F) AS Coordinates",
+        (2, 4): "array(8.0F, 9.0F, 10.0F) AS Coordinates, 0.4F AS GFM_StellarFormationTime",
+    }
+    for i, held in enumerate(("array(2, 0, 0, 0, 0, 0)", "array(2, 2, 0, 0, 0, 0)", "array(0, 0, 0, 0, 1, 0)")):
+        spark.sql(f"SELECT {head}, {held} AS NumPart_ThisFile").write.parquet(f"{path}.{i}.parquet/Header")
+    for (i, kind), columns in tables.items():
+        spark.sql(f"SELECT id AS ParticleIDs, {columns} FROM range({1 if kind == 4 else 2})").write.parquet(f"{path}.{i}.parquet/PartType{kind}")
+    h = SN.read_header(spark, path)
+    assert (h.boxsize, h.num_files, h.num_part_total[:2]) == (100.0, 3, (4, 2))
+    assert SN.subfiles(path, h)[2].endswith("snap_007.2.parquet") and SN.subfiles("a.parquet", h) == ["a.parquet"]
+    got = SN.gas(SN.raw(spark, path, 0), h.boxsize).orderBy("subfile", "ParticleIDs").collect()
+    assert len(got) == 4 and (got[0].x, got[0].y, got[0].hii, got[0].metallicity) == (50.0, 0.0, 0.25, 0.0)
+    assert (got[3].x, got[3].z, got[3].hii, got[3].vy) == (1.5, 3.5, 0.0, 2.0)
+    assert abs(got[0].h - (3 * 0.5 / (4 * math.pi)) ** (1 / 3)) < 1e-12
+    assert [(r.x, r.mass) for r in SN.dark_matter(SN.raw(spark, path, 1), h.boxsize).collect()] == [(5.0, 1.0)] * 2
+    star = SN.stars(SN.raw(spark, path, 4), h.boxsize).first()
+    assert (star.mass, round(star.a_form, 6), star.m_init) == (0.0, 0.4, None)
+    assert SN.raw(spark, path, 5) is None
+
+
+def test_requests(spark):
+    from fieldloom.plans import requests as RQ
+    from fieldloom.plans.config import Projection
+
+    df = spark.createDataFrame([(5.0, 5.0, 5.0, 1.0, 2.0, 3.0)], "x double, y double, z double, mass double, h double, density double")
+    camera = Camera((5, 5, -9), (5, 5, 5), (0, 1, 0), width=4, height=4, ortho_width=8.0)
+    with pytest.warns(UserWarning):
+        got = RQ.particle_maps(PR.hits(df, camera), camera, ["gas_density", "nothing", "gas_density"])
+    assert got.columns == ["py", "px", "gas_column_density"] and got.count()
+    assert RQ.grid_fields([[Projection("temperature", "mass_weighted")], [Projection(), Projection("vx", "los_velocity")]]) == ["temperature", "gas_density", "vx", "vy", "vz"]
+
+
+def test_lattice_table(spark):
+    from fieldloom.operators import stellar as ST
+
+    rows = [(a, z, 10 * a + z) for z in (0.5, 0.1) for a in (2.0, 1.0, 3.0)]
+    got = ST.lattice(spark.createDataFrame(rows, "log_age double, log_z double, L_u double"))
+    assert got == {"log_age": [1.0, 2.0, 3.0], "log_z": [0.1, 0.5], "L_u": [[10.1, 10.5], [20.1, 20.5], [30.1, 30.5]]}
+    with pytest.raises(ValueError):
+        ST.lattice(spark.createDataFrame(rows[1:], "log_age double, log_z double, L_u double"))
