@@ -90,9 +90,10 @@ def stats(image: DataFrame, value: str) -> DataFrame:
     return image.agg(F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.count_if(v != 0).alias("nonzero"), F.avg((v != 0).cast("double")).alias("share"))
 
 
-def log_unit(image: DataFrame, value: str, out: str, low: float, high: float, floor: float = 1e-4) -> DataFrame:
-    """Adds out: log of value over the range between two percentiles of the positive ones, as 0 to 1; 0 for the others."""
-    ends = percentiles(image, value, [low, high]).select(F.greatest("p0", F.col("p1") * S.lit(floor)).alias("__lo"), F.col("p1").alias("__hi"))
+def log_unit(image: DataFrame, value: str, out: str, low: float, high: float, floor: float = 1e-4, of: DataFrame | None = None) -> DataFrame:
+    """Adds out: log of value over the range between two percentiles of the positive ones, as 0 to 1; 0 for the others.
+    of: the image whose range counts, if not this one; for several channels it keeps their plans apart."""
+    ends = percentiles(image if of is None else of, value, [low, high]).select(F.greatest("p0", F.col("p1") * S.lit(floor)).alias("__lo"), F.col("p1").alias("__hi"))
     df = image.crossJoin(F.broadcast(ends))  # one row
     x = F.log10(F.greatest(F.least(F.col(value), F.col("__hi")), F.col("__lo")))
     t = F.try_divide(x - F.log10("__lo"), F.log10("__hi") - F.log10("__lo"))

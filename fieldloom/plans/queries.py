@@ -370,9 +370,9 @@ _TONE_CTES, _TONE_FROM = ", ".join(x[0] for x in _TONES), "m, ra, rb, rc"
 
 
 def _tones(s: SparkSession, d: str) -> DataFrame:
-    df = _map(s, d)
+    df = base = _map(s, d)
     for c in "abc":
-        df = IM.log_unit(df, c, f"t{c}", 0.3, 0.997)
+        df = IM.log_unit(df, c, f"t{c}", 0.3, 0.997, of=base)
     return df
 
 
