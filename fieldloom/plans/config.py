@@ -29,6 +29,7 @@ class Region:
     size: tuple[float, float, float]
     radius: float = 0.0
     margin: float = 0.0
+    name: str = "region"
 
 
 @dataclass(frozen=True)
@@ -94,7 +95,7 @@ class Document:
 
     def region(self) -> Region:
         r = float(self.values.get("radius", 0))
-        return Region(tuple(map(float, self.values["center"])), tuple(map(float, self.triple("size", "side", 2 * r))), r, float(self.values.get("margin", 0)))
+        return Region(tuple(map(float, self.values["center"])), tuple(map(float, self.triple("size", "side", 2 * r))), r, float(self.values.get("margin", 0)), str(self.values.get("name", "region")))
 
     def camera(self) -> Camera:
         v, d = self.values, Camera((0, 0, 0), (0, 0, 1), (0, 1, 0))

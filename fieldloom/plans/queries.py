@@ -526,4 +526,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from . import loading  # noqa: E402, F401  (adds its queries to the registry above)
+from . import films, loading  # noqa: E402, F401  (they add their queries to the registry above)

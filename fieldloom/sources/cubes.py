@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..plans.config import Grid
+from ..plans.config import Camera, Grid, Region
 
 INDEX = ["ix", "iy", "iz"]
 
@@ -55,6 +55,32 @@ def read_maps(spark: SparkSession, path: str, cameras: list[int] | None = None)
     return df if cameras is None else df.where(F.col("cam_id").isin(cameras))
 
 
+def map_header(spark: SparkSession, cameras: list[Camera], channels: list[str], region: Region | None = None, **provenance) -> DataFrame:
+    """A row for each camera: what it saw and how, the names of its channels, the region, then provenance
+    (pipeline, grid_file or snapshot_path, redshift, n_stars_total, ...). Cameras are settings of a film: few."""
+    seen = [(c.cam_id, c.kind, *([float(x) for x in v] for v in (c.position, c.look_at, c.up)), float(c.ortho_width), float(c.fov), float(c.slab), c.width, c.height) for c in cameras]
+    kinds = "cam_id int, camera_type string, camera_position array<double>, camera_look_at array<double>, camera_up array<double>, ortho_width double, fov double, los_slab double, image_width int, image_height int"
+    triple = lambda v: F.array(*(S.lit(x) for x in v))
+    more = {"channels": F.array(*map(F.lit, channels)).cast("array<string>")}
+    if region:
+        more |= {"region_name": F.lit(region.name), "region_center": triple(region.center), "region_size": triple(region.size)}
+    return spark.createDataFrame(seen, kinds).select("*", *(v.alias(k) for k, v in more.items()), *(F.lit(v).alias(k) for k, v in provenance.items()))
+
+
+def write_projection(maps: DataFrame, cameras: list[Camera], path: str, region: Region | None = None, **provenance) -> None:
+    """Maps (cam_id, py, px, channels as float) and their header; each channel keeps its name as a column."""
+    place = ["cam_id", "py", "px"]
+    channels = [c for c in maps.columns if c not in place]
+    write_maps(maps.select(*place, *(F.col(c).cast("float").alias(c) for c in channels)), f"{path}/maps")
+    map_header(maps.sparkSession, cameras, channels, region, **provenance).coalesce(1).write.mode("overwrite").parquet(f"{path}/header")
+
+
+def read_cameras(spark: SparkSession, path: str) -> list[Camera]:
+    """The cameras of written projections, by cam_id."""
+    rows = spark.read.parquet(f"{path}/header").orderBy("cam_id").collect()
+    return [Camera(tuple(r["camera_position"]), tuple(r["camera_look_at"]), tuple(r["camera_up"]), r["camera_type"], r["image_width"], r["image_height"], r["ortho_width"], r["fov"], r["los_slab"], r["cam_id"]) for r in rows]
+
+
 def field_list(names):
     """Distinct non-empty names of a comma-separated list, in order."""
     return F.array_distinct(F.filter(F.transform(F.split(names, ","), lambda x: F.trim(x)), lambda x: x != ""))

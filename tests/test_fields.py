@@ -269,3 +269,56 @@ def test_lattice_table(spark):
     assert got == {"log_age": [1.0, 2.0, 3.0], "log_z": [0.1, 0.5], "L_u": [[10.1, 10.5], [20.1, 20.5], [30.1, 30.5]]}
     with pytest.raises(ValueError):
         ST.lattice(spark.createDataFrame(rows[1:], "log_age double, log_z double, L_u double"))
+
+
+def test_camera_documents_round_trip(spark, tmp_path):
+    from fieldloom.plans import films
+    from fieldloom.plans.config import Projection
+    from fieldloom.sources import documents as D
+
+    rows = films._cameras(spark, "")
+    D.write_documents(rows, str(tmp_path / "cameras"))
+    key = lambda r: (r["name"], r["text"])
+    assert sorted(map(key, D.read_documents(spark, str(tmp_path / "cameras")).collect())) == sorted(map(key, rows.collect()))
+    got = D.read_cameras(spark, str(tmp_path / "cameras"))
+    assert list(got) == [f"frame_{i:04d}" for i in range(Q.FRAMES)]
+    first = got["frame_0000"]
+    assert first == Camera((580.0, 400.0, 300.0), (500.0, 400.0, 300.0), (0.0, 0.0, 1.0), width=320, height=180, ortho_width=900.0, slab=75.5)
+    assert [p.mode for p in Document.parse(rows.first()["text"]).projections()] == ["column", "mass_weighted"]
+    D.write_list(rows, str(tmp_path / "list"), folder="cameras")
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "list")).collect()]
+    assert camera_list("\n".join(lines)) == [[f"cameras/{n}"] for n in got]
+    # large and small numbers stay numbers; a null leaves no document; an empty film leaves no file
+    odd = spark.createDataFrame([("a", 1e10, 1e-7), ("b", None, 1.0)], "name string, x double, w double")
+    odd = odd.select("name", D.camera_text(first, [Projection()], position=[F.col("x"), S.lit(0), S.lit(0)], ortho_width=F.col("w")).alias("text"))
+    D.write_documents(odd, str(tmp_path / "odd"))
+    back = D.read_cameras(spark, str(tmp_path / "odd"))
+    assert list(back) == ["a"] and back["a"].position == (1e10, 0.0, 0.0) and back["a"].ortho_width == 1e-7
+    D.write_documents(odd.where("false"), str(tmp_path / "none"))
+    assert D.read_cameras(spark, str(tmp_path / "none")) == {}
+
+
+def test_region_document(spark):
+    from fieldloom.sources import documents as D
+
+    row = spark.range(1).select(D.region_text(F.lit("orbit"), [S.lit(1), S.lit(2.5), S.lit(3)], S.lit(4)).alias("text")).first()
+    r = Document.parse(row["text"]).region()
+    assert (r.name, r.center, r.size, r.radius) == ("orbit", (1.0, 2.5, 3.0), (8.0, 8.0, 8.0), 4.0)
+
+
+def test_projection_round_trip(spark, tmp_path):
+    from fieldloom.sources import cubes
+
+    path = str(tmp_path / "projection")
+    cameras = [Camera((1, 2, 3), (4, 5, 6), (0, 1, 0), "perspective", 4, 2, fov=30.0, cam_id=i) for i in (0, 1)]
+    maps = spark.range(16).selectExpr("int(id div 8) AS cam_id", "int(id div 4 % 2) AS py", "int(id % 4) AS px", "double(id) AS gas", "-double(id) / 3 AS metal")
+    cubes.write_projection(maps, cameras, path, Q.BRICK, pipeline="particles", snapshot_path="s/7", redshift=0.5)
+    assert cubes.read_cameras(spark, path) == cameras
+    head = spark.read.parquet(f"{path}/header").where("cam_id = 1").first()
+    assert (head["channels"], head["region_name"], head["region_size"]) == (["gas", "metal"], "region", list(Q.BRICK.size))
+    assert (head["pipeline"], head["snapshot_path"], head["redshift"], head["image_width"]) == ("particles", "s/7", 0.5, 4)
+    back = cubes.read_maps(spark, f"{path}/maps", [1])
+    assert dict(back.dtypes)["metal"] == "float" and back.agg(F.sum("gas")).first()[0] == sum(range(8, 16))
+    # no region, no provenance, no cameras, no maps
+    cubes.write_projection(maps.where("false"), [], str(tmp_path / "empty"))
+    assert cubes.read_cameras(spark, str(tmp_path / "empty")) == []
