@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, ngram_lm, packing, simhash, substring, token_counts, topk, toxicity
+from . import bpe, exact_dedup, lexical, licenses, ngram_lm, packing, quality, simhash, substring, token_counts, topk, toxicity
 from .common import held_out
 
 
@@ -65,6 +65,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("matches").cast("long").alias("n_sentences"), F.array_join("licenses", ",").alias("licenses"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_packing, op2_toxicity, op3_topk, op4_substring_dedup, op5_exact_dedup, op6_lm_scoring, op7_simhash_dedup, op8_bpe, op9_token_counts, op10_licenses, pipeline]
+    found = [op1_packing, op2_toxicity, op3_topk, op4_substring_dedup, op5_exact_dedup, op6_lm_scoring, op7_simhash_dedup, op8_bpe, op9_token_counts, op10_licenses, op11_quality, op12_lexical_search, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -136,4 +146,16 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY norm)""",
         "op10_licenses": _licence_sql(),
+        "op12_lexical_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.TERM}') AS words FROM documents),
+s AS (SELECT count(*)::BIGINT AS docs, sum(len(words))::BIGINT AS total FROM d WHERE len(words) > 0),
+t AS (SELECT r, doc_id, len(words)::BIGINT AS n, unnest(words) AS term FROM d),
+p AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * s.docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, s.docs),
+i AS (SELECT item_id, min(coalesce(text, '')) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id),
+q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.TERM}'))) AS term FROM i),
+c AS (SELECT q.item_id, p.r, p.doc_id, sum(f.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + ((50 * p.n * s.docs) // s.total)))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY ALL),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r)::INTEGER AS rank, doc_id, score FROM c WHERE score > 0)
+SELECT * FROM o WHERE rank <= 50""",
     }
