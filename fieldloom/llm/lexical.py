@@ -4,9 +4,9 @@ Scores are sums over an item's terms of integer contributions that fall with a t
 length. The index holds every posting (term, document, contribution) in one of three tiers: of each term the highest
 contributions come first, about FIRST of them, then about SECOND, then the rest, and each tier has for each term the
 bound of what is left below it. A search reads the first tier of all terms. A document's score is then between what was
-read and that plus the bounds of its terms not read; a document not met at all is under the sum of all bounds. An
-item whose k-th sum is over that has its proof, and the few documents that may still be among its first k are summed in
-full. The others fall through: the second tier is read for them, and in the end the third, but not of those terms with
+read and that plus the bounds of its terms not read; a document not met at all is under the sum of all bounds. The best
+documents so far are summed in full: an item whose k-th score is over that has its proof, and the few documents that may
+still be among its first k are summed in full, too. The others fall through: the second tier is read for them, and in the end the third, but not of those terms with
 the most postings whose bounds are together too small to matter. Common terms weigh little, so their long lists are
 hardly ever read.
 
@@ -35,7 +35,9 @@ from .wordcache import mapped
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: About how many postings of a term the first two tiers hold.
-FIRST, SECOND = 512, 16_384
+FIRST, SECOND = 512, 32_768
+#: Share of an item's k-th score that the bounds of terms not read further may have together.
+SPARED = 0.1
 #: A contribution before its weight is below 1,000,000; its level is a 256th of that.
 LEVEL = 1_000_000 // 256 + 1
 #: Bits of the filter of asked terms, at most (8 MB).
@@ -123,10 +125,6 @@ class Index:
         """Those of the first `tier` tiers; only their folders are read."""
         return self.spark.read.schema("id long, row long, c long, tier int").parquet(self.path).where(F.col("tier") <= tier)
 
-    def contribution(self) -> Column:
-        """Of a term with weight w and tf occurrences in a document of n terms."""
-        return contribution(self.n_documents, self.n_terms)
-
     def drop(self) -> None:
         """Delete the index's tables."""
         drop_tables(self.spark, self.documents, self.terms)
@@ -190,25 +188,34 @@ def build(docs: DataFrame, terms: DataFrame | None = None, k: int = 50, first: i
     return Index(spark, kept, table, path, documents, total, k)
 
 
-def _bounds(asked: DataFrame, index: Index, tier: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """Read `tier` tiers for the asked terms (item_id, id, depth: tiers to read of it, rest: bound of what lies below that).
-    Returns the documents met, with low and high (bounds of their score), and per item, met or not, its k-th low (0 if
-    fewer documents were met) and the bound of documents not met."""
-    met = asked.join(index.postings(tier), "id").where(F.col("tier") <= F.col("depth"))
+def _scored(index: Index, asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Exact scores of pairs (item_id, row), from the documents' own terms: item_id, row, doc_id, score."""
+    read = index.documents.join(pairs, "row").select("item_id", "row", "doc_id", "n", F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))).alias("x"))
+    full = read.select("item_id", "row", "doc_id", "n", "x.term", "x.tf").join(asked.select("item_id", "term", "w"), ["item_id", "term"])
+    return full.groupBy("item_id", "row", "doc_id").agg(F.sum(contribution(index.n_documents, index.n_terms)).alias("score"))
+
+
+def _bounds(asked: DataFrame, reading: DataFrame, index: Index, tier: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Read up to `tier` tiers by reading (item_id, id, depth: tiers to read of this term, rest: bound of what lies below).
+    Returns the documents met, with low and taken (sums of what was read, and of the bounds of these terms), and per item
+    kth (the k-th score among the 2k documents of highest low, in full; 0 if fewer than k were met), which the item's
+    k-th score is not below, and bound, which the score of no document that was not met is over."""
+    met = reading.join(index.postings(tier), "id").where(F.col("tier") <= F.col("depth"))
     met = materialise(met.groupBy("item_id", "row").agg(F.sum("c").alias("low"), F.sum("rest").alias("taken")), "met")
-    best = Window.partitionBy("item_id").orderBy(F.desc("low"))
-    kth = met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).groupBy("item_id").agg(F.min(F.when(F.col("place") == k, F.col("low"))).alias("kth"))
-    items = asked.groupBy("item_id").agg(F.sum("rest").alias("bound")).join(kth, "item_id", "left").fillna(0, ["kth"])
+    best, order = (Window.partitionBy("item_id").orderBy(F.desc(c)) for c in ("low", "score"))
+    first = met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= 2 * k).select("item_id", "row")
+    kth = _scored(index, asked, first).withColumn("place", F.row_number().over(order)).where(F.col("place") == k).select("item_id", F.col("score").alias("kth"))
+    items = reading.groupBy("item_id").agg(F.sum("rest").alias("bound")).join(kth, "item_id", "left").fillna(0, ["kth"])
     return met, materialise(items, "items")
 
 
 def _deeper(asked: DataFrame, tier: int) -> DataFrame:
-    """What to read of items that have no proof after `tier` tiers, by their k-th sum: the next tier of their terms, but
-    for those with most postings left, as long as the bounds of all of these stay together under the k-th sum (under a
-    tenth of it, while another tier follows). After the last tier the proof is certain."""
-    rest, share = F.col(f"rest{tier}"), 0.1 if tier == 1 else 1.0
+    """What to read of items that have no proof after `tier` tiers, by their k-th score: the next tier of their terms, but
+    for those with most postings left, as long as the bounds of all of these stay together under the k-th score: under the
+    share SPARED of it, as wider bounds leave more contenders. After the last tier the proof is certain."""
+    rest = F.col(f"rest{tier}")
     by = Window.partitionBy("item_id").orderBy(F.desc(f"left{tier}"), "id")
-    spared = F.sum(rest).over(by) < F.col("kth") * F.lit(share)
+    spared = F.sum(rest).over(by) < F.col("kth") * F.lit(SPARED)
     below = F.col("rest2") if tier == 1 else F.lit(0)
     return asked.select("item_id", "id", F.when(spared, tier).otherwise(tier + 1).alias("depth"), F.when(spared, rest).otherwise(below).cast("long").alias("rest"))
 
@@ -232,7 +239,7 @@ def search(index: Index, items: DataFrame, k: int | None = None) -> DataFrame:
     contenders, done = [], []
     reading = asked.select("item_id", "id", F.lit(1).alias("depth"), F.col("rest1").alias("rest"))
     for tier in (1, 2, 3):
-        met, state = _bounds(reading, index, tier, k)
+        met, state = _bounds(asked, reading, index, tier, k)
         done += [met, state]
         sure = _proven(state)
         contenders.append(met.join(sure, "item_id").where(F.col("low") + F.col("bound") - F.col("taken") >= F.col("kth")).select("item_id", "row"))
@@ -244,10 +251,7 @@ def search(index: Index, items: DataFrame, k: int | None = None) -> DataFrame:
     last = contenders[0]
     for c in contenders[1:]:
         last = last.unionByName(c)
-    # Contenders in full, from the documents' own terms.
-    read = index.documents.join(last, "row").select("item_id", "row", "doc_id", "n", F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))).alias("x"))
-    full = read.select("item_id", "row", "doc_id", "n", "x.term", "x.tf").join(asked.select("item_id", "term", "w"), ["item_id", "term"])
-    full = full.groupBy("item_id", "row", "doc_id").agg(F.sum(index.contribution()).alias("score")).where("score > 0")
+    full = _scored(index, asked, last).where("score > 0")
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "row")
     found = full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
     found = materialise(found, "found")

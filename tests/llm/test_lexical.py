@@ -59,7 +59,7 @@ def test_all_tiers(spark, crowd, k, first, second, monkeypatch):
     docs, items = crowd
     seen = []
     real = lexical._bounds
-    monkeypatch.setattr(lexical, "_bounds", lambda a, i, t, n: seen.append(t) or real(a, i, t, n))
+    monkeypatch.setattr(lexical, "_bounds", lambda a, r, i, t, n: seen.append(t) or real(a, r, i, t, n))
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     i = spark.createDataFrame(items, "item_id long, text string")
     index = lexical.build(d, lexical.item_terms(i), k, first, second)
