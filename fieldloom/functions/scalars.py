@@ -17,8 +17,9 @@ HUBBLE, OMEGA_M, OMEGA_L, GYR_FACTOR = 67.74, 0.3089, 0.6911, 977.79
 SOLAR_METALLICITY, MASS_UNIT, LITTLE_H = 0.0127, 1e10, 0.6774
 
 
-def lit(x: float) -> Column:
-    return F.lit(float(x))
+def lit(x: float | Column) -> Column:
+    """A number as a double; a column stays as it is."""
+    return x if isinstance(x, Column) else F.lit(float(x))
 
 
 def decode_fixed(coordinate: Column, box: float) -> Column:

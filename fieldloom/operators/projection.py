@@ -44,7 +44,7 @@ def ray(camera: Camera, px: Column, py: Column, dx: Column, dy: Column) -> tuple
 
 def slab(camera: Camera, origin: list[Column], direction: list[Column]) -> tuple[Column, Column]:
     """Range of t in the camera's slab around look_at, from the eye on; empty if the first is over the second."""
-    if camera.slab <= 0:
+    if not isinstance(camera.slab, Column) and camera.slab <= 0:
         return S.lit(0), S.lit(FAR)
     f = [S.lit(x) for x in camera.basis()[2]]
     a = _dot([S.lit(x) - o for x, o in zip(camera.look_at, origin, strict=True)], f)
@@ -55,7 +55,11 @@ def slab(camera: Camera, origin: list[Column], direction: list[Column]) -> tuple
     inside = F.abs(a) <= half
     t0 = F.when(flat, F.when(inside, S.lit(-FAR)).otherwise(S.lit(1))).otherwise(F.least(*t))
     t1 = F.when(flat, F.when(inside, S.lit(FAR)).otherwise(S.lit(0))).otherwise(F.greatest(*t))
-    return F.greatest(t0, S.lit(0)), t1
+    t0 = F.greatest(t0, S.lit(0))
+    if isinstance(camera.slab, Column):  # a camera of a table: no slab is 0
+        none = camera.slab <= 0
+        return F.when(none, S.lit(0)).otherwise(t0), F.when(none, S.lit(FAR)).otherwise(t1)
+    return t0, t1
 
 
 def pixels(spark: SparkSession, camera: Camera) -> DataFrame:
@@ -134,18 +138,19 @@ def jitter(samples: int) -> tuple[Column, Column]:
 
 
 #: Measures of one pass: a weight for a column, or a value and an extra weight for a mean.
-def columns(found: DataFrame, measures: dict[str, Column]) -> DataFrame:
-    """Per pixel the sum of mass x weight x kernel line integral of each measure, all in one aggregation."""
+def columns(found: DataFrame, measures: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """Per pixel the sum of mass x weight x kernel line integral of each measure, all in one aggregation. by: columns that
+    tell images apart, such as a film's cam_id."""
     k = F.col("mass") * S.column_kernel(F.col("b2"), F.col("h"))
     found = found.withColumn("__k", k)
-    return found.groupBy("py", "px").agg(*(F.sum(F.col("__k") * w).alias(n) for n, w in measures.items()))
+    return found.groupBy(*by, "py", "px").agg(*(F.sum(F.col("__k") * w).alias(n) for n, w in measures.items()))
 
 
-def means(found: DataFrame, measures: dict[str, tuple[Column, Column]]) -> DataFrame:
+def means(found: DataFrame, measures: dict[str, tuple[Column, Column]], by: tuple[str, ...] = ()) -> DataFrame:
     """Per pixel the mean of each measure's value, weighted by mass x its extra weight x kernel; 0 without weight."""
     found = found.withColumn("__k", F.col("mass") * S.column_kernel(F.col("b2"), F.col("h")))
     sums = [e for n, (v, w) in measures.items() for e in (F.sum(F.col("__k") * w * v).alias(f"{n}_n"), F.sum(F.col("__k") * w).alias(f"{n}_d"))]
-    return found.groupBy("py", "px").agg(*sums).select("py", "px", *(F.coalesce(F.try_divide(F.col(f"{n}_n"), F.col(f"{n}_d")), S.lit(0)).alias(n) for n in measures))
+    return found.groupBy(*by, "py", "px").agg(*sums).select(*by, "py", "px", *(F.coalesce(F.try_divide(F.col(f"{n}_n"), F.col(f"{n}_d")), S.lit(0)).alias(n) for n in measures))
 
 
 #: Emission and absorption factors of each volume measure.
@@ -189,16 +194,16 @@ def column_weights() -> dict[str, Column]:
     return {"gas_density": S.lit(1), "metal": F.col("metallicity"), "speed": F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2), "hii": S.lit(S.HYDROGEN) * F.greatest(S.lit(0), F.col("hii"))} | phases()
 
 
-def emission(found: DataFrame, weight: Column, kappa_e: float, kappa_a: float, key: list[str], samples: int = 1, least: float = 1e-3, depth: float = 16.0) -> DataFrame:
+def emission(found: DataFrame, weight: Column, kappa_e: float, kappa_a: float, key: list[str], samples: int = 1, least: float = 1e-3, depth: float = 16.0, by: tuple[str, ...] = ()) -> DataFrame:
     """Per pixel emission and transmittance, front to back over all hits of a ray, ties by `key`: light is dimmed by what
     lies before it and what follows once the ray is opaque (at most `least` passes) is left out. Several samples of a
-    pixel are averaged; samples without hits pass all light.
+    pixel are averaged; samples without hits pass all light. by: columns that tell images apart.
 
     Dimming is a product, so a ray is cut into slabs of length `depth` along t: hits are sorted within a slab only, each
     slab's transmittance is one number, and a running product over the few slabs says how much light reaches each. A
     pixel before a dense halo is so spread over as many tasks as it has slabs; rays shuffle by (ray, slab) once."""
     mk = F.col("mass") * S.emission_kernel(F.col("b2"), F.col("h"))
-    ray, part = ["py", "px", "sy", "sx"], ["py", "px", "sy", "sx", "__slab"]
+    ray, part = [*by, "py", "px", "sy", "sx"], [*by, "py", "px", "sy", "sx", "__slab"]
     passed = Window.partitionBy(*part).orderBy("t", *key).rowsBetween(Window.unboundedPreceding, -1)
     found = found.select(*ray, "t", *key, F.floor(F.col("t") / S.lit(depth)).alias("__slab"), (S.lit(kappa_e) * weight * mk).alias("__e"), F.least(S.lit(kappa_a) * weight * mk, S.lit(1)).alias("__a"))
     found = found.withColumn("__within", F.coalesce(F.product(1 - F.col("__a")).over(passed), S.lit(1))).select(*part, "__e", "__a", "__within")
@@ -208,7 +213,7 @@ def emission(found: DataFrame, weight: Column, kappa_e: float, kappa_a: float, k
     lit = found.join(slabs, part).withColumn("__before", F.col("__ahead") * F.col("__within")).where(F.col("__before") > S.lit(least))
     each = lit.groupBy(*ray).agg(F.sum(F.col("__before") * F.col("__e")).alias("e"), F.min(F.col("__before") * (1 - F.col("__a"))).alias("t"))
     n = S.lit(samples * samples)
-    return each.groupBy("py", "px").agg((F.sum("e") / n).alias("emission"), ((F.sum("t") + n - F.count(F.lit(1))) / n).alias("transmittance"))
+    return each.groupBy(*by, "py", "px").agg((F.sum("e") / n).alias("emission"), ((F.sum("t") + n - F.count(F.lit(1))) / n).alias("transmittance"))
 
 
 def segments(found: DataFrame, grid: Grid) -> DataFrame:

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import films as FI
 from ..operators import frames as FR
+from ..operators import particles as P
+from ..operators import projection as PR
 from ..sources import documents as D
+from ..sources import layout as LA
+from ..sources import tables as T
 from . import queries as Q
-from .config import Camera, Projection
+from .config import Camera, Projection, Region
 
 _CENTER = (500.0, 400.0, 300.0)
 _FILM = Camera((0.0, 0.0, 0.0), _CENTER, (0.0, 0.0, 1.0), width=320, height=180, ortho_width=900.0, slab=75.5)
@@ -43,8 +50,6 @@ Q.register("camera_documents", _cameras, _CAMERA_SQL)
 
 def _regions(s: SparkSession, d: str) -> DataFrame:
     """A region for each nation, as a document."""
-    from ..sources import tables as T
-
     rows = T.read(s, d, "nation").select(F.col("n_name"), F.col("n_nationkey").cast("double").alias("k"))
     text = D.region_text(F.col("n_name"), [F.col("k") * S.lit(2.5), S.lit(7), F.col("k")], F.col("k") + S.lit(0.125), ("gas", "stars"), 4)
     return rows.select(F.col("n_name").alias("name"), text.alias("text"))
@@ -55,3 +60,101 @@ Q.register(
     _regions,
     "SELECT n_name AS name, concat('name: ', n_name, chr(10), printf('center: [%.4f, 7.0000, %.4f]', n_nationkey * 2.5::DOUBLE, n_nationkey::DOUBLE), chr(10), printf('radius: %.4f', n_nationkey + 0.125::DOUBLE), chr(10), 'particle_types: [gas, stars]', chr(10)) AS text FROM nation",
 )
+
+
+# ---- films of a table of cameras: one on an orbit for each nation, around the ball of the other queries ---------------
+
+_STEP = 2 * math.pi / 25
+LOW, SIDE = (120.0, 370.0, 370.0), 260.0
+
+
+def nation_cameras(spark: SparkSession, d: str, width: int = 9, height: int = 6, slab: float = 0.0) -> DataFrame:
+    """A camera for each nation: around the ball by its key, nearer and nearer."""
+    k = F.col("n_nationkey").cast("double")
+    place = {"position_x": S.lit(250) + S.lit(150) * F.cos(k * S.lit(_STEP)), "position_y": S.lit(500) + S.lit(150) * F.sin(k * S.lit(_STEP)), "position_z": S.lit(460) + k * S.lit(4)}
+    aim = {"look_at_x": S.lit(250), "look_at_y": S.lit(500), "look_at_z": S.lit(500), "up_x": S.lit(0), "up_y": S.lit(0), "up_z": S.lit(1)}
+    view = {"width": F.lit(width), "height": F.lit(height), "ortho_width": S.lit(120) - k * S.lit(4), "fov": S.lit(60) - k, "slab": S.lit(slab)}
+    return T.read(spark, d, "nation").select(F.col("n_nationkey").alias("cam_id"), *(v.alias(n) for n, v in (place | aim | view).items()))
+
+
+def _film_sql(kind: str, width: int = 9, height: int = 6, slab: float = 0.0) -> str:
+    """`seen` and `hits`: all particles held against all rays of all cameras."""
+    half = "(120 - k * 4) / 2" if kind == "orthographic" else "tan(radians(60 - k) / 2)"
+    if kind == "orthographic":
+        rays = "ex + rx * ax + ux * ay AS ox, ey + ry * ax + uy * ay AS oy, ez + rz * ax + uz * ay AS oz, fx AS vx_, fy AS vy_, fz AS vz_, 1::DOUBLE AS len"
+    else:
+        rays = "ex AS ox, ey AS oy, ez AS oz, rx * ax + ux * ay + fx AS vx_, ry * ax + uy * ay + fy AS vy_, rz * ax + uz * ay + fz AS vz_, sqrt(vx_ * vx_ + vy_ * vy_ + vz_ * vz_) AS len"
+    ends = "0::DOUBLE AS t0, 1e308::DOUBLE AS t1"
+    if slab:
+        a, b = "((250 - ox) * fx + (500 - oy) * fy + (500 - oz) * fz)", "(dx * fx + dy * fy + dz * fz)"
+        ends = f"greatest(least(({a} - {slab / 2}) / {b}, ({a} + {slab / 2}) / {b}), 0) AS t0, greatest(({a} - {slab / 2}) / {b}, ({a} + {slab / 2}) / {b}) AS t1"
+    return f"""{Q.GAS_SQL}, seen AS ({Q._cull_sql(Q.BALL, 'gas', '2 * h')}),
+c0 AS (SELECT n_nationkey AS cam_id, n_nationkey::DOUBLE AS k, 250 + 150 * cos(k * {_STEP!r}::DOUBLE) AS ex, 500 + 150 * sin(k * {_STEP!r}::DOUBLE) AS ey, 460 + k * 4 AS ez FROM nation),
+c1 AS (SELECT *, (250 - ex) AS wx, (500 - ey) AS wy, (500 - ez) AS wz, sqrt(wx * wx + wy * wy + wz * wz) AS w, wx / w AS fx, wy / w AS fy, wz / w AS fz, sqrt(fx * fx + fy * fy) AS g, fy / g AS rx, -fx / g AS ry, 0::DOUBLE AS rz, {half} AS hy, hy * {width} / {height} AS hx FROM c0),
+c2 AS (SELECT *, ry * fz - rz * fy AS ux, rz * fx - rx * fz AS uy, rx * fy - ry * fx AS uz FROM c1),
+pix AS (SELECT (i // {width})::INTEGER AS py, (i % {width})::INTEGER AS px FROM range({width * height}) t(i)),
+aim AS (SELECT *, (2 * (px + 0.5::DOUBLE) / {width} - 1) * hx AS ax, (1 - 2 * (py + 0.5::DOUBLE) / {height}) * hy AS ay FROM c2, pix),
+rays0 AS (SELECT cam_id, py, px, 0 AS sx, 0 AS sy, fx, fy, fz, {rays} FROM aim),
+rays1 AS (SELECT *, vx_ / len AS dx, vy_ / len AS dy, vz_ / len AS dz FROM rays0),
+rays AS (SELECT cam_id, py, px, sx, sy, ox, oy, oz, dx, dy, dz, {ends} FROM rays1), {Q.HITS_SQL}"""
+
+
+def _seen(s: SparkSession, d: str) -> DataFrame:
+    return P.cull(T.gas(s, d), Q.BALL, Q.BOX, 2 * F.col("h"))
+
+
+def _film_columns(kind: str, slab: float):
+    def query(s: SparkSession, d: str) -> DataFrame:
+        found = FI.film_hits(_seen(s, d), nation_cameras(s, d, slab=slab), LOW, SIDE, kind)
+        return Q.rounded(FI.film_columns(found, PR.column_weights()))
+
+    sums = ", ".join(f"sum(k * {e}) AS {n}" for n, e in Q.SUMS.items())
+    return query, f"WITH {_film_sql(kind, slab=slab)}, {Q._table_sql(True)}, {Q.COLUMN_SQL}, o AS (SELECT cam_id, py, px, {sums} FROM k GROUP BY cam_id, py, px) SELECT cam_id, py, px, {Q.sql_round(' '.join(Q.SUMS))} FROM o"
+
+
+def _film_means(s: SparkSession, d: str) -> DataFrame:
+    found = FI.film_hits(_seen(s, d), nation_cameras(s, d, slab=80.0), LOW, SIDE, "perspective", cells=8)
+    return Q.rounded(FI.film_means(found, {n: (F.col(n), w) for n, w in (("temperature", F.col("density")), ("metallicity", S.lit(1)))}), 5)
+
+
+def _film_rays(s: SparkSession, d: str) -> DataFrame:
+    return Q.rounded(FI.film_rays(nation_cameras(s, d, slab=80.0), "perspective"), 7)
+
+
+Q.register("film_columns_ortho", *_film_columns("orthographic", 0.0))
+Q.register("film_columns_perspective_slab", *_film_columns("perspective", 80.0))
+Q.register(
+    "film_means",
+    _film_means,
+    f"WITH {_film_sql('perspective', slab=80.0)}, {Q._table_sql(True)}, {Q.COLUMN_SQL}, o AS (SELECT cam_id, py, px, coalesce(sum(k * density * temperature) / nullif(sum(k * density), 0), 0) AS temperature, coalesce(sum(k * metallicity) / nullif(sum(k), 0), 0) AS metallicity FROM k GROUP BY cam_id, py, px) SELECT cam_id, py, px, {Q.sql_round('temperature metallicity', 5)} FROM o",
+)
+Q.register("film_rays", _film_rays, f"WITH {_film_sql('perspective', slab=80.0)} SELECT cam_id, py, px, {Q.sql_round('ox oy oz dx dy dz t0 t1', 7)} FROM rays")
+
+
+# ---- regions of a laid-out snapshot ----------------------------------------------------------------------------------
+
+CORNER = Region((15.0, 985.0, 500.0), (90.0, 110.0, 130.0), margin=2.0, name="corner")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; only a local session may lack it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        base = f"file://{tempfile.mkdtemp(prefix='fieldloom-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _region_query(region: Region):
+    def query(s: SparkSession, d: str) -> DataFrame:
+        path = shared_folder(s, "layout")
+        LA.write_layout(T.gas(s, d), path, Q.BOX, files=16, row_group=1 << 20)
+        found = LA.read_region(s, path, region, 2 * F.col("h"))
+        return Q.rounded(found.select(*T.GAS_KEY, "x", "y", "z", "h"))
+
+    return query, f"WITH {Q.GAS_SQL}, seen AS ({Q._cull_sql(region, 'gas', '2 * h')}) SELECT {', '.join(T.GAS_KEY)}, {Q.sql_round('x y z h')} FROM seen"
+
+
+Q.register("layout_region_corner", *_region_query(CORNER))
+Q.register("layout_region_ball", *_region_query(Q.BALL))
