@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -53,6 +53,54 @@ def deposit(df: DataFrame, grid: Grid, box: float, sums: dict[str, Column], h: s
     return df.groupBy(*(F.col(f"i{a}").cast("int").alias(f"i{a}") for a in AXES)).agg(*(F.sum(v * F.col("__w")).alias(k) for k, v in sums.items()))
 
 
+def grid_rows(spark: SparkSession, grids: list[Grid]) -> DataFrame:
+    """A table of grids held in code: grid, center_x.., size_x.., n_x.."""
+    rows = [(g.name, *map(float, g.center), *map(float, g.size), *map(int, g.shape)) for g in grids]
+    return spark.createDataFrame(rows, "grid string, " + ", ".join(f"{n}_{a} {kind}" for n, kind in (("center", "double"), ("size", "double"), ("n", "int")) for a in AXES))
+
+
+def _least_cell() -> Column:
+    return F.least(*(F.col(f"size_{a}") / F.col(f"n_{a}") for a in AXES))
+
+
+def deposit_grids(df: DataFrame, grids: DataFrame, box: float, sums: dict[str, Column], h: str = "h", cells: int = 16) -> DataFrame:
+    """deposit() on every grid of a table (as of grid_rows) in one pass: (grid, ix, iy, iz, sums).
+
+    Particles and grids meet by an equi-join: a particle lies in one cell of the box, of a size that its reach does not
+    exceed (cells double from level to level), and a grid lists the cells of each level that hold what can touch it,
+    across the faces of the box, too. Sums are made before the one shuffle, on (grid, cell). Rows with the same grid name
+    add up; a grid with a null or without cells takes nothing. Places are within the box."""
+    top = max(0, (cells - 1).bit_length())
+    kept = grids.select("grid", *(f"{n}_{a}" for n in ("center", "size", "n") for a in AXES)).dropna()
+    kept = kept.where(reduce(lambda p, q: p & q, [(F.col(f"n_{a}") > 0) & (F.col(f"size_{a}") > 0) for a in AXES]))
+    near = kept.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    edge = S.lit(box / cells) * F.pow(S.lit(2), F.col("level"))
+    last = F.floor(F.lit(cells - 1) / F.pow(S.lit(2), F.col("level"))).cast("int")
+    for i, a in enumerate(AXES):
+        near = near.withColumn(f"c{i}", F.explode(F.sequence(F.lit(0), last)))
+        # The cell's middle may lie beyond half a box away only on the highest levels, where a cell is the whole box.
+        off = F.abs(S.min_image((F.col(f"c{i}") + S.lit(0.5)) * edge - F.col(f"center_{a}"), box))
+        near = near.where((F.col("level") == top) | (off <= F.col(f"size_{a}") / 2 + edge / 2 + F.greatest(edge, _least_cell()) + S.lit(1e-9 * box)))
+    level = F.least(F.greatest(F.ceil(F.log2(2 * F.col(h) / S.lit(box / cells))), F.lit(0)), F.lit(top)).cast("int")
+    placed = df.where((F.col(h) > 0) & reduce(lambda p, q: p & q, [F.col(a).isNotNull() for a in AXES])).withColumn("level", level)
+    edge = S.lit(box / cells) * F.pow(S.lit(2), F.col("level"))
+    placed = placed.withColumns({f"c{i}": F.least(F.greatest(F.floor(F.col(a) / edge), F.lit(0)), F.floor(F.lit(cells - 1) / F.pow(S.lit(2), F.col("level")))).cast("int") for i, a in enumerate(AXES)})
+    met = placed.join(near, ["level", "c0", "c1", "c2"]).withColumn("__h", F.greatest(F.col(h), _least_cell() / 2))
+    met = met.withColumns({a: F.col(f"center_{a}") + S.min_image(F.col(a) - F.col(f"center_{a}"), box) for a in AXES})
+    met = met.where(reduce(lambda p, q: p & q, [F.abs(F.col(a) - F.col(f"center_{a}")) <= F.col(f"size_{a}") / 2 + 2 * F.col("__h") for a in AXES]))
+    step = {a: F.col(f"size_{a}") / F.col(f"n_{a}") for a in AXES}
+    low = {a: F.col(f"center_{a}") - F.col(f"size_{a}") / 2 for a in AXES}
+    ends = {a: [F.floor((F.col(a) - low[a] + way * 2 * F.col("__h")) / step[a]) for way in (-1, 1)] for a in AXES}
+    met = met.withColumns({f"__f{a}": F.greatest(f, F.lit(0)) for a, (f, _) in ends.items()} | {f"__t{a}": F.least(t, F.col(f"n_{a}") - 1) for a, (_, t) in ends.items()})
+    met = met.where(reduce(lambda p, q: p & q, [F.col(f"__f{a}") <= F.col(f"__t{a}") for a in AXES]))
+    for a in AXES:
+        met = met.withColumn(f"i{a}", F.explode(F.sequence(f"__f{a}", f"__t{a}")))
+    delta = [F.col(a) - (low[a] + (F.col(f"i{a}") + S.lit(0.5)) * step[a]) for a in AXES]
+    met = met.withColumn("__r", F.sqrt(sum((d * d for d in delta[1:]), delta[0] * delta[0]))).where(F.col("__r") < 2 * F.col("__h"))
+    met = met.withColumn("__w", S.kernel(F.col("__r"), F.col("__h")))
+    return met.groupBy("grid", *(F.col(f"i{a}").cast("int").alias(f"i{a}") for a in AXES)).agg(*(F.sum(v * F.col("__w")).alias(k) for k, v in sums.items()))
+
+
 def gas_fields() -> dict[str, Column]:
     """What each field of a gas cube sums; density doubles as the weight of the means."""
     m = F.col("mass")

@@ -158,3 +158,23 @@ def _region_query(region: Region):
 
 Q.register("layout_region_corner", *_region_query(CORNER))
 Q.register("layout_region_ball", *_region_query(Q.BALL))
+
+
+# ---- cubes on a table of grids: one for each nation, some across the faces of the box ---------------------------------
+
+
+def _nation_cubes(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey").cast("double")
+    parts = {"center_x": k * S.lit(40), "center_y": S.lit(1000) - k * S.lit(30), "center_z": S.lit(500), "size_x": S.lit(60) + k, "size_y": S.lit(90), "size_z": S.lit(80), "n_x": F.lit(4), "n_y": F.lit(6) - F.col("n_nationkey") % 3, "n_z": F.lit(3)}
+    grids = T.read(s, d, "nation").select(F.col("n_name").alias("grid"), *(v.alias(n) for n, v in parts.items()))
+    return Q.rounded(P.deposit_grids(T.gas(s, d), grids, Q.BOX, {"gas_density": F.col("mass"), "temperature": F.col("mass") * F.col("temperature")}))
+
+
+_GRIDS_SQL = f"""WITH {Q.GAS_SQL},
+g AS (SELECT n_name AS grid, n_nationkey * 40::DOUBLE AS gx, 1000 - n_nationkey * 30::DOUBLE AS gy, 500::DOUBLE AS gz, 60 + n_nationkey::DOUBLE AS wx, 90::DOUBLE AS wy, 80::DOUBLE AS wz, 4 AS nx, 6 - n_nationkey % 3 AS ny, 3 AS nz FROM nation),
+near AS (SELECT g.*, mass, temperature, greatest(h, least(wx / nx, wy / ny, wz / nz) / 2) AS hh, {', '.join(f"g{a} + (CASE WHEN {a} - g{a} > 500 THEN {a} - g{a} - 1000 WHEN {a} - g{a} < -500 THEN {a} - g{a} + 1000 ELSE {a} - g{a} END) AS {a}" for a in 'xyz')} FROM gas, g),
+reached AS (SELECT * FROM near WHERE {' AND '.join(f"abs({a} - g{a}) <= w{a} / 2 + 2 * hh" for a in 'xyz')}),
+hit AS (SELECT *, sqrt({' + '.join(f"({a} - (g{a} - w{a} / 2 + (i{a} + 0.5::DOUBLE) * w{a} / n{a})) ** 2" for a in 'xyz')}) AS r FROM reached, range(4) a(ix), range(6) b(iy), range(3) c(iz) WHERE iy < ny),
+cube AS (SELECT grid, ix::INTEGER AS ix, iy::INTEGER AS iy, iz::INTEGER AS iz, sum(mass * {Q.W_SQL}) AS gas_density, sum(mass * temperature * {Q.W_SQL}) AS temperature FROM hit WHERE r < 2 * hh GROUP BY ALL)
+SELECT grid, ix, iy, iz, {Q.sql_round('gas_density temperature')} FROM cube"""
+Q.register("deposit_grid_table", _nation_cubes, _GRIDS_SQL)

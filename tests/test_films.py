@@ -110,3 +110,17 @@ def test_regions_skip_row_groups(spark, tmp_path):
     leaf = plan.collectLeaves().apply(0)
     leaf = leaf.executedPlan().collectLeaves().apply(0) if "Adaptive" in leaf.getClass().getName() else leaf
     assert leaf.metrics().apply("numOutputRows").value() < 40_000 / 5
+
+
+@pytest.mark.parametrize("cells", [1, 6, 16])
+def test_grid_table_is_its_grids(spark, crowd, cells):
+    grids = [Grid((50, 50, 50), (60, 40, 60), (7, 5, 6), "a"), Grid((2, 97, 50), (20, 30, 10), (3, 4, 2), "b"), Grid((50, 50, 50), (100, 100, 100), (2, 2, 2), "c")]
+    inside = crowd.where("x is null or x between 0 and 100")
+    sums = {"m": F.col("mass"), "hm": F.col("mass") * F.col("h")}
+    got = {(r.grid, r.ix, r.iy, r.iz): (r.m, r.hm) for r in P.deposit_grids(inside, P.grid_rows(spark, grids), 100.0, sums, cells=cells).collect()}
+    want = {(g.name, r.ix, r.iy, r.iz): (r.m, r.hm) for g in grids for r in P.deposit(inside, g, 100.0, sums).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    bad = P.grid_rows(spark, [Grid((1, 1, 1), (1, 1, 1), (0, 1, 1)), Grid((1, 1, 1), (0, 1, 1), (1, 1, 1))])
+    assert P.deposit_grids(inside, bad, 100.0, sums).count() == 0
+    plan = P.deposit_grids(inside, P.grid_rows(spark, grids), 100.0, sums)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(grid") == 1 and "NestedLoop" not in plan
