@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..plans.config import Camera
-from .projection import AXES, FAR, columns, emission, hits, means, ray, settle, slab
+from .projection import AXES, FAR, columns, emission, hits, means, ray, segments, settle, slab
 
 #: Columns of a camera table, besides cam_id: eye, point looked at and up, then the settings of Camera.
 SETTINGS = [f"{n}_{a}" for n in ("position", "look_at", "up") for a in AXES] + ["width", "height", "ortho_width", "fov", "slab"]
@@ -130,3 +130,32 @@ def film_header(cameras: DataFrame, kind: str, channels: list[str]) -> DataFrame
     """A row for each camera of the table, as written beside a film's maps."""
     triple = lambda n: F.array(*(F.col(f"{n}_{a}").cast("double") for a in AXES)).alias(f"camera_{n}")
     return cameras.select("cam_id", F.lit(kind).alias("camera_type"), triple("position"), triple("look_at"), triple("up"), "ortho_width", "fov", F.col("slab").alias("los_slab"), F.col("width").alias("image_width"), F.col("height").alias("image_height"), F.array(*map(F.lit, channels)).cast("array<string>").alias("channels"))
+
+
+# ---- films through the grids of a table of tiers ---------------------------------------------------------------------
+
+
+class GridRow:
+    """The grid of a row, as columns center_x.., size_x.., n_x..: what projection asks of a Grid."""
+
+    def __init__(self) -> None:
+        self.size, self.shape = (tuple(F.col(f"{n}_{a}") for a in AXES) for n in ("size", "n"))
+        self.low = tuple(F.col(f"center_{a}") - F.col(f"size_{a}") / 2 for a in AXES)
+        self.cell = tuple(F.col(f"size_{a}") / F.col(f"n_{a}") for a in AXES)
+
+
+def tier_segments(cameras: DataFrame, tiers: DataFrame, kind: str = "orthographic") -> DataFrame:
+    """Segments of every camera's rays through the grid of its tier: cam_id, tier, py, px, ix, iy, iz, t, ds. cameras: a
+    camera table with the column tier; tiers: tier and the columns of grid_rows (a few rows)."""
+    grids = tiers.select("tier", *(f"{n}_{a}" for n in ("center", "size", "n") for a in AXES))
+    found = film_rays(cameras, kind).join(cameras.select("cam_id", "tier"), "cam_id").join(grids, "tier")
+    return segments(found, GridRow()).select("cam_id", "tier", "py", "px", "dx", "dy", "dz", "ix", "iy", "iz", "t", "ds")
+
+
+def zoom_film(cameras: DataFrame, tiers: DataFrame, cells: DataFrame, kind: str = "orthographic") -> DataFrame:
+    """tier_segments() with the cells (tier, ix, iy, iz, fields) they cross, for sums by (cam_id, py, px). All runs of frames
+    with one tier are one plan. cells, read from a table partitioned by tier, are read for the tiers that frames chose and
+    no others: which these are is found out while the query runs."""
+    used = cameras.agg(F.collect_set("tier")).scalar()  # as many names as there are tiers
+    read = cells.where(F.array_contains(used, F.col("tier")))  # a filter of partitions that is known when the scan begins
+    return tier_segments(cameras, tiers, kind).join(read, ["tier", "ix", "iy", "iz"])

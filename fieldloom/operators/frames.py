@@ -56,9 +56,10 @@ def depth(mode: str, fixed: float, width: Column) -> Column:
     return width if mode == "same-as-y" else S.lit(fixed)
 
 
-def pick_tier(views: DataFrame, tiers: DataFrame, width: str, tolerance: float = 0.0) -> DataFrame:
-    """Each view with the smallest tier that covers its width; the widest one if none does. tiers: tier, side (a few rows)."""
-    covers = F.col("side") * S.lit(1 + tolerance) >= F.col(width)
+def pick_tier(views: DataFrame, tiers: DataFrame, width: str, tolerance: float = 0.0, aspect: float = 1.0) -> DataFrame:
+    """Each view with the smallest tier that covers it whichever way it is longer, so of a side of max(width, width x
+    aspect); the widest one if none does. tiers: tier, side (a few rows)."""
+    covers = F.col("side") * S.lit(1 + tolerance) >= F.greatest(F.col(width), F.col(width) * S.lit(aspect))
     widest = tiers.agg(F.max_by("tier", "side").alias("__widest"))
     best = views.join(F.broadcast(tiers), covers).groupBy(*views.columns).agg(F.min_by("tier", "side").alias("tier"))
     return views.join(best, views.columns, "left").crossJoin(F.broadcast(widest)).select(*views.columns, F.coalesce("tier", "__widest").alias("tier"))
@@ -127,3 +128,41 @@ def crossfade(n: int, scenes: int, fade: int) -> tuple[Column, Column, Column]:
 def missing(wanted: DataFrame, there: DataFrame) -> DataFrame:
     """Frames without a map."""
     return wanted.join(there.select("frame").distinct(), "frame", "left_anti")
+
+
+def spline(keys: DataFrame, n: int, steps: int = 64) -> DataFrame:
+    """(frame, x, y, z): n frames at even distances along the Catmull-Rom curve through key frames (key, x, y, z), in order
+    of key; before the first and after the last one the curve takes these twice. Equal neighbours add no way; with fewer
+    than two different places all frames stand at the first. No keys give no frames.
+
+    Neighbouring rows make a segment, a segment `steps` chords, and running sums of their lengths say which frames lie on
+    which chord: no frame looks for its place. Windows run over the chords of one film, which are few."""
+    order = Window.orderBy("key")
+    ends = {}
+    for a in "xyz":
+        after = F.coalesce(F.lead(a, 1).over(order), F.col(a))
+        ends |= {f"{a}0": F.coalesce(F.lag(a, 1).over(order), F.col(a)), f"{a}1": F.col(a), f"{a}2": after, f"{a}3": F.coalesce(F.lead(a, 2).over(order), after)}
+    parts = keys.where(F.col("key").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).select("key", "x", "y", "z")
+    parts = parts.select("key", *(v.alias(k) for k, v in ends.items()), F.lead("key").over(order).isNotNull().alias("more"))
+    parts = parts.withColumn("alone", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) == 1)
+
+    def at(a: str, u: Column) -> Column:
+        p = [F.col(f"{a}{i}") for i in range(4)]
+        return S.lit(0.5) * (2 * p[1] + (p[2] - p[0]) * u + (2 * p[0] - 5 * p[1] + 4 * p[2] - p[3]) * u * u + (3 * p[1] - p[0] - 3 * p[2] + p[3]) * u * u * u)
+
+    chord = parts.where("more or alone").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    u0, u1 = F.col("i") / S.lit(steps), (F.col("i") + 1) / S.lit(steps)
+    chord = chord.select("key", "i", *(at(a, u0).alias(f"{a}0") for a in "xyz"), *(at(a, u1).alias(f"{a}1") for a in "xyz"))
+    long = F.sqrt(sum((F.pow(F.col(f"{a}1") - F.col(f"{a}0"), 2) for a in "yz"), F.pow(F.col("x1") - F.col("x0"), 2)))
+    run = Window.orderBy("key", "i")
+    chord = chord.withColumn("d", long).withColumns({"to": F.sum("d").over(run), "all": F.sum("d").over(Window.partitionBy(F.lit(0))), "first": F.row_number().over(run) == 1})
+    chord = chord.withColumn("from", F.lag("to", 1, 0.0).over(run))
+    # Frame f lies at all x f / (n - 1); each chord has those after its start, up to its end.
+    last = S.lit(max(1, n - 1))
+    low = F.when(F.col("first"), F.lit(0)).otherwise(F.floor(F.try_divide(F.col("from"), F.col("all")) * last) + 1)
+    high = F.when(F.col("all") <= 0, F.when(F.col("first"), F.lit(n - 1)).otherwise(F.lit(-1))).when(F.col("to") >= F.col("all"), F.lit(n - 1)).otherwise(F.floor(F.try_divide(F.col("to"), F.col("all")) * last))
+    found = chord.withColumns({"__low": low.cast("int"), "__high": F.least(high, F.lit(n - 1)).cast("int")}).where("__low <= __high")
+    found = found.withColumn("frame", F.explode(F.sequence("__low", "__high")))
+    share = F.coalesce(F.try_divide(F.col("all") * F.col("frame") / last - F.col("from"), F.col("d")), S.lit(0))
+    share = F.least(F.greatest(share, S.lit(0)), S.lit(1))
+    return found.groupBy("frame").agg(*(F.min_by(F.col(f"{a}0") + share * (F.col(f"{a}1") - F.col(f"{a}0")), F.struct("key", "i")).alias(a) for a in "xyz"))

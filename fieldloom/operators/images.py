@@ -211,6 +211,22 @@ def stack_layers(layers: DataFrame) -> DataFrame:
     return shown.groupBy("py", "px").agg(*(F.sum(F.col(c) * F.col("__share")).alias(c) for c in "rgb"))
 
 
+def layer_alpha(unit: Column, transmittance: Column, gain: float = 1.0) -> Column:
+    """Opacity of a volume's layer: its normalised emission, held low where it is faint, and some of what it blocks."""
+    return clamp(S.lit(gain) * F.pow(unit, S.lit(1.8)) + S.lit(0.3) * (1 - transmittance))
+
+
+def blend(images: DataFrame, schedule: DataFrame, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """(frame, py, px, channels): frames that fade from one series of images (scene, frame, py, px, channels) into the next.
+    schedule: frame, before, after, alpha, as of crossfade. A frame asks for one or two scenes with a weight each, so the
+    images are met once, by (frame, scene); what an image lacks is black."""
+    two = F.array(F.struct(F.col("before").alias("scene"), (1 - F.col("alpha")).alias("w")), F.struct(F.col("after").alias("scene"), F.when(F.col("before") == F.col("after"), S.lit(0)).otherwise(F.col("alpha")).alias("w")))
+    own = F.when(F.col("before") == F.col("after"), S.lit(1)).otherwise(F.col("__x.w"))
+    asked = schedule.select("frame", "before", "after", F.posexplode(two).alias("__i", "__x")).where("__i = 0 or before <> after")
+    asked = asked.select("frame", F.col("__x.scene").alias("scene"), own.alias("__w")).where("__w > 0")
+    return images.join(asked, ["frame", "scene"]).groupBy("frame", "py", "px").agg(*(F.sum(F.col(c) * F.col("__w")).alias(c) for c in channels))
+
+
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """Statistics of two maps (py, px, v), over the pixels where both are positive: ratio and relative difference."""
     both = a.select("py", "px", F.col("v").alias("p")).join(b.select("py", "px", F.col("v").alias("q")), ["py", "px"])
@@ -218,5 +234,9 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     ratio, diff = F.when(ok, F.col("p") / F.col("q")), F.when(ok, (F.col("p") - F.col("q")) / F.greatest(F.abs("q"), S.lit(1e-30)))
     out = [(F.sum("p") / F.greatest(F.sum("q"), S.lit(1e-30))).alias("sum_ratio")]
     for name, v in (("ratio", ratio), ("diff", diff)):
-        out += [F.avg(v).alias(f"{name}_mean"), F.percentile(v, 0.5).alias(f"{name}_median"), F.stddev_pop(v).alias(f"{name}_std"), F.min(v).alias(f"{name}_min"), F.max(v).alias(f"{name}_max")]
-    return both.agg(*out)
+        out += [F.avg(v).alias(f"{name}_mean"), F.stddev_pop(v).alias(f"{name}_std"), F.min(v).alias(f"{name}_min"), F.max(v).alias(f"{name}_max")]
+    # Medians of both at once, as groups, and by histograms: no task holds a map's values.
+    pair = F.explode(F.array(*(F.struct(F.lit(n).alias("__of"), v.alias("__x")) for n, v in (("ratio", ratio), ("diff", diff)))))
+    medians = quantiles(both.select(pair.alias("__s")).select("__s.*"), "__x", [0.5], ["__of"])
+    medians = medians.agg(*(F.max(F.when(F.col("__of") == n, F.col("p0"))).alias(f"{n}_median") for n in ("ratio", "diff")))
+    return both.agg(*out).crossJoin(F.broadcast(medians))  # one row each

@@ -116,8 +116,9 @@ def intensive(cube: DataFrame, fields: tuple[str, ...] = ("temperature", "metall
 LONELY = 1e15
 
 
-def neighbour_h(df: DataFrame, k: int, key: str = "pid", h_max: float | None = None, h_min: float = 0.0, within: str | None = None, levels: int = 24) -> DataFrame:
-    """(key, h): the distance to the k-th nearest other particle, at most h_max and at least h_min. Not periodic.
+def neighbour_h(df: DataFrame, k: int, key: str = "pid", h_max: float | None = None, h_min: float = 0.0, within: str | None = None, levels: int = 24, box: float | None = None) -> DataFrame:
+    """(key, h): the distance to the k-th nearest other particle, at most h_max and at least h_min. box: the side of a
+    periodic box that holds all places; distances are then those to the nearest image. Without it nothing is periodic.
     within: a column, such as the subfile, in which neighbours must agree.
 
     The particles' box is halved `levels` times along each axis, by default down to what 32-bit coordinates tell apart. A particle's node is the smallest cell around it that
@@ -130,7 +131,7 @@ def neighbour_h(df: DataFrame, k: int, key: str = "pid", h_max: float | None = N
     alike = ["__in"] if within else []
     points = df.select(F.col(key).alias("__key"), *(F.col(within).alias("__in") for _ in alike), *AXES)
     low, side = [f"__low_{a}" for a in AXES], F.col("__side")
-    box = points.agg(*(F.min(a).alias(n) for a, n in zip(AXES, low, strict=True)), F.greatest(*(F.max(a) - F.min(a) for a in AXES)).alias("__side"))
+    corner = points.agg(*(F.min(a).alias(n) for a, n in zip(AXES, low, strict=True)), F.greatest(*(F.max(a) - F.min(a) for a in AXES)).alias("__side"))
     cells = 1 << levels
 
     def cell(x: Column, n: str) -> Column:
@@ -140,7 +141,7 @@ def neighbour_h(df: DataFrame, k: int, key: str = "pid", h_max: float | None = N
         return [F.expr(f"shiftright({prefix}{a}, {levels} - level)").alias(f"n{a}") for a in AXES]
 
     fine, node = [f"c{a}" for a in AXES], [f"n{a}" for a in AXES]
-    spots = points.groupBy(*alike, *AXES).agg(F.count(F.lit(1)).alias("m")).crossJoin(F.broadcast(box))  # one row
+    spots = points.groupBy(*alike, *AXES).agg(F.count(F.lit(1)).alias("m")).crossJoin(F.broadcast(corner))  # one row
     spots = spots.withColumns({c: cell(F.col(a), n) for c, a, n in zip(fine, AXES, low, strict=True)})
     ladder = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
     tree = spots.groupBy(*alike, *fine).agg(F.sum("m").alias("m")).select("*", ladder).select("*", *above("c"))
@@ -156,23 +157,33 @@ def neighbour_h(df: DataFrame, k: int, key: str = "pid", h_max: float | None = N
 
     def nearest(asks: DataFrame) -> DataFrame:
         """Adds d2, the squared distance to the k-th other particle among those in the cells asked for."""
-        d2 = sum((F.pow(F.col(a) - F.col(f"o{a}"), 2) for a in "yz"), F.pow(F.col("x") - F.col("ox"), 2))
-        own = reduce(lambda p, q: p & q, [F.col(a) == F.col(f"o{a}") for a in AXES])
-        near = asks.join(others, [*alike, "level", *node]).select(*place, "reach", d2.alias("d2"), (F.col("m") - own.cast("long")).alias("m"))
+        d2 = sum((F.pow(F.col(f"q{a}") - F.col(f"o{a}"), 2) for a in "yz"), F.pow(F.col("qx") - F.col("ox"), 2))
+        own = reduce(lambda p, q: p & q, [F.col(f"q{a}") == F.col(f"o{a}") for a in AXES])
+        near = asks.join(others, [*alike, "level", *node])
+        if box is not None:  # of the images of another particle, the nearest alone
+            near = near.where(reduce(lambda p, q: p & q, [(F.col(f"q{a}") - F.col(f"o{a}") > S.lit(-box / 2)) & (F.col(f"q{a}") - F.col(f"o{a}") <= S.lit(box / 2)) for a in AXES]) | F.col("reach").isNull())
+        near = near.select(*place, "reach", d2.alias("d2"), (F.col("m") - own.cast("long")).alias("m"))
         near = near.where("(reach is null or d2 <= reach) and m > 0")
         order = Window.partitionBy(*place).orderBy("d2")
         first = near.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k)
         seen = first.withColumn("__seen", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         return seen.where(F.col("__seen") >= k).groupBy(*place).agg(F.min("d2").alias("reach"))
 
-    bound = nearest(placed.select(*place, "level", *above("c"), F.lit(None).cast("double").alias("reach")))
-    asks = placed.join(bound, place)
+    here = [F.col(a).alias(f"q{a}") for a in AXES]
+    bound = nearest(placed.select(*place, *here, "level", *above("c"), F.lit(None).cast("double").alias("reach")))
+    asks = placed.join(bound, place).select("*", *here)
+    if box is not None:
+        # A sphere that leaves the box asks again from the place's images on the other sides, as far as it meets the
+        # particles' own extent; places are not copied, only questions near a face are.
+        for a, n in zip(AXES, low, strict=True):
+            moved = F.explode(F.array(F.col(a) - S.lit(box), F.col(a), F.col(a) + S.lit(box)))
+            asks = asks.withColumn(f"q{a}", moved).where((F.col(f"q{a}") + F.sqrt("reach") * S.lit(1 + 1e-12) >= F.col(n)) & (F.col(f"q{a}") - F.sqrt("reach") * S.lit(1 + 1e-12) <= F.col(n) + side))
     r = F.sqrt("reach") * S.lit(1 + 1e-12)
     for a, n in zip(AXES, low, strict=True):
-        ends = [cell(F.col(a) + way * r, n) for way in (-1, 1)]
+        ends = [cell(F.col(f"q{a}") + way * r, n) for way in (-1, 1)]
         asks = asks.withColumns({f"__f{a}": ends[0], f"__t{a}": ends[1]})
         asks = asks.withColumn(f"n{a}", F.explode(F.expr(f"sequence(shiftright(__f{a}, {levels} - level), shiftright(__t{a}, {levels} - level))")))
-    exact = nearest(asks.select(*place, "level", *node, "reach")).select(*place, F.sqrt("reach").alias("__r"))
+    exact = nearest(asks.select(*place, *(f"q{a}" for a in AXES), "level", *node, "reach")).select(*place, F.sqrt("reach").alias("__r"))
     h = F.coalesce(F.col("__r"), S.lit(LONELY))
     h = h if h_max is None else F.least(h, S.lit(h_max))
     return points.join(exact, place, "left").select(F.col("__key").alias(key), F.greatest(h, S.lit(h_min)).alias("h"))

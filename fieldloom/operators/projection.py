@@ -259,6 +259,24 @@ def through_grid(parts: DataFrame, cube: DataFrame) -> DataFrame:
     return parts.join(cube, [f"i{a}" for a in AXES])
 
 
+def dusty(found: DataFrame, light: Column, dust: Column, by: tuple[str, ...] = (), depth: float = 64.0) -> DataFrame:
+    """Per pixel the light that arrives through dust, and the optical depth: over a ray's segments (of through_grid), front
+    to back, light is light x ds x exp(-tau), where tau is the sum of dust x ds before the segment. Null counts as none.
+
+    A stretch of a ray is a pair, its own light and its own depth, and pairs compose: the light of what lies behind is
+    dimmed by the depth of what lies before. So rays are cut into slabs of length `depth` along t; a slab's pair is made
+    where its segments meet, in one sort, and only pairs, a few for each ray, are ordered along the ray."""
+    ray = [*by, "py", "px"]
+    k = F.coalesce(dust, S.lit(0)) * F.col("ds")
+    cut = found.select(*ray, "t", F.floor(F.col("t") / S.lit(depth)).alias("__slab"), (F.coalesce(light, S.lit(0)) * F.col("ds")).alias("__j"), k.alias("__k"))
+    before = Window.partitionBy(*ray, "__slab").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("__tau", F.coalesce(F.sum("__k").over(before), S.lit(0)))
+    pairs = cut.groupBy(*ray, "__slab").agg(F.sum(F.col("__j") * F.exp(-F.col("__tau"))).alias("__light"), F.sum("__k").alias("__deep"))
+    ahead = Window.partitionBy(*ray).orderBy("__slab").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = pairs.withColumn("__ahead", F.coalesce(F.sum("__deep").over(ahead), S.lit(0)))
+    return pairs.groupBy(*ray).agg(F.sum(F.col("__light") * F.exp(-F.col("__ahead"))).alias("light"), F.sum("__deep").alias("depth"))
+
+
 def dense(spark: SparkSession, camera: Camera, image: DataFrame, empty: dict[str, float] | None = None) -> DataFrame:
     """Every pixel; those the image lacks get 0, or what `empty` says."""
     values = [c for c in image.columns if c not in ("py", "px")]

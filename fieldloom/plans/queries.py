@@ -332,14 +332,15 @@ register("orbit_path", lambda s, d: rounded(FR.orbit(s, FRAMES, (500.0, 400.0, 3
 register("spiral_path", lambda s, d: rounded(FR.spiral(s, FRAMES, (500.0, 400.0, 300.0), 200.0, 20.0, 1.5, 0.3, "xz", 24)), f"SELECT frame, round(r, 6) + 0 AS r, round(500 + r * cos(a), 6) + 0 AS x, 400::DOUBLE AS y, round(300 + r * sin(a), 6) + 0 AS z FROM (SELECT i::INTEGER AS frame, 200 * pow(0.1::DOUBLE, i / 24.0::DOUBLE) AS r, 0.3::DOUBLE + {3 * math.pi!r}::DOUBLE * i / 24 AS a FROM range({FRAMES}) t(i))")
 
 
-def _tiers(s: SparkSession) -> DataFrame:
-    views = FR.frames(s, FRAMES).select("frame", F.round(FR.geometric(FRAMES, 900.0, 30.0), 6).alias("width"))
-    return FR.pick_tier(views, s.createDataFrame(TIERS, "tier string, side double"), "width")
+def _tiers(s: SparkSession, d: str) -> DataFrame:
+    """A 16:9 view for each nation, narrower with its key."""
+    views = T.read(s, d, "nation").select(F.col("n_nationkey").alias("frame")).withColumn("width", F.round(FR.geometric(25, 900.0, 20.0), 6))
+    return FR.pick_tier(views, s.createDataFrame(TIERS, "tier string, side double"), "width", 0.05, 16 / 9)
 
 
-_TIER_SQL = f"tiers(tier, side) AS (VALUES {', '.join(f'({t!r}, {v}::DOUBLE)' for t, v in TIERS)}), views AS (SELECT i::INTEGER AS frame, round(900 * pow({30 / 900!r}::DOUBLE, i / {FRAMES - 1}.0::DOUBLE), 6) AS width FROM range({FRAMES}) t(i)), chosen AS (SELECT frame, width, coalesce((SELECT arg_min(tier, side) FROM tiers WHERE side >= width), 'wide') AS tier FROM views)"
-register("tier_pick", lambda s, d: _tiers(s), f"WITH {_TIER_SQL} SELECT * FROM chosen")
-register("tier_runs", lambda s, d: FR.runs(_tiers(s), "tier"), f"WITH {_TIER_SQL} SELECT run, tier, min(frame) AS first, max(frame) AS last FROM (SELECT *, sum(new) OVER (ORDER BY frame)::BIGINT AS run FROM (SELECT *, (coalesce(lag(tier) OVER (ORDER BY frame), '') <> tier)::INTEGER AS new FROM chosen)) GROUP BY run, tier")
+_TIER_SQL = f"tiers(tier, side) AS (VALUES {', '.join(f'({t!r}, {v}::DOUBLE)' for t, v in TIERS)}), views AS (SELECT n_nationkey AS frame, round(900 * pow({20 / 900!r}::DOUBLE, n_nationkey / 24.0::DOUBLE), 6) AS width FROM nation), chosen AS (SELECT frame, width, coalesce((SELECT arg_min(tier, side) FROM tiers WHERE side * 1.05::DOUBLE >= greatest(width, width * 16 / 9)), 'wide') AS tier FROM views)"
+register("tier_pick", _tiers, f"WITH {_TIER_SQL} SELECT * FROM chosen")
+register("tier_runs", lambda s, d: FR.runs(_tiers(s, d), "tier"), f"WITH {_TIER_SQL} SELECT run, tier, min(frame) AS first, max(frame) AS last FROM (SELECT *, sum(new) OVER (ORDER BY frame)::BIGINT AS run FROM (SELECT *, (coalesce(lag(tier) OVER (ORDER BY frame), '') <> tier)::INTEGER AS new FROM chosen)) GROUP BY run, tier")
 _SERIES = f"p AS (SELECT frame, quantile_cont(v, 0.9) AS p0 FROM img WHERE v > 0 GROUP BY frame), ser AS (SELECT i::INTEGER AS frame, CASE WHEN i % 7 IN (2, 3) OR i < 1 THEN NULL ELSE log10(p0) END AS y FROM range({FRAMES}) t(i) LEFT JOIN p ON p.frame = i)"
 
 
@@ -476,7 +477,7 @@ register("jitter_hash", lambda s, d: PR.pixels(s, ORTHO).select("py", "px", F.ex
 register("flyin_path", lambda s, d: rounded(FR.fly_in(s, FRAMES, (500.0, 400.0, 300.0), 200.0, 20.0, "Z", 24)), f"SELECT frame, {sql_round('r')}, 500::DOUBLE AS x, 400::DOUBLE AS y, round(300 + r, 6) + 0 AS z FROM (SELECT i::INTEGER AS frame, 200 * pow(0.1::DOUBLE, i / 24.0::DOUBLE) AS r FROM range({FRAMES}) t(i))")
 register("clip_schedule", lambda s, d: rounded(FR.frames(s, FRAMES).select("frame", FR.clip_radii(FRAMES, start=400.0, end=25.0, reach=20).alias("radius"), FR.clip_radii(FRAMES, 60.0).alias("fixed"), FR.depth("same-as-y", 50.0, FR.geometric(FRAMES, 900.0, 30.0)).alias("depth"))), f"SELECT i::INTEGER AS frame, round(400 * pow(0.0625::DOUBLE, i / 20.0::DOUBLE), 6) + 0 AS radius, 60::DOUBLE AS fixed, round(900 * pow({30 / 900!r}::DOUBLE, i / {FRAMES - 1}.0::DOUBLE), 6) + 0 AS depth FROM range({FRAMES}) t(i)")
 register("trim_frame", lambda s, d: FR.first_covered(FR.frames(s, FRAMES).select("frame", F.round(FR.geometric(FRAMES, 900.0, 30.0), 6).alias("width")), "width", 800.0, 16 / 9), f"WITH {_TIER_SQL} SELECT coalesce(min(frame), 0)::INTEGER AS frame FROM views WHERE width * {16 / 9!r}::DOUBLE <= 800")
-register("tier_counts", lambda s, d: _tiers(s).groupBy("tier").agg(F.count("*").alias("n")), f"WITH {_TIER_SQL} SELECT tier, count(*) AS n FROM chosen GROUP BY tier")
+register("tier_counts", lambda s, d: _tiers(s, d).groupBy("tier").agg(F.count("*").alias("n")), f"WITH {_TIER_SQL} SELECT tier, count(*) AS n FROM chosen GROUP BY tier")
 
 # ---- images -----------------------------------------------------------------------------------------------------------
 register("global_stretch", lambda s, d: rounded(IM.stretch(_map(s, d), _map(s, d).select(*(F.col(c) * S.lit(k) for c, k in zip("abc", (3.0, 1.5, 2.0), strict=True)), F.lit(0)).toDF("a", "b", "c", "z"), ["a", "b", "c"], 0.995, 0.4)), f"WITH {MAP_SQL}, e AS (SELECT quantile_cont(v, 0.995) + 1e-30 AS natural_, quantile_cont(w, 0.995) + 1e-30 AS boosted FROM (SELECT unnest([a, b, c]) AS v, unnest([a * 3.0::DOUBLE, b * 1.5::DOUBLE, c * 2.0::DOUBLE]) AS w FROM m)) SELECT round(natural_, 6) + 0 AS \"natural\", round(boosted, 6) + 0 AS boosted, round(natural_ * pow(boosted / natural_, 0.4::DOUBLE), 6) + 0 AS stretch FROM e")
@@ -526,4 +527,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from . import films, loading  # noqa: E402, F401  (they add their queries to the registry above)
+from . import films, loading, zoom  # noqa: E402, F401  (they add their queries to the registry above)
