@@ -14,30 +14,34 @@ def frames(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("int").alias("frame"))
 
 
+def _given(spark: SparkSession, n: int, at: DataFrame | None) -> DataFrame:
+    return frames(spark, n) if at is None else at.select("frame")
+
+
 def geometric(n: int, first: float, last: float, reach: int | None = None) -> Column:
     """first * (last / first) ** (frame / reach); reach is the last frame unless given, and the way goes on past it."""
     return S.lit(first) * F.pow(S.lit(last / first), F.col("frame") / S.lit(max(1, reach if reach is not None else n - 1)))
 
 
-def orbit(spark: SparkSession, n: int, center: tuple[float, ...], radius: float) -> DataFrame:
-    """One turn in the xy plane."""
+def orbit(spark: SparkSession, n: int, center: tuple[float, ...], radius: float, at: DataFrame | None = None) -> DataFrame:
+    """One turn in the xy plane. at: the frames (column frame) to give, as those of a table; all n if there are none."""
     angle = S.lit(2 * math.pi) * F.col("frame") / S.lit(n)
-    return frames(spark, n).select("frame", (S.lit(center[0]) + S.lit(radius) * F.cos(angle)).alias("x"), (S.lit(center[1]) + S.lit(radius) * F.sin(angle)).alias("y"), S.lit(center[2]).alias("z"))
+    return _given(spark, n, at).select("frame", (S.lit(center[0]) + S.lit(radius) * F.cos(angle)).alias("x"), (S.lit(center[1]) + S.lit(radius) * F.sin(angle)).alias("y"), S.lit(center[2]).alias("z"))
 
 
-def spiral(spark: SparkSession, n: int, center: tuple[float, ...], outer: float, inner: float, turns: float, start: float = 0.0, plane: str = "xy", reach: int | None = None) -> DataFrame:
+def spiral(spark: SparkSession, n: int, center: tuple[float, ...], outer: float, inner: float, turns: float, start: float = 0.0, plane: str = "xy", reach: int | None = None, at: DataFrame | None = None) -> DataFrame:
     """Radius from outer to inner in equal ratios, angle in equal steps; past `reach` both go on."""
     last = max(1, reach if reach is not None else n - 1)
     r, angle = geometric(n, outer, inner, last), S.lit(start) + S.lit(2 * math.pi * turns) * F.col("frame") / S.lit(last)
     way = dict(zip(plane, (F.cos(angle), F.sin(angle)), strict=True))
-    return frames(spark, n).select("frame", r.alias("r"), *((S.lit(c) + (way[a] * r if a in way else S.lit(0))).alias(a) for a, c in zip("xyz", center, strict=True)))
+    return _given(spark, n, at).select("frame", r.alias("r"), *((S.lit(c) + (way[a] * r if a in way else S.lit(0))).alias(a) for a, c in zip("xyz", center, strict=True)))
 
 
-def fly_in(spark: SparkSession, n: int, center: tuple[float, ...], outer: float, inner: float, axis: str, reach: int | None = None) -> DataFrame:
+def fly_in(spark: SparkSession, n: int, center: tuple[float, ...], outer: float, inner: float, axis: str, reach: int | None = None, at: DataFrame | None = None) -> DataFrame:
     """Towards the centre along an axis, in equal ratios; the way goes on past `reach`, which is held within the film."""
     last = min(max(reach if reach is not None else n - 1, 1), max(1, n - 1))
     r = geometric(n, outer, inner, last)
-    return frames(spark, n).select("frame", r.alias("r"), *((S.lit(c) + (r if a == axis.lower() else S.lit(0))).alias(a) for a, c in zip("xyz", center, strict=True)))
+    return _given(spark, n, at).select("frame", r.alias("r"), *((S.lit(c) + (r if a == axis.lower() else S.lit(0))).alias(a) for a, c in zip("xyz", center, strict=True)))
 
 
 def clip_radii(n: int, constant: float = 0.0, start: float | None = None, end: float | None = None, reach: int | None = None) -> Column:

@@ -26,7 +26,7 @@ _ASKED = [Projection(), Projection("temperature", "mass_weighted")]
 
 
 def _cameras(s: SparkSession, d: str) -> DataFrame:
-    path = FR.orbit(s, Q.FRAMES, _CENTER, 80.0).withColumn("width", FR.geometric(Q.FRAMES, 900.0, 30.0))
+    path = FR.orbit(s, Q.FRAMES, _CENTER, 80.0, Q._days(s, d)).withColumn("width", FR.geometric(Q.FRAMES, 900.0, 30.0))
     text = D.camera_text(_FILM, _ASKED, 6, position=[F.col(a) for a in "xyz"], ortho_width=F.col("width"))
     return path.select(D.frame_name(F.col("frame")).alias("name"), text.alias("text"))
 
@@ -35,7 +35,7 @@ _TURN = f"{2 * math.pi!r}::DOUBLE * i / {Q.FRAMES}"
 _CAMERA_SQL = f"""
 WITH path AS (
   SELECT i, 500 + 80 * cos({_TURN}) AS x, 400 + 80 * sin({_TURN}) AS y, 900 * pow({30 / 900!r}::DOUBLE, i / {Q.FRAMES - 1}.0::DOUBLE) AS width
-  FROM range({Q.FRAMES}) t(i)
+  FROM {Q._DAYS_SQL}
 )
 SELECT 'frame_' || lpad(i::VARCHAR, 4, '0') AS name, concat(
   'camera:', chr(10), '  type: orthographic', chr(10),

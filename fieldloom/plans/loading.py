@@ -97,8 +97,8 @@ Q.register(
 )
 Q.register(
     "scale_bars",
-    lambda s, d: Q.rounded(s.range(1, 200).select("id", S.scale_bar(F.lit(1920), F.lit(1080), F.col("id") * S.lit(3.7)).alias("bar"))),
-    "SELECT i AS id, round(CASE WHEN x >= 5 * p THEN 5 * p WHEN x >= 2 * p THEN 2 * p ELSE p END, 6) + 0 AS bar FROM (SELECT i, x, pow(10::DOUBLE, floor(log10(x))) AS p FROM (SELECT i, i * 3.7::DOUBLE * 1920 / 1080 * 0.25::DOUBLE AS x FROM range(1, 200) t(i)))",
+    lambda s, d: Q.rounded(T.read(s, d, "part").select(F.col("p_partkey").cast("long").alias("id")).where("id > 0").select("id", S.scale_bar(F.lit(1920), F.lit(1080), F.col("id") * S.lit(3.7)).alias("bar"))),
+    "SELECT i AS id, round(CASE WHEN x >= 5 * p THEN 5 * p WHEN x >= 2 * p THEN 2 * p ELSE p END, 6) + 0 AS bar FROM (SELECT i, x, pow(10::DOUBLE, floor(log10(x))) AS p FROM (SELECT i, i * 3.7::DOUBLE * 1920 / 1080 * 0.25::DOUBLE AS x FROM (SELECT p_partkey::BIGINT AS i FROM part WHERE p_partkey > 0)))",
 )
 
 

@@ -246,8 +246,8 @@ for _name, _region, _source, _reach in (("region_box_cull", BRICK, "gas", "2 * h
         lambda s, d, r=_region, t=_source, k=_keys, h=_reach: rounded(P.cull(T.gas(s, d) if t == "gas" else T.dm(s, d), r, BOX, 2 * F.col("h") if h else None).select(*k, "x", "y", "z")),
         f"WITH {GAS_SQL if _source == 'gas' else DM_SQL} SELECT {', '.join(_keys)}, {sql_round('x y z')} FROM ({_cull_sql(_region, _source, _reach or '0::DOUBLE')})",
     )
-register("kernel_values", lambda s, d: rounded(s.range(300).select("id", S.kernel(F.col("id") / S.lit(100), S.lit(1.2)).alias("w"))), f"SELECT id, {sql_round('w')} FROM (SELECT id, {W_SQL} AS w FROM (SELECT i AS id, i / 100.0::DOUBLE AS r, 1.2::DOUBLE AS hh FROM range(300) t(i)))")
-register("kernel_line_integral", lambda s, d: rounded(s.range(230).select("id", S.lookup(F.col("id") / S.lit(100), S.integral_table(), 2.0).alias("f"))), f"WITH {_table_sql(False)} SELECT id, {sql_round('f')} FROM (SELECT i AS id, {_lookup_sql('i / 100.0::DOUBLE', 1024, 2.0)} AS f FROM range(230) t(i), lut)")
+register("kernel_values", lambda s, d: rounded(T.read(s, d, "part").select((F.col("p_partkey") % 300).cast("long").alias("id"), "p_partkey").select("p_partkey", "id", S.kernel(F.col("id") / S.lit(100), S.lit(1.2)).alias("w"))), f"SELECT p_partkey, id, {sql_round('w')} FROM (SELECT p_partkey, id, {W_SQL} AS w FROM (SELECT p_partkey, (p_partkey % 300)::BIGINT AS id, (p_partkey % 300) / 100.0::DOUBLE AS r, 1.2::DOUBLE AS hh FROM part))")
+register("kernel_line_integral", lambda s, d: rounded(T.read(s, d, "part").select("p_partkey", (F.col("p_partkey") % 230).cast("long").alias("id")).select("p_partkey", "id", S.lookup(F.col("id") / S.lit(100), S.integral_table(), 2.0).alias("f"))), f"WITH {_table_sql(False)} SELECT p_partkey, id, {sql_round('f')} FROM (SELECT p_partkey, i AS id, {_lookup_sql('i / 100.0::DOUBLE', 1024, 2.0)} AS f FROM (SELECT p_partkey, (p_partkey % 230)::BIGINT AS i FROM part), lut)")
 for _name, _camera in (("camera_rays_ortho", ORTHO), ("camera_rays_perspective", SLAB)):
     register(_name, lambda s, d, c=_camera: rounded(PR.rays(s, c).withColumn("t1", F.least("t1", S.lit(1e6))), 8), f"WITH {_camera_sql(_camera)} SELECT py, px, {sql_round('ox oy oz dx dy dz t0 t1', 8).replace('round(t1', 'round(least(t1, 1e6)')} FROM rays")
 
@@ -327,9 +327,16 @@ SELECT py, px, round(sum(L_g), 1) + 0 AS L_g, round(sum(L_r), 1) + 0 AS L_r FROM
 
 register("star_splat", _splat, _splat_sql())
 register("star_clip_gain", lambda s, d: rounded(ST.clip(T.stars(s, d), (250.0, 500.0, 500.0), 300.0, 0.2).select("pid", "clip_gain", ST.brightness_gain(T.stars(s, d), (250.0, 500.0, 100.0), 500.0, 50.0, 1.5).alias("gain"))), f"WITH {STARS_SQL} SELECT pid, (CASE WHEN (x - 250) ** 2 + (y - 500) ** 2 + (z - 500) ** 2 <= 90000 THEN 1 ELSE 0.2 END)::DOUBLE AS clip_gain, round(pow(250000::DOUBLE / greatest((x - 250) ** 2 + (y - 500) ** 2 + (z - 100) ** 2, 2500), 0.75::DOUBLE), 6) + 0 AS gain FROM stars")
-register("zoom_widths", lambda s, d: rounded(FR.frames(s, FRAMES).select("frame", FR.geometric(FRAMES, 900.0, 30.0).alias("width"), FR.geometric(FRAMES, 900.0, 30.0, 20).alias("past"))), f"SELECT i::INTEGER AS frame, round(900 * pow({30 / 900!r}::DOUBLE, i / {FRAMES - 1}.0::DOUBLE), 6) + 0 AS width, round(900 * pow({30 / 900!r}::DOUBLE, i / 20.0::DOUBLE), 6) + 0 AS past FROM range({FRAMES}) t(i)")
-register("orbit_path", lambda s, d: rounded(FR.orbit(s, FRAMES, (500.0, 400.0, 300.0), 80.0)), f"SELECT i::INTEGER AS frame, round(500 + 80 * cos({2 * math.pi!r}::DOUBLE * i / {FRAMES}), 6) + 0 AS x, round(400 + 80 * sin({2 * math.pi!r}::DOUBLE * i / {FRAMES}), 6) + 0 AS y, 300::DOUBLE AS z FROM range({FRAMES}) t(i)")
-register("spiral_path", lambda s, d: rounded(FR.spiral(s, FRAMES, (500.0, 400.0, 300.0), 200.0, 20.0, 1.5, 0.3, "xz", 24)), f"SELECT frame, round(r, 6) + 0 AS r, round(500 + r * cos(a), 6) + 0 AS x, 400::DOUBLE AS y, round(300 + r * sin(a), 6) + 0 AS z FROM (SELECT i::INTEGER AS frame, 200 * pow(0.1::DOUBLE, i / 24.0::DOUBLE) AS r, 0.3::DOUBLE + {3 * math.pi!r}::DOUBLE * i / 24 AS a FROM range({FRAMES}) t(i))")
+def _days(s: SparkSession, d: str) -> DataFrame:
+    """Frames of a film of days: those that the events have."""
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    return T.read(s, d, "events").select(day.alias("frame")).distinct().where(F.col("frame").between(0, FRAMES - 1))
+
+
+_DAYS_SQL = f"(SELECT * FROM (SELECT DISTINCT date_diff('day', DATE '2024-01-01', ts::DATE) AS i FROM events) WHERE i BETWEEN 0 AND {FRAMES - 1}) t"
+register("zoom_widths", lambda s, d: rounded(_days(s, d).select("frame", FR.geometric(FRAMES, 900.0, 30.0).alias("width"), FR.geometric(FRAMES, 900.0, 30.0, 20).alias("past"))), f"SELECT i::INTEGER AS frame, round(900 * pow({30 / 900!r}::DOUBLE, i / {FRAMES - 1}.0::DOUBLE), 6) + 0 AS width, round(900 * pow({30 / 900!r}::DOUBLE, i / 20.0::DOUBLE), 6) + 0 AS past FROM {_DAYS_SQL}")
+register("orbit_path", lambda s, d: rounded(FR.orbit(s, FRAMES, (500.0, 400.0, 300.0), 80.0, _days(s, d))), f"SELECT i::INTEGER AS frame, round(500 + 80 * cos({2 * math.pi!r}::DOUBLE * i / {FRAMES}), 6) + 0 AS x, round(400 + 80 * sin({2 * math.pi!r}::DOUBLE * i / {FRAMES}), 6) + 0 AS y, 300::DOUBLE AS z FROM {_DAYS_SQL}")
+register("spiral_path", lambda s, d: rounded(FR.spiral(s, FRAMES, (500.0, 400.0, 300.0), 200.0, 20.0, 1.5, 0.3, "xz", 24, _days(s, d))), f"SELECT frame, round(r, 6) + 0 AS r, round(500 + r * cos(a), 6) + 0 AS x, 400::DOUBLE AS y, round(300 + r * sin(a), 6) + 0 AS z FROM (SELECT i::INTEGER AS frame, 200 * pow(0.1::DOUBLE, i / 24.0::DOUBLE) AS r, 0.3::DOUBLE + {3 * math.pi!r}::DOUBLE * i / 24 AS a FROM {_DAYS_SQL})")
 
 
 def _tiers(s: SparkSession, d: str) -> DataFrame:
@@ -357,10 +364,11 @@ register("gaussian_smooth_reflect", lambda s, d: rounded(FR.gaussian(FR.fill(_se
 
 def _fade(s: SparkSession, d: str) -> DataFrame:
     a, b, alpha = FR.crossfade(960, 5, 30)
-    return rounded(FR.frames(s, 960).select("frame", a.alias("before"), b.alias("after"), alpha.alias("alpha")))
+    at = T.read(s, d, "events").select((F.col("event_id") % 960).cast("int").alias("frame")).distinct()
+    return rounded(at.select("frame", a.alias("before"), b.alias("after"), alpha.alias("alpha")))
 
 
-register("crossfade_schedule", _fade, "SELECT f.i::INTEGER AS frame, coalesce(b.s - 1, least(f.i // 192, 4))::INTEGER AS before, coalesce(b.s, least(f.i // 192, 4))::INTEGER AS after, round(coalesce((f.i - (b.s * 192 - 15) + 0.5::DOUBLE) / 30, 0), 6) + 0 AS alpha FROM range(960) f(i) LEFT JOIN range(1, 5) b(s) ON f.i >= b.s * 192 - 15 AND f.i < b.s * 192 + 15")
+register("crossfade_schedule", _fade, "SELECT f.i::INTEGER AS frame, coalesce(b.s - 1, least(f.i // 192, 4))::INTEGER AS before, coalesce(b.s, least(f.i // 192, 4))::INTEGER AS after, round(coalesce((f.i - (b.s * 192 - 15) + 0.5::DOUBLE) / 30, 0), 6) + 0 AS alpha FROM (SELECT DISTINCT event_id % 960 AS i FROM events) f LEFT JOIN range(1, 5) b(s) ON f.i >= b.s * 192 - 15 AND f.i < b.s * 192 + 15")
 register("missing_frames", lambda s, d: FR.missing(FR.frames(s, 40), _image(s, d).where("v > 0 and frame % 3 <> 1")), f"WITH {IMAGE_SQL} SELECT i::INTEGER AS frame FROM range(40) t(i) WHERE i NOT IN (SELECT frame FROM img WHERE v > 0 AND frame % 3 <> 1)")
 register("frame_percentiles", lambda s, d: rounded(IM.percentiles(_image(s, d), "v", [0.02, 0.5, 0.995], ["frame"])), f"WITH {IMAGE_SQL} SELECT frame, round(quantile_cont(v, 0.02), 6) + 0 AS p0, round(quantile_cont(v, 0.5), 6) + 0 AS p1, round(quantile_cont(v, 0.995), 6) + 0 AS p2 FROM img WHERE v > 0 GROUP BY frame")
 register("pooled_percentile", lambda s, d: rounded(IM.pooled(_image(s, d), "v", [0, 7, 15, 22], 0.99)), f"WITH {IMAGE_SQL} SELECT round(quantile_cont(v, 0.99), 6) + 0 AS p0 FROM img WHERE v > 0 AND frame IN (0, 7, 15, 22)")
@@ -438,7 +446,7 @@ def _layers_sql() -> str:
 register("layer_over", _layers, _layers_sql())
 register("vector_magnitude", lambda s, d: rounded(_map(s, d).select("py", "px", F.log10(F.greatest(F.sqrt(F.col("a") ** 2 + F.col("b") ** 2 + F.col("c") ** 2), S.lit(1e-6))).alias("v"), (F.col("a") * 2 + F.col("b") * 0.5).alias("both"))), f"WITH {MAP_SQL} SELECT py, px, round(log10(greatest(sqrt(a * a + b * b + c * c), 1e-6)), 6) + 0 AS v, round(a * 2 + b * 0.5, 6) + 0 AS both FROM m")
 register("compare_maps", lambda s, d: rounded(IM.compare(_map(s, d).select("py", "px", F.col("a").alias("v")), _map(s, d).where("px > 1").select("py", "px", (F.col("c") + 50).alias("v")))), f"WITH {MAP_SQL}, o AS (SELECT a AS p, c + 50 AS q, a / (c + 50) AS r, (a - (c + 50)) / (c + 50) AS f FROM m WHERE px > 1) SELECT round(sum(p) / greatest(sum(q), 1e-30), 6) + 0 AS sum_ratio, " + ", ".join(f"round(avg({v}), 6) + 0 AS {n}_mean, round(quantile_cont({v}, 0.5), 6) + 0 AS {n}_median, round(stddev_pop({v}), 6) + 0 AS {n}_std, round(min({v}), 6) + 0 AS {n}_min, round(max({v}), 6) + 0 AS {n}_max" for n, v in (("ratio", "r"), ("diff", "f"))) + " FROM o")
-register("nice_lengths", lambda s, d: rounded(s.range(1, 400).select("id", S.nice_length(F.col("id") * 0.37).alias("n"))), "SELECT i AS id, round((CASE WHEN x >= 5 * p THEN 5 * p WHEN x >= 2 * p THEN 2 * p ELSE p END), 6) + 0 AS n FROM (SELECT i, i * 0.37::DOUBLE AS x, pow(10::DOUBLE, floor(log10(i * 0.37::DOUBLE))) AS p FROM range(1, 400) t(i))")
+register("nice_lengths", lambda s, d: rounded(T.read(s, d, "part").select(F.col("p_partkey").cast("long").alias("id")).where("id > 0").select("id", S.nice_length(F.col("id") * 0.37).alias("n"))), "SELECT i AS id, round((CASE WHEN x >= 5 * p THEN 5 * p WHEN x >= 2 * p THEN 2 * p ELSE p END), 6) + 0 AS n FROM (SELECT i, i * 0.37::DOUBLE AS x, pow(10::DOUBLE, floor(log10(i * 0.37::DOUBLE))) AS p FROM (SELECT p_partkey::BIGINT AS i FROM part WHERE p_partkey > 0))")
 register("snapshot_numbers", lambda s, d: T.read(s, d, "part").select("p_partkey", S.snapshot_number(F.concat(F.lit("/run/snap_"), F.lpad((F.col("p_partkey") % 300).cast("string"), 3, "0"), F.when(F.col("p_partkey") % 5 == 0, "x").otherwise(".3"))).alias("n")), "SELECT p_partkey, (p_partkey % 300)::INTEGER AS n FROM part")
 
 # ---- cubes of several grids, headers, particles of other kinds -------------------------------------------------------
@@ -471,12 +479,12 @@ _TABLE = f"tab AS (SELECT i, pow(10::DOUBLE, -5 + 5 * i / 1999.0::DOUBLE) AS a F
 register("age_table", lambda s, d: rounded(ST.age_table(s, 2000), 9), f"WITH {_TABLE} SELECT i, {sql_round('a age', 9)} FROM ages")
 register("age_interpolated", lambda s, d: rounded(ST.age_at(T.stars(s, d).where("a_form > 0"), ST.age_table(s, 2000), "a_form", 2000).select("pid", "age")), f"WITH {STARS_SQL}, {_TABLE}, spans AS (SELECT a AS a0, age AS t0, lead(a) OVER (ORDER BY i) AS a1, lead(age) OVER (ORDER BY i) AS t1 FROM ages) SELECT pid, round(t0 + (t1 - t0) * (a_form - a0) / (a1 - a0), 6) + 0 AS age FROM stars JOIN spans ON a_form >= a0 AND a_form < a1 WHERE a_form > 0")
 _JX, _JY = _jitter_sql(3)
-register("jitter_hash", lambda s, d: PR.pixels(s, ORTHO).select("py", "px", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("sx")).withColumn("sy", F.lit(1)).select("py", "px", "sx", *(F.round(x, 9).alias(n) for n, x in zip(("jx", "jy"), PR.jitter(3), strict=True))), f"SELECT py, px, sx, round((sx + {_JX}) / 3, 9) AS jx, round((sy + {_JY}) / 3, 9) AS jy FROM (SELECT (i // 24)::INTEGER AS py, (i % 24)::INTEGER AS px, u.sx::INTEGER AS sx, 1 AS sy FROM range(384) t(i), range(3) u(sx))")
+register("jitter_hash", lambda s, d: T.read(s, d, "events").select((F.col("event_id") % 16).cast("int").alias("py"), (F.col("user_id") % 24).cast("int").alias("px")).distinct().select("py", "px", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("sx")).withColumn("sy", F.lit(1)).select("py", "px", "sx", *(F.round(x, 9).alias(n) for n, x in zip(("jx", "jy"), PR.jitter(3), strict=True))), f"SELECT py, px, sx, round((sx + {_JX}) / 3, 9) AS jx, round((sy + {_JY}) / 3, 9) AS jy FROM (SELECT py, px, u.sx::INTEGER AS sx, 1 AS sy FROM (SELECT DISTINCT (event_id % 16)::INTEGER AS py, (user_id % 24)::INTEGER AS px FROM events), range(3) u(sx))")
 
 # ---- paths ------------------------------------------------------------------------------------------------------------
-register("flyin_path", lambda s, d: rounded(FR.fly_in(s, FRAMES, (500.0, 400.0, 300.0), 200.0, 20.0, "Z", 24)), f"SELECT frame, {sql_round('r')}, 500::DOUBLE AS x, 400::DOUBLE AS y, round(300 + r, 6) + 0 AS z FROM (SELECT i::INTEGER AS frame, 200 * pow(0.1::DOUBLE, i / 24.0::DOUBLE) AS r FROM range({FRAMES}) t(i))")
-register("clip_schedule", lambda s, d: rounded(FR.frames(s, FRAMES).select("frame", FR.clip_radii(FRAMES, start=400.0, end=25.0, reach=20).alias("radius"), FR.clip_radii(FRAMES, 60.0).alias("fixed"), FR.depth("same-as-y", 50.0, FR.geometric(FRAMES, 900.0, 30.0)).alias("depth"))), f"SELECT i::INTEGER AS frame, round(400 * pow(0.0625::DOUBLE, i / 20.0::DOUBLE), 6) + 0 AS radius, 60::DOUBLE AS fixed, round(900 * pow({30 / 900!r}::DOUBLE, i / {FRAMES - 1}.0::DOUBLE), 6) + 0 AS depth FROM range({FRAMES}) t(i)")
-register("trim_frame", lambda s, d: FR.first_covered(FR.frames(s, FRAMES).select("frame", F.round(FR.geometric(FRAMES, 900.0, 30.0), 6).alias("width")), "width", 800.0, 16 / 9), f"WITH {_TIER_SQL} SELECT coalesce(min(frame), 0)::INTEGER AS frame FROM views WHERE width * {16 / 9!r}::DOUBLE <= 800")
+register("flyin_path", lambda s, d: rounded(FR.fly_in(s, FRAMES, (500.0, 400.0, 300.0), 200.0, 20.0, "Z", 24, _days(s, d))), f"SELECT frame, {sql_round('r')}, 500::DOUBLE AS x, 400::DOUBLE AS y, round(300 + r, 6) + 0 AS z FROM (SELECT i::INTEGER AS frame, 200 * pow(0.1::DOUBLE, i / 24.0::DOUBLE) AS r FROM {_DAYS_SQL})")
+register("clip_schedule", lambda s, d: rounded(_days(s, d).select("frame", FR.clip_radii(FRAMES, start=400.0, end=25.0, reach=20).alias("radius"), FR.clip_radii(FRAMES, 60.0).alias("fixed"), FR.depth("same-as-y", 50.0, FR.geometric(FRAMES, 900.0, 30.0)).alias("depth"))), f"SELECT i::INTEGER AS frame, round(400 * pow(0.0625::DOUBLE, i / 20.0::DOUBLE), 6) + 0 AS radius, 60::DOUBLE AS fixed, round(900 * pow({30 / 900!r}::DOUBLE, i / {FRAMES - 1}.0::DOUBLE), 6) + 0 AS depth FROM {_DAYS_SQL}")
+register("trim_frame", lambda s, d: FR.first_covered(_days(s, d).withColumn("width", F.round(FR.geometric(FRAMES, 900.0, 30.0), 6)), "width", 800.0, 16 / 9), f"SELECT coalesce(min(i), 0)::INTEGER AS frame FROM {_DAYS_SQL} WHERE round(900 * pow({30 / 900!r}::DOUBLE, i / {FRAMES - 1}.0::DOUBLE), 6) * {16 / 9!r}::DOUBLE <= 800")
 register("tier_counts", lambda s, d: _tiers(s, d).groupBy("tier").agg(F.count("*").alias("n")), f"WITH {_TIER_SQL} SELECT tier, count(*) AS n FROM chosen GROUP BY tier")
 
 # ---- images -----------------------------------------------------------------------------------------------------------
