@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, in_rows, texts
+from .common import CACHE, byte_texts, in_rows, texts
 from .wordcache import packed_ids
 
 CAPACITY = 2048
@@ -94,7 +94,7 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, block: int = BLOCK, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, block: int = BLOCK, with_ids: bool = True, words: int = 3 * CACHE) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with_ids, ids (binary,
     little-endian unsigned 32-bit).
 
@@ -102,7 +102,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     text has one id. Each row of docs is packed by itself, repeated rows and null ids too. Offsets of a
     sequence have no gaps; sequence_id is unique (the task's number and the sequence's number in it). No
     rows give no rows. Only doc_id and text are read. tokenizer: path of a tokenizers JSON file that
-    every executor has.
+    every executor has. words: bytes of words and their ids that a Python worker holds, about; fewer cost time.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -132,7 +132,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
             base += max((p[3] for p in pieces), default=-1) + 1
 
         for batch in in_rows(batches, 256):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), packed_ids(byte_texts(batch), tokenizer), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), packed_ids(byte_texts(batch), tokenizer, words), strict=True):
                 held.append((doc, ids + end))
                 tokens += len(ids) // 4 + 1
             if tokens >= block:

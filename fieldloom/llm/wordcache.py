@@ -53,13 +53,13 @@ def mapped(texts: list[bytes], cache: Words, make: Callable[[list[bytes]], list]
 class WordIds:
     """Ids of words by a tokenizers JSON file that lower-cases, splits letters from signs and marks word ends."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 3 * CACHE):
         self.library = tokenizer(path)
         self.check(path)
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         for token, number in self.library.get_vocab().items():
             self.ends[number] = token.endswith("</w>")
-        self.words, self.parts = Words(3 * CACHE), Words(CACHE // 2)
+        self.words, self.parts = Words(most), Words(most // 6)
 
     @staticmethod
     def check(path: str) -> None:
@@ -112,14 +112,14 @@ class WordIds:
         return [got[p[0]] if len(p) == 1 else got[p[0]] + got[p[1]] for p in split]
 
 
-def packed_ids(texts: list[bytes], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers.
+def packed_ids(texts: list[bytes], path: str, most: int = 3 * CACHE) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit numbers. most: bytes of words that a worker holds, about.
 
     A-Z is lower-cased first, as the tokenizer would, but for texts where that could change what comes
     before it: those with a combining mark or with the start of a special string."""
     held = worker_cache("word ids")
     if path not in held:
-        held[path] = WordIds(path)
+        held[path] = WordIds(path, most)
     ids = held[path]
     low = [t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts]
     return [b"".join(x) for x in mapped(low, ids.words, ids.make)]
