@@ -276,7 +276,7 @@ def test_camera_documents_round_trip(spark, tmp_path):
     from fieldloom.plans.config import Projection
     from fieldloom.sources import documents as D
 
-    rows = films._cameras(spark, "")
+    rows = films._cameras(spark, "/root/testdata/sf0.001")
     D.write_documents(rows, str(tmp_path / "cameras"))
     key = lambda r: (r["name"], r["text"])
     assert sorted(map(key, D.read_documents(spark, str(tmp_path / "cameras")).collect())) == sorted(map(key, rows.collect()))
