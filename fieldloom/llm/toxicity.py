@@ -4,10 +4,15 @@ The kernel counts subsequences of three letters within a span, gaps allowed and
 its likeness when characters are put into it. A sentence is read as its units: words without the signs in them, and
 runs of pieces of insults joined across the spaces between them. Sentences are the labelled examples: those of a clean
 document are clean; one of a toxic document is toxic if it has a unit that toxic documents have far more often, or
-that the machine of the round before holds for toxic. A sentence is as toxic as its most toxic unit; a document, as its
-most toxic sentence. The machine is fitted in the space that the kernel to some landmark units spans (Nyström). Its
+that the machine of the round before holds for toxic. A sentence is as toxic as its most toxic unit; a document's score
+comes from its most toxic sentence and from how many of its units the machine holds for toxic, for its length. A unit
+that many toxic documents have and no clean ones decides alone. The machine is fitted in the space that the kernel to some landmark units spans (Nyström). Its
 decision is then linear in the kernel's own features: summed over the landmarks, it is one weight for each three
 letters, and a unit costs a lookup per subsequence.
+
+The kernel's length is that of the whole unit, so letters put in also lower its likeness to the insult around them.
+Units as like an insult as the machine's own disguised insults are, a hundredth of a vocabulary, are therefore aligned:
+such a unit is as toxic as its most toxic subsequence with up to two inner letters left out.
 """
 
 from __future__ import annotations
@@ -33,6 +38,12 @@ SPAN, DECAY = 6, 0.7
 BEGIN, END = 28, 29
 #: Units longer than this are looked at in pieces that overlap by half.
 PIECE = 24
+#: Inner letters that may be left out of a unit that is nearly like an insult, and the least letters that stay.
+LEFT_OUT, LEAST = 2, 4
+#: Units count as toxic from this margin on; a document's count is for its words and some more.
+TOXIC, MORE = 0.8, 50
+#: Added to the margin of a unit that decides alone.
+ALONE = 100
 #: Added to the margin of a word that may be a piece of an insult, to tell it from others.
 FLAG = 1e6
 
@@ -80,12 +91,21 @@ def pieces(words: list[str]) -> tuple[list[str], np.ndarray]:
     return out, np.array(of, np.int64)
 
 
+def shortened(word: str) -> set[str]:
+    """The word's subsequences with one to LEFT_OUT of its inner letters left out, of at least LEAST letters."""
+    out, last = set(), {word}
+    for _ in range(min(LEFT_OUT, len(word) - LEAST)):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(1, len(w) - 1)}
+        out |= last
+    return out
+
+
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, feature, value) of the kernel's feature vectors, each of length 1, in order of word and feature."""
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     code = np.frombuffer("\n".join(["", *(w.replace("\n", " ") for w in words), ""]).encode("utf-32-le"), np.uint32)
-    kind = CLASSES[code & 0xFFFF]
+    kind = np.where(code < len(CLASSES), CLASSES[code % len(CLASSES)], (code.astype(np.int64) * 40503 >> 5) % 26 + 1)
     edge = code == 10
     word = np.cumsum(edge) - 1  # a line feed belongs to the word it opens
     # Each word as BEGIN letters END: its opening line feed, its letters, and an END put in before the next one.
@@ -130,7 +150,8 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """margin = sum of dual x kernel to the landmarks + bias = weights . features + bias; score = 1 / (1 + exp(-(a * margin + b)))."""
+    """margin = sum of dual x kernel to the landmarks + bias = weights . features + bias.
+    score = 1 / (1 + exp(-(a * margin + c * log((1 + toxic units) / (MORE + words)) + b))), or `alone` if that is higher."""
 
     landmarks: list[str]
     dual: np.ndarray
@@ -139,6 +160,12 @@ class Model:
     b: float = 0.0
     #: Units that the machine learned to hold for toxic; what their pieces are joined to must look like one of them.
     insults: list[str] = field(default_factory=list)
+    #: Pieces of units from this margin on are aligned.
+    near: float = np.inf
+    #: The weight of the count, units that decide alone, and the score that they give.
+    c: float = 0.0
+    sure: frozenset[str] = frozenset()
+    alone: float = 0.0
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def __post_init__(self):
@@ -162,6 +189,22 @@ class Model:
             out = np.maximum.reduceat(got, first) + self.bias
         return out
 
+    def aligned(self, units: list[str]) -> np.ndarray:
+        """margins(), but of each piece that is near an insult its most toxic subsequence's; ALONE is added if it decides alone."""
+        out = self.margins(units) + ALONE * np.array([u in self.sure for u in units], float)
+        part, of = pieces(units)
+        if np.isinf(self.near) or not part:
+            return out
+        for s in range(0, len(part), 4000):
+            got = self.margins(part[s : s + 4000])
+            some = (s + np.flatnonzero(got >= self.near)).tolist()
+            for t in range(0, len(some), 64):
+                forms = [(w, of[n]) for n in some[t : t + 64] for w in shortened(part[n])]
+                if forms:
+                    got = self.margins([w for w, _ in forms]) + ALONE * np.array([w in self.sure for w, _ in forms])
+                    np.maximum.at(out, [n for _, n in forms], got)
+        return out
+
     def joined(self, run: list[str]) -> set[str]:
         """What consecutive pieces of insults make, where it begins and ends as an insult does."""
         run, out = [x for x in run if x], set()
@@ -187,8 +230,17 @@ class Model:
             i = j + 1
         return out
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -40, 40)))
+    def evidence(self, margins: np.ndarray, words: int) -> tuple[float, float, bool]:
+        """Of a document's units with aligned margins: the highest margin, the count for its length, and whether one decides alone."""
+        alone = margins > ALONE / 2
+        margins = margins - ALONE * alone
+        top = float(margins.max(initial=self.bias))
+        return max(top, -1.0), float(np.log((1 + (margins > TOXIC).sum()) / (MORE + words))), bool(alone.any())
+
+    def score(self, margins: np.ndarray, words: int) -> float:
+        top, count, alone = self.evidence(margins, words)
+        share = float(1 / (1 + np.exp(-np.clip(self.a * top + self.c * count + self.b, -40, 40))))
+        return max(share, self.alone) if alone else share
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -212,18 +264,18 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """a, b of P(y = 1) = 1 / (1 + exp(-(a x + b))), lightly held to zero."""
-    z = np.stack([x, np.ones_like(x)], 1)
-    w = np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """w of P(y = 1) = 1 / (1 + exp(-(x, 1) . w)), lightly held to zero."""
+    z = np.c_[x, np.ones(len(x))]
+    w, hold = np.zeros(z.shape[1]), np.r_[[2e-4] * x.shape[1], 1e-8] * weight.sum()
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        h = (z * (weight * p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag([0.02, 1e-6]) * weight.sum() * 0.01
-        step = np.linalg.solve(h, z.T @ (weight * (y - p)) - np.array([0.02, 1e-6]) * weight.sum() * 0.01 * w)
+        h = (z * (weight * p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(hold)
+        step = np.linalg.solve(h, z.T @ (weight * (y - p)) - hold * w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 def disguised(unit: str, rng: np.random.Generator) -> list[str]:
@@ -264,7 +316,9 @@ def train(documents: list[tuple[str, int]], prior: float, landmarks: int = 256,
     """Fit on labelled documents (text, label), by their sentences. Which sentences of a toxic document are toxic is
     learned by turns: first those with a telling unit, then also those that the machine holds for toxic."""
     rng = np.random.default_rng(seed)
-    read = [(sentences(t), y) for t, y in documents]
+    one: dict[str, str] = {}  # each word is kept once, however often it is read
+    read = [([[one.setdefault(w, w) for w in s] for s in sentences(t)], y) for t, y in documents]
+    del one
     toxic, clean = ([d for d, y in read if (y > 0) == side] for side in (True, False))
     if not toxic or not clean:
         return Model([], np.zeros(0), 0.0, 0.0, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
@@ -293,6 +347,8 @@ def train(documents: list[tuple[str, int]], prior: float, landmarks: int = 256,
         weight = np.r_[share / share.sum(), rest / rest.sum()]
         w = squared_hinge(np.c_[x, np.ones(len(y))], y, weight * len(y), ridge * len(y))
         model = Model(marks, root @ w[:-1], float(w[-1]), insults=pos[:200])
+        if masks:
+            model.near = float(np.quantile(model.margins([v for v, _ in masks]), 0.01))
         margin = dict(zip(vocab, model.margins(vocab).tolist(), strict=True)) | {"": model.bias}
         top = lambda s: max(s, key=lambda w: (margin[w], w))
         clean_joined = sorted({j for d in clean for s in d for j in model.runs(s)})
@@ -304,13 +360,17 @@ def train(documents: list[tuple[str, int]], prior: float, landmarks: int = 256,
             hard |= Counter(w for d in clean for w in sorted({w for s in d for w in s}, key=lambda w: (-margin[w], w))[:3] if margin[w] > -0.7)
             hard |= Counter({w: 1 for w, m in joined.items() if m > -0.7})
             hard = Counter(dict(sorted(hard.items(), key=lambda x: (-x[1], x[0]))[:4000]))
-    most = lambda d: max((margin[top(s)] for s in d), default=model.bias)
-    best = []
+    # Units of a tenth of the toxic documents and of nearly no clean ones.
+    often = {w: n for w, n in witness.items() if n >= max(5, len(toxic) / 10) and 50 * seen[1][w] * len(toxic) <= n * len(clean)}
+    model.sure = frozenset(often)
+    model.alone = max(1 - (1 + sum(seen[1][w] for w in often)) / (2 + sum(often.values())), 0.0) if often else 0.0
+    margin = dict(zip(vocab, model.aligned(vocab).tolist(), strict=True)) | {"": model.bias}
+    rows = []
     for d in [*toxic, *clean]:
         found = sorted({j for s in d for j in model.runs(s)})
-        best.append(max([most(d), *(model.margins(found).tolist() if found else [])]))
+        rows.append(model.evidence(np.r_[[margin[w] for s in d for w in s], model.aligned(found)], sum(map(len, d)))[:2])
     y = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
-    model.a, model.b = logistic(np.array(best), y, np.where(y == 1, prior / len(toxic), (1 - prior) / len(clean)) * len(y))
+    model.a, model.c, model.b = map(float, logistic(np.array(rows), y, np.where(y == 1, prior / len(toxic), (1 - prior) / len(clean)) * len(y)))
     return model
 
 
@@ -332,34 +392,33 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, longest: int = 20_
 
 
 def document_scores(model: Model, found: list[bytes]) -> np.ndarray:
-    """Each text's score: that of its most toxic unit, or of an empty one if it has none. Runs of pieces are joined
-    within a line's words in order; white space of any kind is between them."""
+    """Each text's score; one without words has an empty unit's margin. Runs of pieces are joined within
+    the text's words in order; white space of any kind is between them."""
     held = worker_cache("toxicity")
     if model.key not in held:
         held.clear()
         held[model.key] = Words()
-    low = float(model.margins([""])[0])
 
     def make(words: list[bytes]) -> list[float]:
         units = plain([w.decode() for w in words])
-        return (model.margins(units) + FLAG * np.array([not u or u in model.parts for u in units])).tolist()
+        return (model.aligned(units) + FLAG * np.array([not u or u in model.parts for u in units])).tolist()
 
-    out = np.full(len(found), low)
+    out = np.full(len(found), model.score(np.empty(0), 0))
     for n, (text, got) in enumerate(zip(found, mapped(found, held[model.key], make), strict=True)):
         if got:
             margin = np.array(got)
+            size = len(margin)
             piece = margin > FLAG / 2
             margin[piece] -= FLAG
-            out[n] = max(margin.max(), low)
             both = piece[1:] & piece[:-1]
             if both.any():
                 words, joined = text.split(), set()
                 edge = np.flatnonzero(np.diff(np.r_[False, both, False].astype(np.int8)))
                 for i, j in zip(edge[::2], edge[1::2], strict=True):
                     joined |= model.joined(plain([w.decode() for w in words[i : j + 1]]))
-                if joined:
-                    out[n] = max(out[n], model.margins(sorted(joined)).max())
-    return model.score(out)
+                margin = np.r_[margin, model.aligned(sorted(joined))]
+            out[n] = model.score(margin, size)
+    return out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,6 +1,7 @@
 """Every operator of the llm subpackage against the libraries, brute force or SQL, and on odd inputs."""
 
 import collections
+import itertools
 import hashlib
 import math
 import random
@@ -166,6 +167,40 @@ def test_disguises(judged):
         assert toxicity.document_scores(model, [clean.encode()])[0] < 0.3, clean
 
 
+def test_letters_put_in(judged):
+    """Insults with one or two letters put in anywhere inside are found; clean documents stay clean."""
+    model, docs, labels = judged
+    rng = random.Random(11)
+
+    def put(w, n):
+        for _ in range(n):
+            i = rng.randrange(1, len(w))
+            w = w[:i] + rng.choice("abcdefghijklmnopqrstuvwxyz") + w[i:]
+        return w
+
+    for n, least in ((1, 0.9), (2, 0.75)):
+        texts = [f"The nation of the thing, {put(w, n)} and the other one.".encode() for w in INSULTS for _ in range(20)]
+        assert (toxicity.document_scores(model, texts) >= 0.3).mean() >= least, n
+    clean = docs.join(labels.where("toxic = 0 and crc32(encode(cast(doc_id as string), 'UTF-8')) % 4 = 2"), "doc_id").collect()
+    assert (toxicity.document_scores(model, [(r.text or "").encode() for r in clean]) >= 0.3).mean() <= 0.04
+
+
+def test_aligned_by_definition(judged):
+    """A near unit has the best margin of itself and of what stays when one or two inner letters go; others have their own."""
+    model = judged[0]
+    some = ["idxiot", "pathweytic", "nation", "b", "", "scum", "sxcum", "zzzzzzzz"]
+    for w, got in zip(some, model.aligned(some), strict=True):
+        forms = {w}
+        if len(w) and model.margins([w])[0] >= model.near:
+            inner = range(1, len(w) - 1)
+            forms |= {"".join(c for i, c in enumerate(w) if i not in gone) for k in (1, 2) for gone in itertools.combinations(inner, k) if len(w) - k >= toxicity.LEAST}
+        assert abs(got - max(m + toxicity.ALONE * (f in model.sure) for f in forms for m in model.margins([f]))) < 1e-9, w
+
+
+def test_characters_beyond_the_first_plane_are_themselves():
+    assert toxicity.kernel(["idiot"], ["idiot", "".join(chr(ord(c) + 0x10000) for c in "idiot")])[0, 1] < 0.9
+
+
 def test_decision_is_the_landmarks_kernel(judged):
     model = judged[0]
     some = [*INSULTS, "idixot", "nation", "b", "x" * 20, "42"]
