@@ -535,4 +535,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-from . import films, loading, zoom  # noqa: E402, F401  (they add their queries to the registry above)
+from . import colours, films, loading, zoom  # noqa: E402, F401  (they add their queries to the registry above)
