@@ -92,6 +92,18 @@ def worker_cache(owner: str) -> dict:
     return _caches[owner]
 
 
+def in_worker(owner: str, run: Callable) -> Callable:
+    """run, a step of mapInArrow, as a task of an operator: caches of others go before it, and the memory that it no
+    longer needs goes back after it, for idle workers keep what they have."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(owner)
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """At most so many rows in an Arrow batch of the session: texts are long, and a batch is held on both sides. Spark
     reads this setting when a plan runs, so it stays lowered; it is the one setting that operators change."""
@@ -169,11 +181,12 @@ def bucketed(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(b, kind="stable"), b
 
 
-def by_bucket(df: DataFrame, buckets: int, step: Callable, schema: str, end: Callable | None = None) -> DataFrame:
+def by_bucket(df: DataFrame, buckets: int, step: Callable, schema: str, end: Callable | None = None, owner: str | None = None) -> DataFrame:
     """Bring the rows (bucket, payload) of a bucket together and give step(state, bucket, payloads) -> batches.
 
     A partition is sorted by bucket and streamed, so a worker holds one bucket at a time. state is a list
-    that lasts as long as the task; end(state) -> batches is called after the last bucket."""
+    that lasts as long as the task; end(state) -> batches is called after the last bucket. With an owner,
+    the tasks run by in_worker()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, state = None, [], []
@@ -190,4 +203,4 @@ def by_bucket(df: DataFrame, buckets: int, step: Callable, schema: str, end: Cal
             yield from end(state)
 
     n = max(1, min(buckets, shuffle_partitions(df.sparkSession)))
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return df.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(in_worker(owner, run) if owner else run, schema)

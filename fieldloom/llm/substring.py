@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NULL_ID, Words, bucketed, by_bucket, byte_texts, ids, in_rows, materialise, pack, shuffle_partitions, texts, unpack, worker_cache
+from .common import NULL_ID, bucketed, by_bucket, byte_texts, give_back, ids, in_rows, in_worker, materialise, pack, shuffle_partitions, texts, unpack, worker_cache
 
 WORDS = 50
 #: Bits of a level's bitmap: 16 MB, whatever the input.
 FILTER_BITS = 27
-#: A task hands on what it has found after so many windows.
-HELD = 500_000
+#: A task hands on what it has found after so many windows, in batches of about so many bytes.
+HELD, BATCH = 250_000, 4 << 20
+#: Whose caches a Python worker holds.
+OWNER = "substring"
 
 _A, _B, _C = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0x9E3779B97F4A7C15, 0xC4CEB9FE1A85EC53))
 
@@ -43,14 +45,8 @@ def levels(words: int = WORDS, least: int = 13) -> list[int]:
 
 
 def word_names(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    known = worker_cache("substring").setdefault("names", Words())
-    out = list(map(known.get, words))
-    if None in out:
-        new = {w: xxhash.xxh3_64_intdigest(w) for w, v in zip(words, out, strict=True) if v is None}
-        out = [new[w] if v is None else v for w, v in zip(words, out, strict=True)]
-        known.add(new)
-    return np.array(out, np.uint64)
+    """A 64-bit hash of each word. Hashing costs less than a cache of names would, and holds nothing."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def second_names(words: list[bytes]) -> np.ndarray:
@@ -114,19 +110,21 @@ def survivors(names: np.ndarray, words: int, found: list[tuple[int, np.ndarray]]
 
 
 def _blobs(parts: list[tuple[np.ndarray, ...]], buckets: int, by: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Held arrays as one row for each bucket; by: the hashes that choose it, or else the first array."""
+    """Held arrays as one row for each bucket, in small batches; by: the hashes that choose it, or else the first array."""
     arrays = [np.concatenate(x) for x in zip(*parts, strict=True)]
     if not len(arrays[0]):
         return
     order, b = bucketed(arrays[0] if by is None else by, buckets)
     b = b[order]
     cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-    keys, rows = [], []
+    keys, rows, size = [], [], 0
     for s, e in zip(cuts, [*cuts[1:], len(b)], strict=True):
         keys.append(int(b[s]))
         rows.append(pack(*(a[order[s:e]] for a in arrays)))
-    if keys:
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "payload"])
+        size += len(rows[-1])
+        if size >= BATCH or e == len(b):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "payload"])
+            keys, rows, size = [], [], 0
 
 
 def _ends(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +173,7 @@ def _level(docs: DataFrame, words: int, length: int, found, buckets: int) -> Dat
         bits[slot] = 1
         yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["bucket", "slice"])
 
-    return by_bucket(docs.mapInArrow(look, "bucket int, payload binary"), buckets, repeated, "bucket int, slice binary")
+    return by_bucket(docs.mapInArrow(in_worker(OWNER, look), "bucket int, payload binary"), buckets, repeated, "bucket int, slice binary", owner=OWNER)
 
 
 def _last(docs: DataFrame, words: int, found, buckets: int) -> DataFrame:
@@ -188,13 +186,16 @@ def _last(docs: DataFrame, words: int, found, buckets: int) -> DataFrame:
         def hand_on() -> Iterator[pa.RecordBatch]:
             # Of equal windows held here, those of the smallest id go on; the others are known to go.
             h, g, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.clear()
             order = np.lexsort((doc, g, h))
             first = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])])
             low = np.empty(len(h), np.int64)
             low[order] = np.repeat(doc[order][first], np.diff(np.r_[first, len(h)]))
             known = doc > low
-            yield from _blobs([(h[~known], g[~known], doc[~known], at[~known])], buckets)
-            yield from _homes(doc[known], at[known], True)
+            gone, rest = (doc[known], at[known]), tuple(x[~known] for x in (h, g, doc, at))
+            del h, g, doc, at, order, first, low, known
+            yield from _homes(*gone, True)
+            yield from _blobs([rest], buckets)
 
         for batch in in_rows(batches):
             for doc, text in zip(ids(batch), byte_texts(batch), strict=True):
@@ -205,7 +206,7 @@ def _last(docs: DataFrame, words: int, found, buckets: int) -> DataFrame:
                     held += len(starts)
             if held >= HELD:
                 yield from hand_on()
-                parts, held = [], 0
+                held = 0
         if held:
             yield from hand_on()
 
@@ -245,8 +246,8 @@ def _last(docs: DataFrame, words: int, found, buckets: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(rows, pa.binary())], names=["doc_id", "starts"])
 
     homes = max(1, buckets // 4)
-    judged = by_bucket(docs.mapInArrow(look, "bucket int, payload binary"), buckets, judge, "bucket int, payload binary", pass_on)
-    return by_bucket(judged, homes, gather, "doc_id long, starts binary")
+    judged = by_bucket(docs.mapInArrow(in_worker(OWNER, look), "bucket int, payload binary"), buckets, judge, "bucket int, payload binary", pass_on, OWNER)
+    return by_bucket(judged, homes, gather, "doc_id long, starts binary", owner=OWNER)
 
 
 def repeated_starts(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -262,7 +263,11 @@ def repeated_starts(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for row in _level(docs, words, length, found, buckets).collect():
             bitmap[row["bucket"] * width : (row["bucket"] + 1) * width] |= np.frombuffer(row["slice"], np.uint8)
         found.append((length, spark.sparkContext.broadcast(bitmap.tobytes())))
-    return materialise(_last(docs, words, found, buckets), "starts")
+    starts = materialise(_last(docs, words, found, buckets), "starts")
+    for _, shared in found:
+        shared.destroy()
+    give_back()
+    return starts
 
 
 def cut(text: bytes, starts: bytes, words: int) -> tuple[bytes, int, int]:
@@ -292,6 +297,7 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, prefix: str = "") -> Dat
 
     @F.arrow_udf(kind)
     def trimmed(text: pa.Array, starts: pa.Array) -> pa.Array:
+        worker_cache(OWNER)
         wide = pa.types.is_large_string(text.type)
         out = [cut(t or b"", s or b"", words) for t, s in zip(text.cast(pa.large_binary() if wide else pa.binary()).to_pylist(), starts.to_pylist(), strict=True)]
         kept = pa.array([x[0] for x in out], pa.binary()).cast(pa.string())

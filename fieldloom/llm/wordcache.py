@@ -20,17 +20,13 @@ LONGEST = 64
 #: Signs that end a word often; what stands before them is looked up by itself.
 TAIL = b".,;:!?"
 
-_tokenizers: dict[str, object] = {}
-
 
 def tokenizer(path: str):
-    """The library's tokenizer of a JSON file, loaded once for each worker."""
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    """The library's tokenizer of a JSON file. Callers hold it in their worker cache, so it goes when that goes."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+    return Tokenizer.from_file(path)
 
 
 def mapped(texts: list[bytes], cache: Words, make: Callable[[list[bytes]], list]) -> list[list]:
